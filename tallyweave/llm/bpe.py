@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A tokenizer file above this size is refused: it is broadcast to every executor.
 MAX_FILE_BYTES = 64 << 20
-_CACHE = 400_000
+#: Most pieces, and most words, that a Python worker remembers; later ones are encoded anew each time.
+_CACHE = 1_000_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -35,6 +36,25 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class _Recent:
+    """A bounded memory of two generations: what is asked for again outlives the change."""
+
+    def __init__(self):
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def put(self, key: str, value: bytes) -> bytes:
+        if len(self.now) >= _CACHE // 2:
+            self.before = dict(self.now)
+            self.now.clear()
+        self.now[key] = value
+        return value
+
+    def old(self, key: str) -> bytes | None:
+        value = self.before.get(key)
+        return value and self.put(key, value)
+
+
 class ByteBPE:
     """Encoder and decoder for one tokenizer file (the JSON text of a byte-level BPE)."""
 
@@ -59,15 +79,15 @@ class ByteBPE:
                 raise ValueError(f"added token {token['content']!r}: only plain matching is supported")
             self.special[token["content"]] = token["id"]
             self.bytes[token["id"]] = token["content"].encode()
+        #: Tokens that stand for their own bytes, by these bytes (as Latin-1 text).
+        self.whole = {self.bytes[i].decode("latin-1"): i for i in self.rank if self._is_whole(i)}
         self.suffixes = ahocorasick.Automaton()
-        for i, b in self.bytes.items():
-            if i in self.rank and self._is_whole(i):
-                self.suffixes.add_word(b.decode("latin-1"), (len(b), i))
+        for s, i in self.whole.items():
+            self.suffixes.add_word(s, (len(s), i))
         self.suffixes.make_automaton()
-        self.may_follow: dict[tuple[int, int], bool] = {}
+        self.may_follow: dict[int, bool] = {}
         self.table = [self.bytes.get(i, b"") for i in range(max(self.bytes) + 1)]
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known, self.words = _Recent(), _Recent()
         self.pieces = regex.compile(PIECES).findall
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
@@ -98,60 +118,51 @@ class ByteBPE:
         a, b = self.parts[token]
         return self._boundary_holds(a, b, self.rank[token])
 
+    def _follows(self, before: int, token: int) -> bool:
+        pair = before << 24 | token
+        ok = self.may_follow.get(pair)
+        if ok is None:
+            if len(self.may_follow) >= 2 * _CACHE:
+                self.may_follow.clear()
+            ok = self.may_follow[pair] = self._boundary_holds(before, token, 1 << 62)
+        return ok
+
     def _encode_piece(self, piece: str) -> bytes:
-        raw = piece.encode()
-        last: list[tuple[int, int]] = [(0, -1)] * (len(raw) + 1)
-        follows = self.may_follow
-        for end, (size, token) in self.suffixes.iter(raw.decode("latin-1")):
-            end += 1
-            if last[end][0]:
-                continue
-            start = end - size
-            if start:
-                if not last[start][0]:
-                    continue
-                pair = (last[start][1], token)
-                ok = follows.get(pair)
-                if ok is None:
-                    ok = follows[pair] = self._boundary_holds(*pair, 1 << 62)
-                if not ok:
-                    continue
-            last[end] = (size, token)
-        ids, at = array("i"), len(raw)
-        while at:
-            size, token = last[at]
-            ids.append(token)
-            at -= size
-        return ids[::-1].tobytes()
+        raw = piece if piece.isascii() else piece.encode().decode("latin-1")
+        n = len(raw)
+        last, sizes = [-1] * n, [0] * n
+        for end, (size, token) in self.suffixes.iter(raw):  # the longest suffix first
+            if last[end] < 0 and (size > end or last[end - size] >= 0 and self._follows(last[end - size], token)):
+                last[end], sizes[end] = token, size
+        ids, at = [], n - 1
+        while at >= 0:
+            ids.append(last[at])
+            at -= sizes[at]
+        return array("i", ids[::-1]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        if len(self.may_follow) > 2 * _CACHE:
-            self.may_follow.clear()
         ids = self._encode_piece(piece)
-        if len(piece) <= 24:
-            if len(self.known) >= _CACHE:
-                self.known.clear()
-            self.known[piece] = ids
-        return ids
+        return self.known.put(piece, ids) if len(piece) <= 24 else ids
 
     def _plain(self, text: str) -> bytes:
-        known = self.known.get
-        return b"".join([known(p) or self._piece(p) for p in self.pieces(text)])
+        known = self.known.now.get
+        return b"".join([known(p) or self.known.old(p) or self._piece(p) for p in self.pieces(text)])
 
     def _word(self, word: str) -> bytes:
         """Ids of a word and the one space before it; such a space always starts a piece."""
         if not word or word[-1].isspace():
             raise _SpaceRun
-        ids = self._plain(f" {word}")
-        if len(word) <= 24 and "\n" not in word:
-            if len(self.words) >= _CACHE:
-                self.words.clear()
-            self.words[word] = ids
+        ids = self.words.old(word)
+        if not ids:
+            spaced = f" {word}"
+            ids = self._encode_piece(spaced) if word.isalpha() else self._plain(spaced)
+            if len(word) <= 24 and "\n" not in word:
+                self.words.put(word, ids)
         return ids
 
     def _text(self, text: str) -> bytes:
         first, *rest = text.split(" ")
-        known = self.words.get
+        known = self.words.now.get
         try:
             if rest and (not first or first[-1].isspace()):
                 raise _SpaceRun
