@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing
+from . import bpe, mixing, near_dedup
 from .common import table
 
 
@@ -19,7 +19,12 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, num=85, den=100)
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op7_near_duplicates": op7_near_duplicates,
 }
