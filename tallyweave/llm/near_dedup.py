@@ -16,7 +16,7 @@ from .similarity import RangeHash, mixed, neighbour_pairs, portions, verified_li
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_HASHES, _TREES, _FIRST, _DEPTH = 128, 32, 5, 12
+_HASHES, _TREES, _FIRST, _DEPTH = 192, 24, 5, 12
 _RNG = np.random.default_rng(20240607)
 _MULTIPLY = _RNG.integers(0, 1 << 63, _HASHES, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _XOR = _RNG.integers(0, 1 << 63, _HASHES, dtype=np.uint64)
@@ -113,15 +113,16 @@ def near_duplicates(
     of distinct word shingles. ``component_id`` is the smallest doc_id that
     links reach, and the document with it is kept.
 
-    LSH forest: each of 32 orders of the MinHash values sorts the signatures;
+    LSH forest: each of 24 orders of the MinHash values sorts the signatures;
     documents that agree on an order's first five values form a region, and
     within it those next to each other agree longest, so a dense region is
     searched to a greater depth than a sparse one. Candidates lie within
-    ``window`` places in some order; a document first gives its 8 likeliest
-    candidates, and one with more takes part in further rounds, against other
-    components only, until none has more. All links are confirmed on the full
-    sets. A pair at 0.85 shares a region of some order with a probability of
-    1 - 1e-8 (at 0.8: 1 - 2e-6). Equal sets are one node from the start, so
+    ``window`` places in some order whose share of equal values (of 192) is
+    at most 0.07 below the threshold. A document first gives its 2 likeliest
+    candidates of an order, and one with more takes part in further rounds,
+    against other components only, until none has more. All links are
+    confirmed on the full sets. A pair at 0.85 shares a region of some order
+    with a probability of 1 - 1e-6 (at 0.8: 1 - 1e-4). Equal sets are one node from the start, so
     that copies cost nothing.
 
     Texts with fewer words than a shingle count as one shingle; null, empty
@@ -143,16 +144,14 @@ def near_duplicates(
     near = regions.join(shared, "key", "left_semi").select("node").distinct()
     active = staging.save(reps.select("node", "sig", "keys", "deeps").dropDuplicates(["node"]).join(near, "node", "left_semi"), "active")
 
-    def texts(nodes: DataFrame) -> DataFrame:
-        return nodes.join(docs, F.col("node") == F.col("doc_id"))
-
-    links, parts, todo, keep, k = None, None, active, 8, 0
+    bodies = staging.save(active.select("node").join(docs, F.col("node") == F.col("doc_id")).select("node", "text"), "bodies")
+    links, parts, todo, keep, k = None, None, active, 2, 0
     while True:
         rows = todo.select("node", "sig", *(["part"] if parts is not None else []), F.explode(F.arrays_zip("keys", "deeps")).alias("z"))
         rows = rows.select("*", F.col("z.keys").alias("key"), F.col("z.deeps").alias("deep")).drop("z")
-        found = staging.save(neighbour_pairs(rows, window=window, keep=keep, least=num / den - 0.13), f"found-{k}")
+        found = staging.save(neighbour_pairs(rows, window=window, keep=keep, least=num / den - 0.07), f"found-{k}")
         new = verified_links(
-            found.where("a <> b"), texts, lambda t: list(shingle_sets(t, shingle_words)), staging, f"verify-{k}", num=num, den=den
+            found.where("a <> b"), bodies, lambda t: list(shingle_sets(t, shingle_words)), staging, f"verify-{k}", num=num, den=den
         )
         links = new if links is None else links.unionByName(new)
         parts = connected_components(links, staging, f"parts-{k}")
@@ -168,7 +167,7 @@ def near_duplicates(
         .select(
             F.col("node").alias("doc_id"),
             F.col("n").alias("n_shingles"),
-            F.coalesce("component", "rep", "node").alias("component_id"),
+            F.when(F.col("node").isNotNull(), F.coalesce("component", "rep", "node")).alias("component_id"),
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )

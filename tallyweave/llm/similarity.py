@@ -140,27 +140,26 @@ def neighbour_pairs(rows: DataFrame, *, window: int, keep: int = 0, least: float
 
 def verified_links(
     pairs: DataFrame,
-    texts: Callable[[DataFrame], DataFrame],
+    texts: DataFrame,
     to_sets: Callable[[list[str]], list[np.ndarray]],
     staging: Staging,
     name: str,
     *,
     num: int,
     den: int,
-    block_chars: int = 4_000_000,
+    block_chars: int = 1_000_000,
 ) -> DataFrame:
     """Links (a, b) among ``pairs`` whose sets pass den * intersection >= num * union, exactly.
 
-    ``texts`` adds the column text to a table of (node, component). Nodes of one candidate group are hashed into
-    blocks of about ``block_chars`` characters, and each pair of blocks meets
-    in one task with both blocks' texts: a text travels once for each partner
-    block, not once for each pair. Within a task, pairs that links already
-    connect are passed over, so the links are a spanning forest there.
+    ``texts``: (node, text) of the nodes in ``pairs`` at least, best a written
+    table. Nodes of one candidate group are hashed into blocks of about
+    ``block_chars`` characters, and each pair of blocks meets in one task
+    with both blocks' texts: a text travels once for each partner block, not
+    once for each pair. Within a task, pairs that links already connect are
+    passed over, so the links are a spanning forest there.
     """
     groups = connected_components(pairs, staging, f"{name}-groups")
-    sized = staging.save(
-        texts(groups).select("node", "component", F.length("text").cast("long").alias("n"), "text"), f"{name}-texts"
-    )
+    sized = staging.save(groups.join(texts.select("node", F.length("text").cast("long").alias("n")), "node"), f"{name}-sizes")
     sums = sized.groupBy("component").agg(F.sum("n").alias("total"))
     total = sums.agg(F.sum("total")).first()[0] or 0
     tasks = max(1, -(-int(total) // block_chars))
@@ -174,7 +173,7 @@ def verified_links(
         .select("a", "b", F.expr(f"pmod(xxhash64(x.component, least(x.block, y.block), greatest(x.block, y.block)), {tasks})").alias("task"))
     )
     placed = staging.save(placed, f"{name}-placed")
-    needed = placed.select(F.col("task").alias("into"), F.explode(F.array("a", "b")).alias("node")).distinct().join(sized.select("node", "text"), "node")
+    needed = placed.select(F.col("task").alias("into"), F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", "text"), "node")
 
     def verify(pair_rows: pa.Table, text_rows: pa.Table) -> pa.Table:
         nodes = text_rows.column("node").to_pylist()
@@ -192,5 +191,5 @@ def verified_links(
 
     links = placed.groupBy("task").cogroup(needed.groupBy("into")).applyInArrow(verify, "a long, b long")
     links = staging.save(links, f"{name}-links")
-    staging.drop(f"{name}-texts", f"{name}-placed")
+    staging.drop(f"{name}-sizes", f"{name}-placed")
     return links
