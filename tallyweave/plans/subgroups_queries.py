@@ -1 +1,154 @@
+"""Queries over subgroups and resamples (F01-F17). Replicated ones run on the test fold."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.portable import r6
+from ..operators import scoring as S
+from ..operators import subgroups as G
+from ..operators import views as V
+from .registry import query
+from .scoring_queries import auroc_sql
+
+_BAND = "CASE WHEN age > 0 AND age <> 300 THEN CASE WHEN age >= 18 AND age < 40 THEN '18-39' WHEN age >= 40 AND age < 60 THEN '40-59' WHEN age >= 60 AND age < 75 THEN '60-74' WHEN age >= 75 AND age < 200 THEN '75+' END END"
+_ROWS = f"(SELECT t.*, r.sex, r.device, r.fold, {_BAND} AS band FROM v_two t JOIN v_records r USING (record_id))"
+_TEST = f"(SELECT * FROM {_ROWS} WHERE fold = 10)"
+_COMMON = """SELECT label FROM (SELECT {g}, label FROM {t} WHERE {g} IS NOT NULL GROUP BY ALL HAVING sum(y) > 0 AND sum(y) < count(*)) GROUP BY label
+    HAVING count(*) = (SELECT count(DISTINCT {g}) FROM {t})"""
+_W = " + ".join(f"(u >= {t})::INT" for t in G.POISSON_ONE)
+_BOOT = f"""(SELECT t.*, w FROM {_TEST} t JOIN (SELECT record_id, rep, {_W} AS w FROM (SELECT record_id, rep, ('0x' || substr(md5('boot:' || rep::VARCHAR || ':' || record_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+    FROM (SELECT DISTINCT record_id FROM {_TEST}) CROSS JOIN (SELECT unnest(range(20)) AS rep))) x USING (record_id) WHERE w > 0)"""
+
+
+def _weighted(by: str, score: str = "p") -> str:
+    base = _BOOT.replace("SELECT t.*, w FROM", "SELECT t.*, x.rep, w FROM")
+    return f"""SELECT {by}, sum(pos) AS n_pos, sum(neg) AS n_neg, CASE WHEN sum(pos) * sum(neg) > 0 THEN sum(won) / (sum(pos) * sum(neg))::DOUBLE END AS auroc FROM (
+        SELECT *, pos * (coalesce(sum(neg) OVER (PARTITION BY {by} ORDER BY {score} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 0.5::DOUBLE * neg) AS won FROM (
+        SELECT {by}, {score}, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM {base} GROUP BY {by}, {score})) GROUP BY {by}"""
+
+
+_CI = "round(avg({0}), 6) AS mean, round(quantile_cont({0}, 0.025), 6) AS low, round(quantile_cont({0}, 0.975), 6) AS high, count({0}) AS replicates"
+
+
+def rows(spark, sf, test=False):
+    r = V.records(spark, sf).select("record_id", "sex", "device", "fold", G.age_band(F.col("age")).alias("band"))
+    df = V.predictions(spark, sf, two=True).join(r, "record_id")
+    return df.where("fold = 10") if test else df
+
+
+def rounded(df):
+    return df.select(*[r6(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query("F01_age_band", f"SELECT record_id, {_BAND} AS band FROM v_records")
+def band(spark, sf):
+    return V.records(spark, sf).select("record_id", G.age_band(F.col("age")).alias("band"))
+
+
+@query("F02_evaluable_labels", f"SELECT device, label FROM {_ROWS} GROUP BY ALL HAVING sum(y) > 0 AND sum(y) < count(*)")
+def evaluable(spark, sf):
+    return G.evaluable_labels(rows(spark, sf), "device")
+
+
+@query("F03_common_labels", _COMMON.format(g="device", t=_TEST))
+def common(spark, sf):
+    return G.common_labels(rows(spark, sf, test=True), "device")
+
+
+_BREAK = f"""SELECT band, n, round(macro_auroc, 6) AS macro_auroc, n_labels, n >= 50 AS reliable FROM (SELECT band, count(DISTINCT record_id) AS n FROM {_TEST} WHERE band IS NOT NULL GROUP BY band)
+    LEFT JOIN (SELECT band, avg(auroc) AS macro_auroc, count(auroc) AS n_labels FROM ({auroc_sql(f"(SELECT * FROM {_TEST} WHERE band IS NOT NULL AND label IN ({_COMMON.format(g='band', t=_TEST)}))", 'band, label')}) GROUP BY band) USING (band)"""
+
+
+@query("F04_breakdown", _BREAK)
+def breakdown(spark, sf):
+    return rounded(G.breakdown(rows(spark, sf, test=True), "band"))
+
+
+@query("F05_bootstrap_interval", f"SELECT {_CI.format('macro')} FROM (SELECT rep, avg(auroc) AS macro FROM ({_weighted('rep, label')}) GROUP BY rep)")
+def boot(spark, sf):
+    return rounded(G.bootstrap_macro(rows(spark, sf, test=True)))
+
+
+@query("F06_bootstrap_gap", f"""SELECT {_CI.format('gap')} FROM (SELECT rep, max(m) FILTER (sex = 0) - max(m) FILTER (sex = 1) AS gap FROM (SELECT sex, rep, avg(auroc) AS m FROM ({_weighted('sex, rep, label')}) GROUP BY sex, rep) GROUP BY rep)""")
+def gap(spark, sf):
+    return rounded(G.bootstrap_gap(rows(spark, sf, test=True), "sex", 0, 1))
+
+
+_GAPS = f"""SELECT label, round(gap, 6) AS gap, powered, CASE WHEN usable >= 20 THEN round(p_value, 6) END AS p_value, usable FROM (
+    SELECT label, max(auroc) FILTER (sex = 0) - max(auroc) FILTER (sex = 1) AS gap, least(max(n_pos) FILTER (sex = 0), max(n_pos) FILTER (sex = 1)) >= 10 AS powered FROM ({auroc_sql(_TEST, 'sex, label')}) GROUP BY label)
+    LEFT JOIN (SELECT label, least(1.0, 2 * least(avg((g <= 0)::INT), 1 - avg((g <= 0)::INT))) AS p_value, count(*) AS usable FROM (
+      SELECT label, rep, max(auroc) FILTER (sex = 0) - max(auroc) FILTER (sex = 1) AS g FROM ({_weighted('sex, rep, label')}) GROUP BY label, rep) WHERE g IS NOT NULL GROUP BY label) USING (label)"""
+
+
+@query("F07_label_gaps", _GAPS)
+def gaps(spark, sf):
+    return rounded(G.label_gaps(rows(spark, sf, test=True), "sex", 0, 1)).select("label", "gap", "powered", "p_value", "usable")
+
+
+@query("F08_false_discovery", f"""WITH g AS (SELECT label, p_value FROM ({_GAPS})), k AS (SELECT label, p_value, p_value * count(*) OVER () / row_number() OVER (ORDER BY p_value, label) AS raw FROM g WHERE p_value IS NOT NULL)
+    SELECT label, p_value, round(least(1.0, min(raw) OVER (ORDER BY p_value, label ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q_value FROM k UNION ALL SELECT label, p_value, NULL FROM g WHERE p_value IS NULL""")
+def fdr(spark, sf):
+    return rounded(G.step_up(gaps(spark, sf).select("label", "p_value")))
+
+
+@query("F09_largest_gap", f"SELECT CASE WHEN count(macro_auroc) >= 2 THEN round(max(macro_auroc) - min(macro_auroc), 6) END AS max_gap FROM ({_BREAK}) WHERE reliable")
+def largest(spark, sf):
+    return rounded(G.largest_gap(breakdown(spark, sf)))
+
+
+@query("F10_group_label_table", f"""SELECT label, max(auroc) FILTER (band = '18-39') AS "18-39", max(auroc) FILTER (band = '40-59') AS "40-59", max(auroc) FILTER (band = '60-74') AS "60-74", max(auroc) FILTER (band = '75+') AS "75+"
+    FROM (SELECT label, band, CASE WHEN n_pos >= 10 THEN round(auroc, 6) END AS auroc FROM ({auroc_sql(f"(SELECT * FROM {_ROWS} WHERE band IS NOT NULL)", 'label, band')})) GROUP BY label""")
+def group_label(spark, sf):
+    return G.group_label_table(rows(spark, sf), "band", [b[2] for b in G.AGE_BANDS])
+
+
+@query("F11_coverage", """SELECT device, count(*) AS n, count(*) FILTER (fold <= 8) AS n_train, count(*) FILTER (fold = 10) AS n_test, min(age) FILTER (age > 0 AND age <> 300) AS youngest,
+    round(count(*)::DOUBLE / (SELECT count(*) FROM v_records), 6) AS share FROM v_records GROUP BY device""")
+def coverage(spark, sf):
+    return rounded(G.coverage(V.records(spark, sf), "device"))
+
+
+_SE = """sqrt(greatest((a * (1 - a) + (n_pos - 1) * (a / (2 - a) - a * a) + (n_neg - 1) * (2 * a * a / (1 + a) - a * a)) / (n_pos * n_neg)::DOUBLE, 0.0))"""
+
+
+@query("F12_auroc_error", f"SELECT label, round({_SE}, 6) AS se FROM (SELECT *, auroc AS a FROM ({auroc_sql(_TEST, 'label')}))")
+def error(spark, sf):
+    a = S.auroc(rows(spark, sf, test=True), ["label"])
+    return rounded(a.select("label", G.auroc_error(F.col("auroc"), F.col("n_pos"), F.col("n_neg")).alias("se")))
+
+
+_LEV = f"""SELECT label, CASE WHEN np >= 2 AND nn > 0 THEN round(greatest(abs((won - lo) / ((np - 1) * nn)::DOUBLE - won / (np * nn)::DOUBLE), abs((won - hi) / ((np - 1) * nn)::DOUBLE - won / (np * nn)::DOUBLE)), 6) END AS leverage FROM (
+    SELECT label, sum(pos) AS np, sum(neg) AS nn, sum(pos * rank) AS won, min(rank) FILTER (pos > 0) AS lo, max(rank) FILTER (pos > 0) AS hi FROM (
+    SELECT *, coalesce(sum(neg) OVER (PARTITION BY label ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 0.5::DOUBLE * neg AS rank FROM (
+    SELECT label, p, sum(y) AS pos, sum(1 - y) AS neg FROM {_TEST} GROUP BY label, p)) GROUP BY label)"""
+
+
+@query("F13_leverage", _LEV)
+def lever(spark, sf):
+    return rounded(G.leverage(rows(spark, sf, test=True)))
+
+
+@query("F14_power_table", f"""SELECT label, n_pos::BIGINT AS n_test, round(a, 6) AS auroc, round(2 * 1.96::DOUBLE * {_SE}, 6) AS width, leverage, n_train FROM (SELECT *, auroc AS a FROM ({auroc_sql(_TEST, 'label')}))
+    LEFT JOIN ({_LEV}) USING (label) LEFT JOIN (SELECT label, sum(y)::BIGINT AS n_train FROM {_ROWS} WHERE fold <= 8 GROUP BY label) USING (label)""")
+def power(spark, sf):
+    return rounded(G.power_table(rows(spark, sf, test=True), rows(spark, sf).where("fold <= 8")))
+
+
+@query("F15_paired_delta", f"""SELECT {_CI.format('delta')} FROM (SELECT b - a AS delta FROM (SELECT rep, avg(auroc) AS a FROM ({_weighted('rep, label')}) GROUP BY rep) JOIN (SELECT rep, avg(auroc) AS b FROM ({_weighted('rep, label', 'p2')}) GROUP BY rep) USING (rep))""")
+def delta(spark, sf):
+    return rounded(G.paired_delta(rows(spark, sf, test=True)))
+
+
+@query("F16_target_vs_rest", f"""WITH a AS ({auroc_sql('v_pred', 'label')}) SELECT label, round(auroc, 6) AS auroc FROM a WHERE label IN (SELECT code FROM v_dict WHERE rhythm)
+    UNION ALL SELECT '(others)', round(avg(auroc), 6) FROM a WHERE label NOT IN (SELECT code FROM v_dict WHERE rhythm) AND n_pos > 0""")
+def target(spark, sf):
+    t = V.dictionary(spark, sf).where("rhythm").select(F.col("code").alias("label"))
+    return rounded(G.target_vs_rest(V.predictions(spark, sf), t))
+
+
+@query("F17_mcnemar", f"""WITH n AS (SELECT count(*) FILTER (p >= 0.5 AND p2 < 0.5)::INT AS b, count(*) FILTER (p < 0.5 AND p2 >= 0.5)::INT AS c FROM {_TEST} WHERE y = 1)
+    SELECT b::BIGINT AS b, c::BIGINT AS c, round(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma(b + c + 1.0) - lgamma(i + 1.0) - lgamma(b + c - i + 1.0) - (b + c) * ln(2.0))) FROM (SELECT unnest(range(0, least(b, c) + 1)) AS i))) END, 6) AS p_value FROM n""")
+def paired_test(spark, sf):
+    r = rows(spark, sf, test=True).where("y = 1")
+    return rounded(G.mcnemar(r, F.col("p") >= 0.5, F.col("p2") >= 0.5))
