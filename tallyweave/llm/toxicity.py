@@ -84,7 +84,7 @@ class LabelledIndex:
             at, cosine = self.nearest(self.vector(counts))
             z = self.slope * self.raw(at, cosine) + self.shift if len(at) else self.raw(at, cosine)
             evidence = [(int(i), float(c)) for i, c in zip(self.ids[at[:5]], cosine[:5], strict=True)]
-            self.memory[key] = (1 / (1 + math.exp(-z)), evidence)
+            self.memory[key] = (1 / (1 + math.exp(-min(max(z, -30.0), 30.0))), evidence)
         return self.memory[key]
 
 
