@@ -84,7 +84,7 @@ class LabelledIndex:
             at, cosine = self.nearest(self.vector(counts))
             z = self.slope * self.raw(at, cosine) + self.shift if len(at) else self.raw(at, cosine)
             evidence = [(int(i), float(c)) for i, c in zip(self.ids[at[:5]], cosine[:5], strict=True)]
-            self.memory[key] = (1 / (1 + math.exp(-min(max(z, -30.0), 30.0))), evidence)
+            self.memory[key] = (1 / (1 + math.exp(-min(max(z, -8.0), 8.0))), evidence)
         return self.memory[key]
 
 
@@ -124,6 +124,15 @@ def _calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(max(beta[0], 1e-3)), float(beta[1])
 
 
+def _telling(uses: DataFrame, n1: int, n0: int, least_ratio: float) -> DataFrame:
+    """term, ratio, lean of the terms whose uses (toxic, term) differ between the classes by that log-likelihood ratio."""
+    a, b = F.col("a"), F.col("b")
+    part = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
+    e1, e0 = (a + b) * (n1 / (n1 + n0)), (a + b) * (n0 / (n1 + n0))
+    counts = uses.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
+    return counts.withColumn("ratio", 2 * (part(a, e1) + part(b, e0))).withColumn("lean", (a > e1).cast("int")).where(F.col("ratio") >= least_ratio).select("term", "ratio", "lean")
+
+
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, *, per_class: int = 5_000, max_terms: int = 5_000, least_ratio: float = 24.0, neighbours: int = 25
 ) -> LabelledIndex:
@@ -132,9 +141,9 @@ def fit_toxicity(
     ``per_class`` bounds the labelled examples of each class (a hash sample of
     about that many; votes are weighted back to the classes' true shares), and
     ``max_terms`` the vocabulary: terms of the sample whose uses differ between
-    the classes by a log-likelihood ratio of ``least_ratio``. A term counts
-    once for each word that it follows, so that copies of a text don't make
-    its words telling. Both bounds hold
+    the classes by a log-likelihood ratio of ``least_ratio``, counted by
+    documents and also by the words that they follow, so that copies of a
+    text don't make its words telling. Both bounds hold
     for what reaches the driver and is broadcast. Inverse document
     frequencies are counted over all documents. Rows with a null id or label
     are not learned from; of an id with several labels the largest counts.
@@ -147,22 +156,19 @@ def fit_toxicity(
     chance = hash32(F.concat(F.lit("toxic:"), F.col("doc_id").cast("string"))) / F.lit(4294967296.0)
     sample = known.where(chance < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))
-    pairs = F.transform("w", lambda x, i: F.struct(x.alias("term"), F.xxhash64(F.when(i > 0, F.get("w", i - 1))).alias("after")))
-    terms = rows.select("toxic", words.alias("w")).select("toxic", F.explode(F.array_distinct(pairs)).alias("p")).select("toxic", "p.*").distinct()
     size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     prior = (counts.get(1, 0) + 0.1) / (sum(counts.values()) + 10)
     if not n1 or not n0:
         return LabelledIndex({}, np.array([], int), np.array([]), np.array([]), {}, {}, neighbours, prior)
-    a, b = F.col("a"), F.col("b")
-    part = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
-    ratio = 2 * (part(a, (a + b) * (n1 / (n1 + n0))) + part(b, (a + b) * (n0 / (n1 + n0))))
+    words = rows.select("toxic", F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)).alias("w"))
+    by_document = words.select("toxic", F.explode(F.array_distinct("w")).alias("term"))
+    likely = _telling(by_document, n1, n0, least_ratio).orderBy(F.desc("ratio"), "term").limit(4 * max_terms).select("term", F.col("lean").alias("document_lean"))
+    pairs = F.transform("w", lambda x, i: F.struct(x.alias("term"), F.xxhash64(F.when(i > 0, F.get("w", i - 1))).alias("after")))
+    by_context = words.select("toxic", F.explode(F.array_distinct(pairs)).alias("p")).select("toxic", "p.*").join(F.broadcast(likely), "term").distinct()
     chosen = (
-        terms.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
-        .withColumn("ratio", ratio).where(F.col("ratio") >= least_ratio)
-        .orderBy(F.desc("ratio"), "term").limit(max_terms).select("term")
-    )
+        _telling(by_context, n1, n0, least_ratio).join(likely, "term").where("lean = document_lean").orderBy(F.desc("ratio"), "term").limit(max_terms)
+    )
     vocabulary = {r["term"] for r in chosen.collect()}
     idf = _idf(docs, vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
