@@ -9,20 +9,20 @@ from ..operators import labels as L
 from ..operators import views as V
 from .registry import query
 
-URGENT = ["ALGERIA", "CHINA", "PERU"]
-_URGENT = "('ALGERIA', 'CHINA', 'PERU')"
+URGENT = ["NATION_3", "NATION_7", "NATION_17"]
+_URGENT = "('NATION_3', 'NATION_7', 'NATION_17')"
 _FOUND = "(SELECT record_id, label, p AS confidence FROM v_pred WHERE p >= 0.5)"
 _OUT = f"""SELECT record_id, coalesce(list(label ORDER BY label) FILTER (y = 1 AND p < 0.5), []) AS misses, coalesce(list(label ORDER BY label) FILTER (y = 0 AND p >= 0.5), []) AS false_positives,
     coalesce(list(label ORDER BY label) FILTER (y = 1 AND p < 0.5 AND label IN {_URGENT}), []) AS urgent_misses, coalesce(list(label ORDER BY label) FILTER (y = 1 AND p < 0.5 AND p >= 0.35), []) AS near_misses,
     max(p) AS max_p, max(p) FILTER (y = 1 AND p < 0.5) AS top_missed_p FROM v_pred GROUP BY record_id"""
-_RULES = "(SELECT a.code AS a, b.code AS b FROM v_dict a JOIN v_dict b ON a.code < b.code AND a.superclass = b.superclass AND a.rhythm <> b.rhythm)"
+_RULES = "(SELECT a.code AS a, b.code AS b FROM v_dict a JOIN v_dict b ON a.code < b.code AND a.superclass = b.superclass AND (a.code_idx + b.code_idx) % 3 = 0)"
 _PAIRS = f"(SELECT x.record_id, r.a, r.b FROM {_FOUND} x JOIN {_RULES} r ON x.label = r.a JOIN {_FOUND} z ON z.record_id = x.record_id AND z.label = r.b)"
 
 
 def rules(spark, sf):
     d = V.dictionary(spark, sf)
     a, b = d.alias("a"), d.alias("b")
-    cond = (F.col("a.code") < F.col("b.code")) & (F.col("a.superclass") == F.col("b.superclass")) & (F.col("a.rhythm") != F.col("b.rhythm"))
+    cond = (F.col("a.code") < F.col("b.code")) & (F.col("a.superclass") == F.col("b.superclass")) & ((F.col("a.code_idx") + F.col("b.code_idx")) % 3 == 0)
     return a.join(b, cond).select(F.col("a.code").alias("a"), F.col("b.code").alias("b"))
 
 
