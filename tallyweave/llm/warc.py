@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -68,7 +69,7 @@ def _records(page_id, url, payload, digest, first, segment_chars, chunk_chars) -
 
 
 def write_archives(
-    pages: DataFrame, path: str, *, min_dedup_bytes: int = 0, segment_chars: int = 32_768, chunk_chars: int = 4_096, records_per_file: int = 4_000
+    pages: DataFrame, path: str, *, min_dedup_bytes: int = 0, segment_chars: int = 32_768, chunk_chars: int = 4_096, records_per_file: int = 4_000, compression: str = "gzip"
 ) -> None:
     """Write ``pages`` (page_id, url, html) as WARC 1.1 files below ``path``.
 
@@ -102,11 +103,13 @@ def write_archives(
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
     records = rows.mapInArrow(run, "value string")
-    records.write.option("lineSep", _END).option("maxRecordsPerFile", records_per_file).mode("overwrite").text(path)
+    records.write.option("lineSep", _END).option("maxRecordsPerFile", records_per_file).option("compression", compression).mode("overwrite").text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple]:
-    """The records of one archive file, by their Content-Length."""
+    """The records of one archive file (plain or gzip), by their Content-Length."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.index(b"\r\n\r\n", at)
