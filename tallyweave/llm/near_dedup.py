@@ -147,9 +147,9 @@ def near_duplicates(
     bodies = staging.save(active.select("node").join(docs, F.col("node") == F.col("doc_id")).select("node", "text"), "bodies")
     links, parts, todo, keep, k = None, None, active, 2, 0
     while True:
-        rows = todo.select("node", "sig", *(["part"] if parts is not None else []), F.explode(F.arrays_zip("keys", "deeps")).alias("z"))
+        rows = todo.select("node", "sig", *(["part"] if parts is not None else []), F.posexplode(F.arrays_zip("keys", "deeps")).alias("tree", "z"))
         rows = rows.select("*", F.col("z.keys").alias("key"), F.col("z.deeps").alias("deep")).drop("z")
-        found = staging.save(neighbour_pairs(rows, window=window, keep=keep, least=num / den - 0.07), f"found-{k}")
+        found = staging.save(neighbour_pairs(rows, window=window, keep=keep, least=num / den - 0.07, orders=_ORDERS), f"found-{k}")
         new = verified_links(
             found.where("a <> b"), bodies, lambda t: list(shingle_sets(t, shingle_words)), staging, f"verify-{k}", num=num, den=den
         )

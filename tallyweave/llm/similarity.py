@@ -63,22 +63,30 @@ def portions(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int
         yield at, len(texts)
 
 
-def neighbour_pairs(rows: DataFrame, *, window: int, keep: int = 0, least: float = 0.0) -> DataFrame:
+def common_prefixes(equal: np.ndarray, orders: np.ndarray) -> np.ndarray:
+    """Length of the run of equal values that a pair shares at the start of each order (pairs x orders)."""
+    agree = np.concatenate([equal[:, orders], np.zeros((len(equal), len(orders), 1), bool)], axis=2)
+    return agree.argmin(2)
+
+
+def neighbour_pairs(rows: DataFrame, *, window: int, keep: int = 0, least: float = 0.0, orders: np.ndarray | None = None) -> DataFrame:
     """Pairs (a < b) of nodes that stand within ``window`` places in one region of the sorted rows.
 
     ``rows``: key long, deep (any sortable), node long, and optionally sig
     binary of equal lengths and part long. With ``sig``, a pair needs a share
     of at least ``least`` equal signature bytes, and ``keep`` pairs of a node
     are enough (those with the largest shares); a node with more is reported
-    by a row (node, node), for another round. With ``part``, pairs within one
-    part are left out.
+    by a row (node, node), for another round. With ``orders`` and a column
+    ``tree`` (the order of a row), a pair is given only by the orders in which
+    it shares a prefix within one of its longest, where it stands nearest.
+    With ``part``, pairs within one part are left out.
 
     Rows are dealt by ranges of (key, deep, node), so a region of any size
     spreads over tasks; a task keeps ``window`` rows from batch to batch.
     Regions cut by a range boundary lose the pairs across it in this order
     only; the other orders have them.
     """
-    names = [c for c in ("key", "deep", "node", "sig", "part") if c in rows.columns]
+    names = [c for c in ("key", "deep", "node", "sig", "tree", "part") if c in rows.columns]
     dealt = rows.select(*names).repartitionByRange(partitions(rows.sparkSession), "key", "deep", "node").sortWithinPartitions("key", "deep", "node")
     dealt = dealt.drop("deep")
 
@@ -89,9 +97,11 @@ def neighbour_pairs(rows: DataFrame, *, window: int, keep: int = 0, least: float
             if not n:
                 continue
             key, node = batch.column("key").to_numpy(zero_copy_only=False), batch.column("node").to_numpy(zero_copy_only=False)
-            sig = part = None
+            sig = part = tree = None
             if "sig" in names:
                 sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(n, -1)
+            if "tree" in names:
+                tree = batch.column("tree").to_numpy(zero_copy_only=False)
             if "part" in names:
                 part = batch.column("part").to_numpy(zero_copy_only=False)
             carried = 0
@@ -100,6 +110,7 @@ def neighbour_pairs(rows: DataFrame, *, window: int, keep: int = 0, least: float
                 key, node = np.concatenate([held[0], key]), np.concatenate([held[1], node])
                 sig = None if sig is None else np.concatenate([held[2], sig])
                 part = None if part is None else np.concatenate([held[3], part])
+                tree = None if tree is None else np.concatenate([held[4], tree])
             found = []
             for s in range(1, min(window, len(key) - 1) + 1):
                 first = max(0, carried - s)
@@ -113,9 +124,16 @@ def neighbour_pairs(rows: DataFrame, *, window: int, keep: int = 0, least: float
                 if sig is not None:
                     share = np.concatenate([(sig[x] == sig[x + s]).mean(1) for x in np.array_split(at, max(1, len(at) >> 13))])
                     at, share = at[share >= least], share[share >= least]
+                    if orders is not None and len(at):
+                        near = []
+                        for x in np.array_split(at, max(1, len(at) >> 11)):
+                            run = common_prefixes(sig[x] == sig[x + s], orders)
+                            near.append(run[np.arange(len(x)), tree[x]] >= run.max(1) - 1)
+                        near = np.concatenate(near)
+                        at, share = at[near], share[near]
                 if len(at):
                     found.append((node[at], node[at + s], share))
-            held = [None if x is None else x[-window:] for x in (key, node, sig, part)]
+            held = [None if x is None else x[-window:] for x in (key, node, sig, part, tree)]
             if not found:
                 continue
             a, b, share = (np.concatenate(x) for x in zip(*found, strict=True))
