@@ -1 +1,38 @@
+"""Batch twins of the stream operators."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import views as V
+from ..streaming import monitor as M
+from .registry import query
+from .subgroups_queries import rounded
+
+
+@query("W01_rolling_windows", """SELECT source, code, start, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS most FROM (SELECT user_id AS source, event_type AS code, value, date_trunc('day', ts) - unnest(range(10)) * INTERVAL 1 DAY AS start FROM events) GROUP BY ALL""")
+def rolling(spark, sf):
+    e = V.table(spark, sf, "events").select(F.col("user_id").alias("source"), F.col("event_type").alias("code"), "ts", "value")
+    return rounded(M.rolling_windows(e, "10 days", "1 day"))
+
+
+@query("W03_confirmations", """WITH f AS (SELECT DISTINCT source, hop, code FROM v_stream WHERE fired), g AS (SELECT b.source, b.code, t.hop, CASE WHEN f.code IS NULL THEN 0 ELSE 1 END AS hit FROM (SELECT source, code, min(hop) AS first FROM f GROUP BY ALL) b
+    JOIN (SELECT DISTINCT source, hop FROM v_stream) t ON t.source = b.source AND t.hop >= b.first LEFT JOIN f ON f.source = b.source AND f.code = b.code AND f.hop = t.hop),
+    h AS (SELECT *, sum(hit) OVER (PARTITION BY source, code ORDER BY hop ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS hits FROM g),
+    s AS (SELECT *, coalesce(last_value(CASE WHEN hits >= 3 THEN 1 WHEN hits = 0 THEN 0 END IGNORE NULLS) OVER (PARTITION BY source, code ORDER BY hop ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS state FROM h)
+    SELECT source, code, hop, CASE WHEN state = 1 THEN 'onset' ELSE 'offset' END AS event FROM (SELECT *, coalesce(lag(state) OVER (PARTITION BY source, code ORDER BY hop), 0) AS before FROM s) WHERE state <> before""")
+def confirmed(spark, sf):
+    return M.confirmations(V.stream_hops(spark, sf), 3, 5)
+
+
+@query("W07_churn", """WITH c AS (SELECT source, hop, coalesce(list(DISTINCT code ORDER BY code) FILTER (fired), []) AS codes FROM v_stream GROUP BY ALL), d AS (SELECT *, (coalesce(lag(codes) OVER (PARTITION BY source ORDER BY hop), []) <> codes)::INT AS changed FROM c)
+    SELECT source, hops, changes, coalesce(codes_ever, 0) AS codes_ever FROM (SELECT source, count(*) AS hops, sum(changed)::BIGINT AS changes FROM d GROUP BY source) LEFT JOIN (SELECT source, count(DISTINCT code) AS codes_ever FROM v_stream WHERE fired GROUP BY source) USING (source)""")
+def churn(spark, sf):
+    return M.churn(V.stream_hops(spark, sf))
+
+
+@query("W08_request_metrics", """SELECT key, count(*) AS n, count(*) FILTER (NOT ok) AS errors, round(count(*) FILTER (NOT ok)::DOUBLE / count(*), 6) AS error_rate, round(quantile_cont(latency, 0.5), 6) AS p50, round(quantile_cont(latency, 0.95), 6) AS p95, round(quantile_cont(latency, 0.99), 6) AS p99,
+    round(avg(latency), 6) AS mean, max(latency) AS most FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, id DESC) AS k FROM (SELECT user_id % 10 AS key, ts, event_id AS id, event_type <> 'error' AS ok, value AS latency FROM events)) WHERE k <= 200 GROUP BY key""")
+def metrics(spark, sf):
+    e = V.table(spark, sf, "events").select((F.col("user_id") % 10).alias("key"), "ts", F.col("event_id").alias("id"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("latency"))
+    return rounded(M.request_metrics(e, 200))
