@@ -141,15 +141,13 @@ def exclusive(spark, sf):
     return C.exclusive_pairs(found(spark, sf), rules(spark, sf))
 
 
-_IMP = "(SELECT l_orderkey AS record_id, n_name AS code, l_suppkey AS lead, round(sum(round(l_extendedprice * 100)::BIGINT) / 100.0::DOUBLE, 2) AS importance FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL)"
-
-
-@query("R05_cited_conflicts", f"""SELECT record_id, code, lead, rank FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY importance DESC, lead) AS rank, count(*) OVER (PARTITION BY record_id) AS leads
-    FROM (SELECT record_id, 'any' AS code, lead, sum(round(importance * 100)::BIGINT) AS importance FROM {_IMP} GROUP BY ALL)) WHERE rank > leads - 3 AND leads > 3 AND lead % 2 = 0""")
+@query("R05_cited_conflicts", """SELECT record_id, code, lead, rank FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY importance DESC, lead) AS rank, count(*) OVER (PARTITION BY record_id) AS leads
+    FROM (SELECT l_orderkey AS record_id, 'any' AS code, l_suppkey AS lead, sum(round(l_extendedprice * 100)::BIGINT) AS importance FROM lineitem GROUP BY ALL)) JOIN (SELECT DISTINCT l_orderkey AS record_id, l_suppkey AS lead FROM lineitem WHERE l_returnflag = 'R') USING (record_id, lead) WHERE rank > leads - 3 AND leads > 3""")
 def cited(spark, sf):
     li = V.table(spark, sf, "lineitem")
     imp = li.groupBy(F.col("l_orderkey").alias("record_id"), F.col("l_suppkey").alias("lead")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("importance")).withColumn("code", F.lit("any"))
-    return C.cited_conflicts(imp.where("lead % 2 = 0").select("record_id", "code", "lead"), imp)
+    cites = li.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("record_id"), F.lit("any").alias("code"), F.col("l_suppkey").alias("lead")).distinct()
+    return C.cited_conflicts(cites, imp)
 
 
 _FLAGS = f"(SELECT record_id, label, 'low' AS type FROM {_FOUND} WHERE confidence < 0.7 UNION ALL SELECT record_id, a, 'exclusive' FROM {_PAIRS} UNION ALL SELECT record_id, b, 'exclusive' FROM {_PAIRS})"
