@@ -19,6 +19,8 @@ from .similarity import mixed
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_FILE_BYTES = 64 << 20
 _ROUNDS = 6
+#: Up to so many input splits their first numbers are broadcast; beyond it they are joined.
+_SPLITS = 200_000
 
 
 def feistel_slots(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -114,12 +116,14 @@ def training_order(
     """
     spark = docs.sparkSession
     staging = staging or Staging(spark, "order")
-    rows = staging.save(token_sequences(docs, ranks_path, length), "sequences")
+    rows = staging.save(token_sequences(docs, ranks_path, length), "sequences", compression="zstd")
     group = ["file", "start", "part"]
     counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(W.orderBy(*group).rowsBetween(W.unboundedPreceding, -1))  # a row per input split
     firsts = counts.withColumn("first", F.coalesce(before, F.lit(0))).drop("n")
     n = rows.count()
+    if counts.count() <= _SPLITS:
+        firsts = F.broadcast(firsts)
 
     def slots(batches):
         for batch in batches:
