@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import Staging
 from .components import connected_components
-from .similarity import RangeHash, mixed, neighbour_pairs, verified_links
+from .similarity import RangeHash, crowded_links, crowded_rows, mixed, neighbour_pairs, verified_links
 
 _BANDS, _ROWS = 12, 4
 _HASHES = _BANDS * _ROWS
@@ -154,8 +154,10 @@ def repeated_lines(
 
     Candidates share one of 12 bands of 4 MinHash values: a pair at 0.8 does
     with a probability of 0.998, at 0.9 of 0.99999. Within a band's bucket rows
-    are sorted by the next band's key, and each is held against the next
-    ``window``, so a bucket of any size gives linearly many candidates.
+    are made distinct by line; one of more than ``window`` + 1 lines is not
+    listed as pairs: all its lines are held against each other exactly, in
+    blocks, so a bucket of any size gives at most one link for each line and
+    pair of blocks.
 
     Null and empty texts have no lines, and rows without a doc_id take no
     part. Rows that repeat a doc_id are one document. No rows give no rows.
@@ -166,21 +168,25 @@ def repeated_lines(
     signed = lines.where("bands is not null").select(F.col("line").alias("node"), "bands", F.posexplode("bands").alias("k", "key"))
     rows = signed.select("key", F.expr(f"element_at(bands, (k + 1) % {_BANDS} + 1)").alias("deep"), "node")
     found = staging.save(neighbour_pairs(rows, window=window), "found")
+    crowded = crowded_rows(rows.select("key", "node"), found, staging, "crowded")
+    found = found.where("b is not null")
     lines = staging.save(lines.select("doc_id", "line_no", "line"), "places")
     staging.drop("lines")
     first = lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
 
-    nodes = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = found.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowded.select("node")).distinct()
     places = nodes.join(first, F.col("node") == F.col("line")).select("node", F.col("at.doc_id").alias("doc_id"), "at.line_no")
     bodies = places.join(key, "doc_id").select("node", F.element_at(F.split("text", "\n"), F.col("line_no") + 1).alias("text"))
     bodies = staging.save(bodies, "bodies")
-    links = verified_links(found, bodies, lambda t: shingle_sets(t, chars), staging, "verify", num=num, den=den)
+    to_sets = lambda t: shingle_sets(t, chars)
+    links = verified_links(found, bodies, to_sets, staging, "verify", num=num, den=den)
+    links = links.unionByName(crowded_links(crowded, bodies, to_sets, num=num, den=den))
     parts = connected_components(links, staging, "parts").withColumnRenamed("node", "line")
     grouped = staging.save(
         lines.select("doc_id", "line_no", "line").join(parts, "line", "left").select("doc_id", "line_no", F.coalesce("component", "line").alias("group")),
         "grouped",
     )
-    staging.drop("places", "found", "bodies")
+    staging.drop("places", "found", "bodies", "crowded")
     leaders = grouped.groupBy("group").agg(F.min(F.struct("doc_id", "line_no")).alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return grouped.join(leaders, "group").where("struct(doc_id, line_no) <> leader").select("doc_id", "line_no")
 

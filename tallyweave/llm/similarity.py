@@ -1,9 +1,10 @@
 """Candidate pairs from sorted keys and their exact verification, without pairs of whole groups.
 
 ``neighbour_pairs`` looks along rows sorted by (key, deep, node): rows with one
-key are a region, and near rows in it share the longest run of signature
-values. ``verified_links`` sends the texts of candidate pairs block by block
-and keeps, of the pairs that pass the exact test, a spanning forest.
+key are a region. Regions longer than its window are named, and
+``crowded_links`` and ``crowded_pairs`` hold all their members against each
+other in blocks. ``verified_links`` sends the texts of candidate pairs block by
+block and keeps, of the pairs that pass the exact test, a spanning forest.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ def common_prefixes(equal: np.ndarray, orders: np.ndarray) -> np.ndarray:
 
 
 def neighbour_pairs(rows: DataFrame, *, window: int, keep: int = 0, least: float = 0.0, orders: np.ndarray | None = None) -> DataFrame:
-    """Pairs (a < b) of nodes that stand within ``window`` places in one region of the sorted rows.
+    """Pairs (a < b) of nodes in one region of the sorted rows, and a row (key, null) for every region not searched whole.
 
     ``rows``: key long, deep (any sortable), node long, and optionally sig
     binary of equal lengths and part long. With ``sig``, a pair needs a share
@@ -78,20 +79,24 @@ def neighbour_pairs(rows: DataFrame, *, window: int, keep: int = 0, least: float
     are enough (those with the largest shares); a node with more is reported
     by a row (node, node), for another round. With ``orders`` and a column
     ``tree`` (the order of a row), a pair is given only by the orders in which
-    it shares a prefix within one of its longest, where it stands nearest.
+    it shares a prefix within one of its longest; it shares those regions too.
     With ``part``, pairs within one part are left out.
 
     Rows are dealt by ranges of (key, deep, node), so a region of any size
-    spreads over tasks; a task keeps ``window`` rows from batch to batch.
-    Regions cut by a range boundary lose the pairs across it in this order
-    only; the other orders have them.
+    spreads over tasks; a task keeps ``window`` + 1 rows from batch to batch.
+    A row that repeats a (key, node) is dropped. Regions of more than
+    ``window`` + 1 nodes, and those that a range boundary may cut, are named
+    for ``crowded_pairs`` or ``crowded_links``; all others give all their pairs.
     """
     names = [c for c in ("key", "deep", "node", "sig", "tree", "part") if c in rows.columns]
     dealt = rows.select(*names).repartitionByRange(partitions(rows.sparkSession), "key", "deep", "node").sortWithinPartitions("key", "deep", "node")
     dealt = dealt.drop("deep")
 
+    def named(keys):
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.nulls(len(keys), pa.int64())], names=["a", "b"])
+
     def scan(batches):
-        held = None
+        held, begun = None, False
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -111,13 +116,23 @@ def neighbour_pairs(rows: DataFrame, *, window: int, keep: int = 0, least: float
                 sig = None if sig is None else np.concatenate([held[2], sig])
                 part = None if part is None else np.concatenate([held[3], part])
                 tree = None if tree is None else np.concatenate([held[4], tree])
+            fresh = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+            key, node, sig, part, tree = (None if x is None else x[fresh] for x in (key, node, sig, part, tree))
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            sizes = np.diff(np.r_[starts, len(key)])
+            long = np.repeat(sizes > window + 1, sizes)
+            whole = key[starts[sizes > window + 1]]
+            if not begun:
+                begun, whole = True, np.append(whole, key[0])
+            if len(whole):
+                yield named(whole)
             found = []
             for s in range(1, min(window, len(key) - 1) + 1):
                 first = max(0, carried - s)
                 at = np.flatnonzero(key[first:-s] == key[first + s :]) + first
                 if not len(at):
                     break
-                at = at[node[at] != node[at + s]]
+                at = at[~long[at]]
                 if part is not None:
                     at = at[part[at] != part[at + s]]
                 share = np.ones(len(at))
@@ -133,7 +148,7 @@ def neighbour_pairs(rows: DataFrame, *, window: int, keep: int = 0, least: float
                         at, share = at[near], share[near]
                 if len(at):
                     found.append((node[at], node[at + s], share))
-            held = [None if x is None else x[-window:] for x in (key, node, sig, part, tree)]
+            held = [None if x is None else x[-window - 1 :] for x in (key, node, sig, part, tree)]
             if not found:
                 continue
             a, b, share = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -152,10 +167,132 @@ def neighbour_pairs(rows: DataFrame, *, window: int, keep: int = 0, least: float
                 lo, hi = np.concatenate([lo[~full], more]), np.concatenate([hi[~full], more])
             both = np.unique(np.stack([lo, hi]), axis=1) if len(lo) else np.empty((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+        if held is not None:
+            yield named(held[0][-1:])
 
     return dealt.mapInArrow(scan, "a long, b long").distinct()
 
 
+def crowded_rows(rows: DataFrame, found: DataFrame, staging: Staging, name: str) -> DataFrame:
+    """The distinct rows (by key and node) of the regions that ``neighbour_pairs`` named in ``found``, written."""
+    keys = staging.save(found.where("b is null").select(F.col("a").alias("key")), f"{name}-keys")
+    few = F.broadcast(keys) if keys.count() < 2_000_000 else keys
+    return staging.save(rows.join(few, "key", "left_semi").dropDuplicates(["key", "node"]), name)
+
+
+def _block_pairs(rows: DataFrame, block: int, chars: int) -> DataFrame:
+    """``rows`` (key, node, n, ...) once for each pair (x, y) of blocks of its region in which its own block takes part, sorted by it.
+
+    A region is cut by hash into blocks of about ``block`` rows and ``chars``
+    of the sum of n; every two of its rows meet in some pair of blocks.
+    """
+    sums = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")).where("rows > 1")
+    sums = sums.select("key", F.expr(f"cast(greatest(ceil(rows / {block}), ceil(total / {chars}), 1) as int)").alias("blocks"))
+    own = rows.join(sums, "key").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    others = F.expr("if(blocks = 1, array(0), filter(sequence(0, blocks - 1), i -> i <> own))")
+    met = own.withColumn("o", F.explode(others)).withColumn("x", F.least("own", "o")).withColumn("y", F.greatest("own", "o")).drop("own", "o", "blocks", "n")
+    return met.repartition(partitions(rows.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y", "node")
+
+
+def _by_region(batches) -> Iterator[pa.Table]:
+    """Sorted rows as one table for each (key, x, y)."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        if held is not None:
+            rows = pa.concat_tables([held, rows])
+        marks = [rows.column(c).to_numpy() for c in ("key", "x", "y")]
+        cuts = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
+        for a, b in zip(np.r_[0, cuts[:-1]], cuts, strict=True) if len(cuts) else ():
+            yield rows.slice(a, b - a)
+        held = rows.slice(int(cuts[-1]) if len(cuts) else 0)
+    if held is not None:
+        yield held
+
+
+def linked_within(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among ``sets``: each set meets all that no link has reached yet."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(ids, kind="stable")
+    holders, bounds = owner[order], np.searchsorted(ids[order], np.arange(ids.max(initial=-1) + 2))
+    own = np.split(ids, np.cumsum(size)[:-1])
+    left, links = np.ones(len(sets), bool), []
+    for seed in range(len(sets)):
+        waiting = [seed] if left[seed] else []
+        left[seed] = False
+        while waiting:
+            i = waiting.pop()
+            if not left.any():
+                return links
+            met = [holders[bounds[t] : bounds[t + 1]] for t in own[i]]
+            common = np.bincount(np.concatenate(met), minlength=len(sets)) if met else np.zeros(len(sets), np.int64)
+            now = np.flatnonzero(left & (common > 0) & (den * common >= num * (size[i] + size - common)))
+            left[now] = False
+            links += [(i, int(j)) for j in now]
+            waiting += now.tolist()
+    return links
+
+
+def crowded_links(
+    rows: DataFrame, texts: DataFrame, to_sets: Callable[[list[str]], list[np.ndarray]], *, num: int, den: int, block: int = 2_000, chars: int = 4_000_000
+) -> DataFrame:
+    """Links (a, b) that connect what exact links among all members of each region of ``rows`` (key, node) connect."""
+
+    def run(batches):
+        for region in _by_region(batches):
+            nodes = region.column("node").to_pylist()
+            links = linked_within(list(to_sets(region.column("text").to_pylist())), num, den)
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in links], pa.int64()), pa.array([nodes[j] for _, j in links], pa.int64())], names=["a", "b"])
+
+    whole = rows.select("key", "node").join(texts.select("node", "text"), "node").withColumn("n", F.length("text").cast("long"))
+    return _block_pairs(whole, block, chars).mapInArrow(run, "a long, b long").distinct()
+
+
+def crowded_pairs(rows: DataFrame, *, keep: int, least: float, block: int = 1_000) -> DataFrame:
+    """As ``neighbour_pairs`` with ``sig``, of all members of each region of ``rows`` (key, node, sig, optionally part).
+
+    ``keep`` pairs of a node and pair of blocks are enough; a node with more is
+    reported by a row (node, node).
+    """
+
+    def run(batches):
+        for region in _by_region(batches):
+            n = region.num_rows
+            node = region.column("node").to_numpy()
+            part = region.column("part").to_numpy() if "part" in region.column_names else node
+            if (part == part[0]).all():
+                continue
+            sig = np.frombuffer(b"".join(region.column("sig").to_pylist()), np.uint8).reshape(n, -1)
+            columns, needed = np.ascontiguousarray(sig.T), least * sig.shape[1] - 1e-9
+            a, b = [], []
+            for k in range(0, n, 256):
+                equal = np.zeros((min(256, n - k), n), np.uint8)
+                for c in columns:
+                    equal += c[k : k + 256, None] == c
+                equal[(equal < needed) | (part[k : k + 256, None] == part)] = 0
+                if keep < n:
+                    more = np.flatnonzero((equal > 0).sum(1) > keep)
+                    top = np.argpartition(equal[more], n - keep, axis=1)[:, n - keep :]
+                    best = np.take_along_axis(equal[more], top, 1)
+                    equal[more] = 0
+                    equal[more[:, None], top] = best
+                    a.append(node[k + more])
+                    b.append(node[k + more])
+                i, j = np.nonzero(equal)
+                a.append(node[k + i])
+                b.append(node[j])
+            a, b = np.concatenate(a), np.concatenate(b)
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    whole = rows.select("key", "node", "sig", *[c for c in ("part",) if c in rows.columns]).withColumn("n", F.lit(0))
+    return _block_pairs(whole, block, 1).mapInArrow(run, "a long, b long").distinct()
+
+
 def verified_links(
     pairs: DataFrame,
     texts: DataFrame,

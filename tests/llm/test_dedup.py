@@ -1,6 +1,6 @@
 import random
 
-from tallyweave.llm import line_dedup, near_dedup
+from tallyweave.llm import line_dedup, near_dedup, similarity
 from tallyweave.llm.common import Staging
 from tallyweave.llm.components import connected_components
 
@@ -108,3 +108,49 @@ def test_lines_equal_brute_force(spark):
         if t is not None:
             assert cut[d] == "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in got)
     assert line_dedup.line_decisions(docs.limit(0)).count() == 0
+
+
+def star_of_lines(n):
+    """Rows of a frequent line and of ``n`` variants, each alike to it and not to one another."""
+    rnd = random.Random(21)
+    hub = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400))
+    variants = []
+    for _ in range(n):
+        line = list(hub)
+        for k in rnd.sample(range(400), 4):
+            line[k] = rnd.choice("0123456789")
+        variants.append("".join(line))
+    return [(i, f"{v}\n{hub}" if i % 3 == 0 else v) for i, v in enumerate(variants)]
+
+
+def test_lines_of_a_crowded_bucket_equal_brute_force(spark):
+    rows = star_of_lines(300)
+    got = {(r.doc_id, n) for r in line_dedup.line_decisions(documents(spark, rows).repartition(16)).collect() for n in r.removed}
+    assert got == brute_lines(rows)
+
+
+def test_lines_of_a_bucket_in_several_blocks(spark):
+    lines = dict(enumerate(x for _, t in star_of_lines(60)[1:] for x in t.split("\n")))
+    sets = {i: set(line_dedup.shingle_sets([t], 8)[0].tolist()) for i, t in lines.items()}
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    texts = spark.createDataFrame(list(lines.items()), "node long, text string")
+    rows = texts.selectExpr("cast(5 as bigint) as key", "node")
+    links = similarity.crowded_links(rows, texts, lambda t: line_dedup.shingle_sets(t, 8), num=80, den=100, block=20).collect()
+    pairs = {(r.a, r.b) for r in links}
+    assert all(alike(a, b) for a, b in pairs)
+    assert components(lines, lambda a, b: (a, b) in pairs or (b, a) in pairs) == components(lines, alike)
+
+
+def test_documents_of_a_crowded_region_equal_brute_force(spark):
+    rnd = random.Random(4)
+    base = [f"b{k}" for k in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 500):
+        w = list(base)
+        for k in rnd.sample(range(400), 9):
+            w[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(w)))
+    got = near_dedup.near_duplicates(documents(spark, rows), shingle_words=3, num=85, den=100, window=8).collect()
+    sets = {d: shingles(t, 3) for d, t in rows}
+    want = components(sets, lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]))
+    assert {r.doc_id: r.component_id for r in got} == want
