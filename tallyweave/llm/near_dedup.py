@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import Staging
 from .components import connected_components
-from .similarity import RangeHash, mixed, neighbour_pairs, portions, verified_links
+from .similarity import RangeHash, crowded_pairs, crowded_rows, mixed, neighbour_pairs, portions, verified_links
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -115,10 +115,10 @@ def near_duplicates(
 
     LSH forest: each of 24 orders of the MinHash values sorts the signatures;
     documents that agree on an order's first five values form a region, and
-    within it those next to each other agree longest, so a dense region is
-    searched to a greater depth than a sparse one. Candidates lie within
-    ``window`` places in some order whose share of equal values (of 192) is
-    at most 0.07 below the threshold. A document first gives its 2 likeliest
+    all pairs of a region are compared by their share of equal values (of
+    192): in the sorted order where it has at most ``window`` + 1 documents,
+    in blocks where it has more. Candidates are those whose share is at most
+    0.07 below the threshold. A document first gives its 2 likeliest
     candidates of an order, and one with more takes part in further rounds,
     against other components only, until none has more. All links are
     confirmed on the full sets. A pair at 0.85 shares a region of some order
@@ -149,14 +149,19 @@ def near_duplicates(
     while True:
         rows = todo.select("node", "sig", *(["part"] if parts is not None else []), F.posexplode(F.arrays_zip("keys", "deeps")).alias("tree", "z"))
         rows = rows.select("*", F.col("z.keys").alias("key"), F.col("z.deeps").alias("deep")).drop("z")
-        found = staging.save(neighbour_pairs(rows, window=window, keep=keep, least=num / den - 0.07, orders=_ORDERS), f"found-{k}")
+        least = num / den - 0.07
+        near = staging.save(neighbour_pairs(rows, window=window, keep=keep, least=least, orders=_ORDERS), f"near-{k}")
+        crowded = crowded_rows(rows.drop("deep", "tree"), near, staging, f"crowded-{k}")
+        found = near.where("b is not null").unionByName(crowded_pairs(crowded, keep=keep, least=least)).distinct()
+        found = staging.save(found, f"found-{k}")
+        staging.drop(f"near-{k}", f"near-{k}-keys", f"crowded-{k}", f"crowded-{k}-keys")
         new = verified_links(
             found.where("a <> b"), bodies, lambda t: list(shingle_sets(t, shingle_words)), staging, f"verify-{k}", num=num, den=den
         )
         links = new if links is None else links.unionByName(new)
         parts = connected_components(links, staging, f"parts-{k}")
         more = found.where("a = b").select(F.col("a").alias("node"))
-        if keep > 2 * window * _TREES or more.isEmpty():
+        if more.isEmpty():
             break
         k, keep = k + 1, keep * 8
         todo = active.join(more, "node", "left_semi").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
