@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,16 @@ _XOR = _RNG.integers(0, 1 << 63, _HASHES, dtype=np.uint64)
 _ORDERS = np.stack([_RNG.permutation(_HASHES)[:_DEPTH] for _ in range(_TREES)])
 
 
+def estimate_floor(threshold: float, loss: float = 1e-5) -> float:
+    """Largest share of equal values that a pair at ``threshold`` falls short of with a probability below ``loss`` (exact binomial)."""
+    below = 0.0
+    for c in range(_HASHES + 1):
+        below += math.comb(_HASHES, c) * threshold**c * (1 - threshold) ** (_HASHES - c)
+        if below >= loss:
+            return c / _HASHES
+    return 1.0
+
+
 def _sequence(words: np.ndarray) -> np.uint64:
     h = np.array([len(words)], np.uint64)
     for k in range(len(words)):
@@ -117,8 +128,8 @@ def near_duplicates(
     documents that agree on an order's first five values form a region, and
     all pairs of a region are compared by their share of equal values (of
     192): in the sorted order where it has at most ``window`` + 1 documents,
-    in blocks where it has more. Candidates are those whose share is at most
-    0.07 below the threshold. A document first gives its 2 likeliest
+    in blocks where it has more. Candidates are those whose share a pair at
+    the threshold falls short of with a probability below 1e-5. A document first gives its 2 likeliest
     candidates of an order, and one with more takes part in further rounds,
     against other components only, until none has more. All links are
     confirmed on the full sets. A pair at 0.85 shares a region of some order
@@ -149,7 +160,7 @@ def near_duplicates(
     while True:
         rows = todo.select("node", "sig", *(["part"] if parts is not None else []), F.posexplode(F.arrays_zip("keys", "deeps")).alias("tree", "z"))
         rows = rows.select("*", F.col("z.keys").alias("key"), F.col("z.deeps").alias("deep")).drop("z")
-        least = num / den - 0.07
+        least = estimate_floor(num / den)
         near = staging.save(neighbour_pairs(rows, window=window, keep=keep, least=least, orders=_ORDERS), f"near-{k}")
         crowded = crowded_rows(rows.drop("deep", "tree"), near, staging, f"crowded-{k}")
         found = near.where("b is not null").unionByName(crowded_pairs(crowded, keep=keep, least=least)).distinct()

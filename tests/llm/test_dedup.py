@@ -1,5 +1,7 @@
+import math
 import random
 
+import corpus_pipeline
 from tallyweave.llm import line_dedup, near_dedup, similarity
 from tallyweave.llm.common import Staging
 from tallyweave.llm.components import connected_components
@@ -154,3 +156,19 @@ def test_documents_of_a_crowded_region_equal_brute_force(spark):
     sets = {d: shingles(t, 3) for d, t in rows}
     want = components(sets, lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]))
     assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_estimate_loses_less_than_1e_5_at_the_threshold(spark):
+    for t in (0.8, 0.85):
+        c = round(near_dedup.estimate_floor(t) * 192)
+        assert abs(near_dedup.estimate_floor(t) * 192 - c) < 1e-9
+        assert sum(math.comb(192, k) * t**k * (1 - t) ** (192 - k) for k in range(c)) < 1e-5
+        assert near_dedup.estimate_floor(t) < t - 0.1
+
+
+def test_pipeline_near_stage_equals_brute_force(spark):
+    rows = corpus(5, 200)
+    got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), "").collect()}
+    sets = {d: shingles(t, 5) for d, t in rows}
+    want = components(sets, lambda a, b: bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    assert got == set(want.values())
