@@ -35,13 +35,17 @@ class Staging:
     """Tables written as Parquet below the cluster's shared checkpoint folder.
 
     A written table cuts lineage and outlives any executor. ``drop`` removes a
-    table once nothing that is still to run reads it.
+    table once nothing that is still to run reads it. Without
+    ``spark.checkpoint.dir`` a temporary folder serves a local session only.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = "file://" + tempfile.gettempdir()
         self.root = f"{base.rstrip('/')}/tallyweave-{label}-{uuid.uuid4().hex[:12]}"
 
@@ -62,5 +66,21 @@ class Staging:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_counted(rows: DataFrame, sums: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` joined with ``sums`` (a row for each key, ``count`` its number of rows; best a written table).
+
+    Keys of very many rows are broadcast and their rows stay where they are,
+    so no task gathers one key; the bound grows with the sum of ``count``, so
+    at most some 5,000 keys lie above it.
+    """
+    total = sums.agg(F.sum(count)).first()[0] or 0
+    bound = max(20_000, int(total) // 5_000)
+    if total <= bound:
+        return rows.join(sums, key)
+    hot = F.broadcast(sums.where(F.col(count) > bound))
+    cold = rows.join(hot.select(key), key, "left_anti").join(sums.where(F.col(count) <= bound), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

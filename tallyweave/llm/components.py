@@ -40,38 +40,54 @@ def _forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[k : k + (1 << 16)], pa.int64()), pa.array(roots[k : k + (1 << 16)], pa.int64())], names=["hi", "lo"])
 
 
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """``edges`` (u, v) with m, the least of u and all that it is linked to.
+
+    Nodes of very many edges are broadcast with their m (at most some 5,000,
+    the bound grows with ``total``), so that no task gathers a hub.
+    """
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    bound = max(4_000, total // 5_000)
+    if total <= bound:
+        return edges.join(least.drop("n"), "u")
+    hubs = F.broadcast(least.where(F.col("n") > bound).drop("n"))
+    others = edges.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= bound).drop("n"), "u")
+    return edges.join(hubs, "u").unionByName(others)
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """Number and fingerprint of distinct edges."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("hi", "lo")), F.lit(0))).first())
+
+
 def connected_components(edges: DataFrame, staging: Staging, name: str) -> DataFrame:
     """(node, component) for every node of ``edges`` (a long, b long); the component is its smallest node.
 
     Each partition is first reduced to a spanning forest. Rounds of large and
     small stars then link every node to the smallest node it can see, until
-    no round changes anything. A node with very many edges is summed by
-    partial aggregation and its join is dealt anew by adaptive execution, so
-    no task holds a whole component. Every round is written to the shared
-    checkpoint folder. Null ends and loops are ignored; no edges give no rows.
+    no round changes anything. Minima are summed by partial aggregation and
+    those of hubs are broadcast, so no task holds a whole component. Every
+    round is written to the shared checkpoint folder. Null ends and loops are
+    ignored; no edges give no rows.
     """
     pairs = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-    stars = staging.save(pairs.mapInArrow(_forest, "hi long, lo long"), f"{name}-0")
-    k = 0
-    while True:
+    stars = staging.save(pairs.mapInArrow(_forest, "hi long, lo long").distinct(), f"{name}-0")
+    k, mark = 0, _mark(stars)
+    while mark[0]:
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(stars.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        large = _with_least(both, 2 * mark[0]).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = (
-            large.join(low, "hi")
-            .select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
+            _with_least(large, 2 * mark[0])
+            .select(F.explode(F.array(F.struct(F.col("u").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("v").alias("hi"), F.col("m").alias("lo")))).alias("e"))
             .select("e.hi", "e.lo")
             .where("hi <> lo")
             .distinct()
         )
         k += 1
-        new = staging.save(small, f"{name}-{k}")
-        seen = [d.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first() for d in (stars, new)] if k == 1 else [mark, new.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()]
-        mark = seen[1]
+        stars = staging.save(small, f"{name}-{k}")
         staging.drop(f"{name}-{k - 1}")
-        stars = new
-        if seen[0] == seen[1]:
+        last, mark = mark, _mark(stars)
+        if mark == last:
             break
     return stars.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
         stars.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()

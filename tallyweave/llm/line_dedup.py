@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staging
+from .common import Staging, join_counted
 from .components import connected_components
-from .similarity import RangeHash, crowded_links, crowded_rows, mixed, neighbour_pairs, verified_links
+from .similarity import RangeHash, crowded_links, crowded_rows, linked_pairs, mixed, neighbour_pairs
 
 _BANDS, _ROWS = 12, 4
 _HASHES = _BANDS * _ROWS
@@ -18,7 +20,9 @@ _MULTIPLY = _RNG.integers(0, 1 << 63, _HASHES, dtype=np.uint64) << np.uint64(1)
 _XOR = _RNG.integers(0, 1 << 63, _HASHES, dtype=np.uint64)
 _TOP = np.iinfo(np.uint64).max
 #: Lines remembered as already signed by a task; beyond it the memory starts anew and a line may be signed twice.
-_SEEN = 1_000_000
+_SEEN = 500_000
+#: Candidate lines and links of up to so many rows are broadcast; beyond it they are joined by shuffle.
+_FEW = 1_000_000
 _PORTION = 1 << 18
 
 
@@ -89,125 +93,141 @@ def _band_keys(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, chars: i
 
 
 def line_table(docs: DataFrame, chars: int) -> DataFrame:
-    """doc_id, line_no, line (64-bit key of the normal form), bands; blank lines are left out.
+    """doc_id, which, line_no, line, check, bands, text for every line of (doc_id, text); blank lines are left out.
 
-    ``bands`` stands where a task meets a line first, so that a line that
+    ``which`` tells texts of one doc_id apart; ``line`` and ``check`` are the
+    halves of a 128-bit digest of the normal form. ``bands`` and ``text`` (the
+    normal form) stand where a task meets a line first, so that a line that
     repeats everywhere is signed and shuffled once for each task.
     """
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
+    names = ["doc_id", "which", "line_no", "line", "check", "bands", "text"]
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[bytes] = set()
 
-        def portion(owner, number, lines):
-            codes, starts, ends = _codes(lines)
-            keys = RangeHash(codes).of(starts, ends).view(np.int64)
+        def portion(owner, which, number, lines):
+            digests = [hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in lines]
             new = []
-            for k, key in enumerate(keys.tolist()):
-                if key not in seen:
+            for k, d in enumerate(digests):
+                if d not in seen:
                     if len(seen) >= _SEEN:
                         seen.clear()
-                    seen.add(key)
+                    seen.add(d)
                     new.append(k)
-            bands = [None] * len(lines)
+            bands, texts = [None] * len(lines), [None] * len(lines)
             if new:
-                chosen = np.array(new)
-                few, begin, end = _codes([lines[k] for k in new])
-                for k, b in zip(chosen.tolist(), _band_keys(few, begin, end, chars).tolist(), strict=True):
-                    bands[k] = b
-            return pa.RecordBatch.from_arrays(
-                [pa.array(owner, pa.int64()), pa.array(number, pa.int32()), pa.array(keys), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "line_no", "line", "bands"],
-            )
+                for k, b in zip(new, _band_keys(*_codes([lines[k] for k in new]), chars).tolist(), strict=True):
+                    bands[k], texts[k] = b, lines[k]
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            cols = (owner, which, number, np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1]), bands, texts)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
         for batch in batches:
-            owner, number, lines, size = [], [], [], 0
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            held, size = ([], [], [], []), 0
+            for doc_id, which, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "which", "text")), strict=True):
                 for k, raw in enumerate((text or "").split("\n")):
                     line = normal_form(raw)
                     if line:
-                        owner.append(doc_id)
-                        number.append(k)
-                        lines.append(line)
+                        for c, v in zip(held, (doc_id, which, k, line), strict=True):
+                            c.append(v)
                         size += len(line) + 1
                         if size > _PORTION:
-                            yield portion(owner, number, lines)
-                            owner, number, lines, size = [], [], [], 0
-            if lines:
-                yield portion(owner, number, lines)
+                            yield portion(*held)
+                            held, size = ([], [], [], []), 0
+            if size:
+                yield portion(*held)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("which"), "text")
+    return rows.mapInArrow(run, "doc_id long, which long, line_no int, line long, check long, bands array<long>, text string")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, line_no int, line long, bands array<long>"
-    )
+def _settled(lines: DataFrame, staging: Staging) -> DataFrame:
+    """``lines`` with keys that differ wherever the digests do.
+
+    Two digests may share their first half once there are billions of lines:
+    all but the one with the smallest second half get another key, until none
+    is shared.
+    """
+    k = 0
+    while True:
+        halves = lines.groupBy("line").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+        shared = staging.save(halves.where("low <> high").select("line", "low"), f"shared-{k}")
+        if shared.isEmpty():
+            return lines
+        other = F.when(F.col("low").isNotNull() & (F.col("check") != F.col("low")), F.xxhash64("line", "check", F.lit(k))).otherwise(F.col("line"))
+        lines = staging.save(lines.join(shared, "line", "left").withColumn("line", other).drop("low"), f"settled-{k}")
+        k += 1
 
 
 def repeated_lines(
     docs: DataFrame, *, chars: int = 8, num: int = 80, den: int = 100, window: int = 6, staging: Staging | None = None
 ) -> DataFrame:
-    """(doc_id, line_no) of every line that is not the first of its component.
+    """(doc_id, which, line_no) of every line that is not the first of its component; ``which`` is xxhash64 of the text.
 
     Lines are compared in normal form (lower case, single spaces); blank lines
     are never touched. Two lines are linked where den * intersection >= num *
     union of their sets of 8-character shingles (a shorter line is one
-    shingle), confirmed on whole lines; equal lines are one node from the
-    start, known by a 64-bit key. Of every component the line with the
-    smallest (doc_id, line_no) stays.
+    shingle), confirmed on whole lines; equal lines (by a 128-bit digest) are
+    one node from the start. Of every component the line with the smallest
+    (doc_id, which, line_no) stays.
 
     Candidates share one of 12 bands of 4 MinHash values: a pair at 0.8 does
     with a probability of 0.998, at 0.9 of 0.99999. Within a band's bucket rows
     are made distinct by line; one of more than ``window`` + 1 lines is not
     listed as pairs: all its lines are held against each other exactly, in
     blocks, so a bucket of any size gives at most one link for each line and
-    pair of blocks.
+    pair of blocks. Neither depends on how rows are dealt to partitions.
 
     Null and empty texts have no lines, and rows without a doc_id take no
-    part. Rows that repeat a doc_id are one document. No rows give no rows.
+    part. Rows that repeat a doc_id and text are one document; those that
+    repeat a doc_id with another text are documents of their own. No rows give
+    no rows.
     """
     staging = staging or Staging(docs.sparkSession, "lines")
-    key = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = staging.save(line_table(key, chars), "lines")
-    signed = lines.where("bands is not null").select(F.col("line").alias("node"), "bands", F.posexplode("bands").alias("k", "key"))
-    rows = signed.select("key", F.expr(f"element_at(bands, (k + 1) % {_BANDS} + 1)").alias("deep"), "node")
+    few = lambda df: F.broadcast(df) if df.count() <= _FEW else df
+    lines = staging.save(line_table(docs.where("doc_id is not null").select("doc_id", "text"), chars), "lines", compression="zstd")
+    lines = _settled(lines, staging)
+    signed = lines.where("bands is not null")
+    rows = signed.select(F.explode("bands").alias("key"), F.col("line").alias("node"))
     found = staging.save(neighbour_pairs(rows, window=window), "found")
-    crowded = crowded_rows(rows.select("key", "node"), found, staging, "crowded")
+    crowded = crowded_rows(rows, found, staging, "crowded")
     found = found.where("b is not null")
-    lines = staging.save(lines.select("doc_id", "line_no", "line"), "places")
-    staging.drop("lines")
-    first = lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
-
-    nodes = found.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowded.select("node")).distinct()
-    places = nodes.join(first, F.col("node") == F.col("line")).select("node", F.col("at.doc_id").alias("doc_id"), "at.line_no")
-    bodies = places.join(key, "doc_id").select("node", F.element_at(F.split("text", "\n"), F.col("line_no") + 1).alias("text"))
-    bodies = staging.save(bodies, "bodies")
+    nodes = staging.save(found.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowded.select("node")).distinct(), "nodes")
+    texts = signed.select(F.col("line").alias("node"), "text").join(few(nodes), "node", "left_semi").dropDuplicates(["node"])
+    bodies = staging.save(texts, "bodies", compression="zstd")
     to_sets = lambda t: shingle_sets(t, chars)
-    links = verified_links(found, bodies, to_sets, staging, "verify", num=num, den=den)
+    links = linked_pairs(found, bodies, to_sets, num=num, den=den)
     links = links.unionByName(crowded_links(crowded, bodies, to_sets, num=num, den=den))
     parts = connected_components(links, staging, "parts").withColumnRenamed("node", "line")
-    grouped = staging.save(
-        lines.select("doc_id", "line_no", "line").join(parts, "line", "left").select("doc_id", "line_no", F.coalesce("component", "line").alias("group")),
-        "grouped",
-    )
-    staging.drop("places", "found", "bodies", "crowded")
-    leaders = grouped.groupBy("group").agg(F.min(F.struct("doc_id", "line_no")).alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return grouped.join(leaders, "group").where("struct(doc_id, line_no) <> leader").select("doc_id", "line_no")
+    grouped = lines.select("doc_id", "which", "line_no", "line").join(few(parts), "line", "left")
+    grouped = staging.save(grouped.select("doc_id", "which", "line_no", F.coalesce("component", "line").alias("group")), "grouped")
+    staging.drop("lines", "settled-0", "found", "nodes", "bodies", "crowded")
+    place = F.struct("doc_id", "which", "line_no")
+    leaders = grouped.groupBy("group").agg(F.min(place).alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    leaders = staging.save(leaders, "leaders")
+    return join_counted(grouped, leaders, "group", "n").where(place != F.col("leader")).select("doc_id", "which", "line_no").distinct()
 
 
-def _removed(docs: DataFrame, **options) -> DataFrame:
+def _with_gone(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with ``_gone``, the numbers of a row's repeated lines (null for none)."""
     gone = repeated_lines(docs.select("doc_id", "text"), **options)
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("_gone")).withColumnRenamed("doc_id", "_owner")
+    gone = gone.groupBy(F.col("doc_id").alias("_owner"), F.col("which").alias("_which")).agg(F.array_sort(F.collect_set("line_no")).alias("_gone"))
+    same = (docs["doc_id"].cast("long") == F.col("_owner")) & (F.xxhash64(docs["text"]) == F.col("_which"))
+    return docs.join(gone, same, "left").drop("_owner", "_which")
 
 
 def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with repeated lines cut from the texts; all rows and columns stay, a text may become empty, a null one stays null."""
     kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(_gone, i)), '\\n')")
-    joined = docs.join(_removed(docs, **options), docs["doc_id"].cast("long") == F.col("_owner"), "left")
+    joined = _with_gone(docs, **options)
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
     return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_decisions(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (line numbers from 0) for every row."""
-    rows = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    gone = _removed(docs, **options)
-    joined = rows.join(gone, F.col("doc_id").cast("long") == F.col("_owner"), "left")
+    joined = _with_gone(docs.select("doc_id", "text"), **options)
     removed = F.coalesce("_gone", F.array().cast("array<int>"))
-    return joined.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
+    return joined.select("doc_id", F.greatest(n_lines, F.lit(0)).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import Staging
 from .components import connected_components
-from .similarity import RangeHash, crowded_pairs, crowded_rows, mixed, neighbour_pairs, portions, verified_links
+from .similarity import crowded_pairs, crowded_rows, mixed, neighbour_pairs, portions, verified_links, word_hashes
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -49,7 +49,7 @@ def shingle_sets(texts: list[str | None], words_each: int) -> Iterator[np.ndarra
         space = _SPACE[codes]
         starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
         ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-        words = RangeHash(codes).of(starts, ends)
+        words = word_hashes(codes, starts, ends)
         bounds = np.searchsorted(starts, np.cumsum([1] + [len(r) + 1 for r in raws[a:b]]))
         n = len(words) - words_each + 1
         rolled = np.zeros(max(n, 0), np.uint64)

@@ -9,6 +9,7 @@ block and keeps, of the pairs that pass the exact test, a spanning forest.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -52,6 +53,18 @@ class RangeHash:
         return mixed((self.sums[ends] - self.sums[starts]) * self._down[starts] + (ends - starts).astype(np.uint64))
 
 
+def word_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, longest: int = 256) -> np.ndarray:
+    """64-bit hashes of words in a byte array.
+
+    Running sums modulo 2**64 serve words of up to ``longest`` bytes; beyond
+    that there are texts that collide by their form, so a digest is taken.
+    """
+    out = RangeHash(codes).of(starts, ends)
+    for k in np.flatnonzero(ends - starts > longest).tolist():
+        out[k] = np.frombuffer(hashlib.blake2b(codes[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+    return out
+
+
 def portions(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes together; a longer text is a portion of its own."""
     at = size = 0
@@ -73,7 +86,7 @@ def common_prefixes(equal: np.ndarray, orders: np.ndarray) -> np.ndarray:
 def neighbour_pairs(rows: DataFrame, *, window: int, keep: int = 0, least: float = 0.0, orders: np.ndarray | None = None) -> DataFrame:
     """Pairs (a < b) of nodes in one region of the sorted rows, and a row (key, null) for every region not searched whole.
 
-    ``rows``: key long, deep (any sortable), node long, and optionally sig
+    ``rows``: key long, node long, and optionally deep (any sortable), sig
     binary of equal lengths and part long. With ``sig``, a pair needs a share
     of at least ``least`` equal signature bytes, and ``keep`` pairs of a node
     are enough (those with the largest shares); a node with more is reported
@@ -89,7 +102,8 @@ def neighbour_pairs(rows: DataFrame, *, window: int, keep: int = 0, least: float
     for ``crowded_pairs`` or ``crowded_links``; all others give all their pairs.
     """
     names = [c for c in ("key", "deep", "node", "sig", "tree", "part") if c in rows.columns]
-    dealt = rows.select(*names).repartitionByRange(partitions(rows.sparkSession), "key", "deep", "node").sortWithinPartitions("key", "deep", "node")
+    order = [c for c in ("key", "deep", "node") if c in names]
+    dealt = rows.select(*names).repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
     dealt = dealt.drop("deep")
 
     def named(keys):
@@ -293,6 +307,27 @@ def crowded_pairs(rows: DataFrame, *, keep: int, least: float, block: int = 1_00
     return _block_pairs(whole, block, 1).mapInArrow(run, "a long, b long").distinct()
 
 
+def linked_pairs(pairs: DataFrame, texts: DataFrame, to_sets: Callable[[list[str]], list[np.ndarray]], *, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets pass den * intersection >= num * union; for short ``texts`` (node, text), which travel with each pair."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            first, second = batch.column("first").to_pylist(), batch.column("second").to_pylist()
+            linked = np.zeros(len(a), bool)
+            for i, j in portions([x + y for x, y in zip(first, second, strict=True)]):
+                sets = list(to_sets(first[i:j] + second[i:j]))
+                for k, (x, y) in enumerate(zip(sets[: j - i], sets[j - i :], strict=True)):
+                    least, most = sorted((len(x), len(y)))
+                    if den * least >= num * most:
+                        common = len(np.intersect1d(x, y, assume_unique=True))
+                        linked[i + k] = den * common >= num * (len(x) + len(y) - common)
+            yield pa.RecordBatch.from_arrays([pa.array(a[linked]), pa.array(b[linked])], names=["a", "b"])
+
+    side = lambda c, t: texts.select(F.col("node").alias(c), F.col("text").alias(t))
+    return pairs.join(side("a", "first"), "a").join(side("b", "second"), "b").select("a", "b", "first", "second").mapInArrow(run, "a long, b long")
+
+
 def verified_links(
     pairs: DataFrame,
     texts: DataFrame,
