@@ -54,7 +54,11 @@ def shingle_sets(lines: list[str], chars: int) -> list[np.ndarray]:
     codes, starts, ends = _codes([normal_form(x) for x in lines])
     h, line = _shingles(codes, starts, ends, chars)
     bounds = np.searchsorted(line, np.arange(len(lines) + 1))
-    return [np.unique(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        h[a:b].sort()
+    fresh = np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])] if len(h) else np.zeros(0, bool)
+    h, cuts = h[fresh], np.r_[0, np.cumsum(fresh)][bounds].tolist()
+    return [h[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _band_keys(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, chars: int) -> np.ndarray:
@@ -69,8 +73,16 @@ def _band_keys(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, chars: i
     least = np.full((len(starts), _HASHES), _TOP)
     many = count[line] >= 2 * _HASHES
     values = h[many]
-    np.minimum.at(least.reshape(-1), line[many] * _HASHES + (values % np.uint64(_HASHES)).astype(np.int64), values // np.uint64(_HASHES))
     big = np.flatnonzero(count >= 2 * _HASHES)
+    if len(big):
+        # (line, bin) above 40 bits of the value: after one sort the first of each bin is its minimum
+        slot = np.repeat(np.arange(len(big), dtype=np.uint64), count[big]) * np.uint64(_HASHES) + values % np.uint64(_HASHES)
+        packed = np.sort(slot << np.uint64(40) | values // np.uint64(_HASHES) >> np.uint64(19))
+        slot = packed >> np.uint64(40)
+        first = np.r_[True, slot[1:] != slot[:-1]]
+        bins = np.full(len(big) * _HASHES, _TOP)
+        bins[slot[first].astype(np.int64)] = packed[first] & np.uint64((1 << 40) - 1)
+        least[big] = bins.reshape(-1, _HASHES)
     table = least[big]
     for step in range(1, _HASHES):
         hole = least[big] == _TOP if step == 1 else hole & (table == _TOP)
@@ -126,8 +138,8 @@ def line_table(docs: DataFrame, chars: int) -> DataFrame:
         for batch in batches:
             held, size = ([], [], [], []), 0
             for doc_id, which, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "which", "text")), strict=True):
-                for k, raw in enumerate((text or "").split("\n")):
-                    line = normal_form(raw)
+                for k, raw in enumerate((text or "").lower().split("\n")):
+                    line = " ".join(raw.split())  # the normal form
                     if line:
                         for c, v in zip(held, (doc_id, which, k, line), strict=True):
                             c.append(v)

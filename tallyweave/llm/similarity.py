@@ -197,10 +197,12 @@ def crowded_rows(rows: DataFrame, found: DataFrame, staging: Staging, name: str)
 def _block_pairs(rows: DataFrame, block: int, chars: int) -> DataFrame:
     """``rows`` (key, node, n, ...) once for each pair (x, y) of blocks of its region in which its own block takes part, sorted by it.
 
-    A region is cut by hash into blocks of about ``block`` rows and ``chars``
+    Of regions that hold the same rows one is taken. A region is cut by hash into blocks of about ``block`` rows and ``chars``
     of the sum of n; every two of its rows meet in some pair of blocks.
     """
-    sums = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")).where("rows > 1")
+    members = [F.bit_xor(F.xxhash64("node", F.lit(k))) for k in (1, 2)]
+    sums = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"), members[0].alias("m1"), members[1].alias("m2")).where("rows > 1")
+    sums = sums.groupBy("rows", "total", "m1", "m2").agg(F.min("key").alias("key"))
     sums = sums.select("key", F.expr(f"cast(greatest(ceil(rows / {block}), ceil(total / {chars}), 1) as int)").alias("blocks"))
     own = rows.join(sums, "key").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     others = F.expr("if(blocks = 1, array(0), filter(sequence(0, blocks - 1), i -> i <> own))")
@@ -229,8 +231,24 @@ def _by_region(batches) -> Iterator[pa.Table]:
 def linked_within(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among ``sets``: each set meets all that no link has reached yet."""
     size = np.fromiter(map(len, sets), np.int64, len(sets))
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), size)
+    left, links = np.ones(len(sets), bool), []
+    if len(sets) * len(values) <= 1 << 22:
+        held = np.zeros((len(sets), len(values)), np.float32)
+        held[owner, ids] = 1
+        shared = (held @ held.T).astype(np.int64)
+        alike = (shared > 0) & (den * shared >= num * (size[:, None] + size - shared))
+        for seed in range(len(sets)):
+            waiting = [seed] if left[seed] else []
+            left[seed] = False
+            while waiting:
+                i = waiting.pop()
+                now = np.flatnonzero(alike[i] & left)
+                left[now] = False
+                links += [(i, int(j)) for j in now]
+                waiting += now.tolist()
+        return links
     order = np.argsort(ids, kind="stable")
     holders, bounds = owner[order], np.searchsorted(ids[order], np.arange(ids.max(initial=-1) + 2))
     own = np.split(ids, np.cumsum(size)[:-1])
