@@ -9,6 +9,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
@@ -56,12 +57,14 @@ def _encoding(ranks: bytes):
 _LOADED: dict[str, tuple] = {}
 
 
-def token_sequences(docs: DataFrame, ranks_path: str, length: int) -> DataFrame:
-    """doc_id, seq_no, n_tokens, tokens (little-endian uint16), and (file, start, part, local), the place in reading order.
+def packed_sequences(docs: DataFrame, ranks_path: str, length: int) -> DataFrame:
+    """tokens (little-endian uint16), pieces (doc_id, piece_no, at, n_tokens), and (file, start, part, local), the place in reading order.
 
-    Every whole text is encoded, closed by the end token (the first free id)
-    and cut into sequences of at most ``length`` tokens; null and empty texts
-    give the end token alone.
+    Every whole text is encoded and closed by the end token (the first free
+    id); null and empty texts give the end token alone. The texts of an input
+    split stand one after the other and are cut into sequences of ``length``
+    tokens; only a split's last sequence is shorter. ``pieces`` tells which
+    document stands where in a sequence.
     """
     with open(ranks_path, "rb") as f:
         ranks = f.read(MAX_FILE_BYTES + 1)
@@ -69,6 +72,8 @@ def token_sequences(docs: DataFrame, ranks_path: str, length: int) -> DataFrame:
         raise ValueError(f"{ranks_path} is larger than {MAX_FILE_BYTES} bytes")
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     name = hashlib.sha256(ranks).hexdigest()
+    piece = pa.list_(pa.struct([("doc_id", pa.int64()), ("piece_no", pa.int32()), ("at", pa.int32()), ("n_tokens", pa.int32())]))
+    kinds = {"tokens": pa.binary(), "pieces": piece, "file": pa.string(), "start": pa.int64(), "part": pa.int32(), "local": pa.int64()}
 
     def run(batches):
         if name not in _LOADED:
@@ -76,66 +81,102 @@ def token_sequences(docs: DataFrame, ranks_path: str, length: int) -> DataFrame:
         encoding, end = _LOADED[name]
         if end >= 1 << 16:
             raise ValueError("token ids need more than 16 bits")
-        numbers: dict[tuple, int] = {}
+        out, place, local, ids, pieces = {c: [] for c in kinds}, None, 0, array("H"), []
+
+        def cut(n):
+            nonlocal ids, pieces, local
+            for c, v in zip(out.values(), (np.asarray(ids[:n], "<u2").tobytes(), pieces, *place, local), strict=True):
+                c.append(v)
+            ids, pieces, local = ids[n:], [], local + 1
+
+        def given():
+            batch = pa.RecordBatch.from_arrays([pa.array(v, kinds[c]) for c, v in out.items()], names=list(kinds))
+            for v in out.values():
+                v.clear()
+            return batch
+
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 batch = whole.slice(k, 512)
-                cols = {c: [] for c in ("doc_id", "seq_no", "n_tokens", "tokens", "file", "start", "part", "local")}
-                for doc_id, text, *place in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "file", "start", "part")), strict=True):
-                    ids = array("H", [*encoding.encode_ordinary(text or ""), end])
-                    for s, at in enumerate(range(0, len(ids), length)):
-                        cut = ids[at : at + length]
-                        local = numbers[tuple(place)] = numbers.get(tuple(place), -1) + 1
-                        for c, v in zip(cols.values(), (doc_id, s, len(cut), np.asarray(cut, "<u2").tobytes(), *place, local), strict=True):
-                            c.append(v)
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols.values(), kinds, strict=True)], names=list(cols))
+                for doc_id, text, *now in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "file", "start", "part")), strict=True):
+                    if now != place:
+                        if ids:
+                            cut(len(ids))
+                        place, local = now, 0
+                    new, number = array("H", [*encoding.encode_ordinary(text or ""), end]), 0
+                    for done in range(0, len(new), length):
+                        part = new[done : done + length]
+                        while part:
+                            fits = part[: length - len(ids)]
+                            pieces.append({"doc_id": doc_id, "piece_no": number, "at": len(ids), "n_tokens": len(fits)})
+                            ids, part, number = ids + fits, part[len(fits) :], number + 1
+                            if len(ids) == length:
+                                cut(length)
+                yield given()
+        if ids:
+            cut(len(ids))
+        yield given()
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", F.input_file_name().alias("file"), F.input_file_block_start().cast("long").alias("start"), F.spark_partition_id().alias("part")
     )
-    return rows.mapInArrow(run, "doc_id long, seq_no int, n_tokens int, tokens binary, file string, start long, part int, local long")
+    return rows.mapInArrow(run, "tokens binary, pieces array<struct<doc_id:long,piece_no:int,at:int,n_tokens:int>>, file string, start long, part int, local long")
 
 
 def training_order(
     docs: DataFrame, ranks_path: str, path: str, *, length: int = 512, shard_sequences: int = 8_192, key: int = 20_240_601, pad: int = 65_535, staging: Staging | None = None
 ) -> DataFrame:
-    """Write the shards below ``path`` when the result is computed; one row per sequence comes back.
-
-    doc_id, seq_no, slot, shard, byte_offset, n_tokens. Sequences are numbered
-    in the order of the files that ``docs`` is read from (file, place), each
-    gets the slot of its number under the keyed permutation, and tasks of
-    shard ranges write ``shard-NNNNNNNN.bin``: slot s stands at byte
-    (s mod shard_sequences) * 2 * length of shard s div shard_sequences, so
-    any stretch of the order is one sequential read and a run resumes from a
-    slot number. Short sequences are filled with ``pad``. A shard is written
-    under another name and then renamed, so a retried task leaves it whole.
-
-    Null ids stay null; repeated rows are sequences of their own; no rows give
-    no shards.
+    """Write the shards below ``path`` now; the rows that come back tell where each piece of each document stands.
+
+    doc_id, piece_no, slot, shard, byte_offset, n_tokens: a document is its
+    pieces in the order of their numbers. Sequences of ``length`` tokens are
+    numbered in the order of the files that ``docs`` is read from (rows that
+    come from no file: in the order of the partitions, so a rerun repeats the
+    order only if it deals them alike). Each gets the slot of its number under
+    the keyed permutation, and tasks of shard ranges write
+    ``shard-NNNNNNNN.bin``: slot s stands at byte (s mod shard_sequences) * 2 *
+    length of shard s div shard_sequences, so any stretch of the order is one
+    sequential read and a run resumes from a slot number. The last sequence of
+    an input split is filled with ``pad``. A shard is written under a name of
+    the task's attempt and then renamed, so retried and speculative tasks
+    leave it whole.
+
+    Null ids stay null; repeated rows are documents of their own; texts of any
+    length are written whole; no rows give no shards.
     """
     spark = docs.sparkSession
     staging = staging or Staging(spark, "order")
-    rows = staging.save(token_sequences(docs, ranks_path, length), "sequences", compression="zstd")
+    rows = staging.save(packed_sequences(docs, ranks_path, length), "sequences", compression="zstd")
     group = ["file", "start", "part"]
-    counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    counts = staging.save(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")), "counts")
     before = F.sum("n").over(W.orderBy(*group).rowsBetween(W.unboundedPreceding, -1))  # a row per input split
     firsts = counts.withColumn("first", F.coalesce(before, F.lit(0))).drop("n")
-    n = rows.count()
-    if counts.count() <= _SPLITS:
+    splits, n = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if splits <= _SPLITS:
         firsts = F.broadcast(firsts)
+    shards = max(1, -(-n // shard_sequences))
+    tasks = min(partitions(spark), shards)
+    pieces = "array<struct<doc_id:long,piece_no:int,at:int,n_tokens:int>>"
 
     def slots(batches):
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             slot = feistel_slots(batch.column("index").to_numpy(), n, key)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(slot // shard_sequences), pa.array(slot)], names=[*batch.schema.names[:-1], "shard", "slot"])
+            tokens = [packer.compress(t) for t in batch.column("tokens").to_pylist()]  # the shuffle carries less than half of it
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), batch.column("pieces"), pa.array(slot)], names=["tokens", "pieces", "slot"])
 
-    numbered = rows.join(firsts, group).select("doc_id", "seq_no", "n_tokens", "tokens", (F.col("first") + F.col("local")).alias("index"))
-    placed = numbered.mapInArrow(slots, "doc_id long, seq_no int, n_tokens int, tokens binary, shard long, slot long")
-    dealt = placed.repartitionByRange(partitions(spark), "shard").sortWithinPartitions("slot")
+    numbered = rows.join(firsts, group).select("tokens", "pieces", (F.col("first") + F.col("local")).alias("index"))
+    placed = numbered.mapInArrow(slots, f"tokens binary, pieces {pieces}, slot long")
+    # slots are a permutation, so equal ranges of shards are equal shares; no sampling is needed
+    dealt = placed.repartitionById(tasks, F.expr(f"cast((slot div {shard_sequences}) * {tasks} div {shards} as int)")).sortWithinPartitions("slot")
     stride = 2 * length
 
     def write(batches):
+        import zstandard
+
+        opener, attempt = zstandard.ZstdDecompressor(), TaskContext.get().taskAttemptId()
         store, base = pafs.FileSystem.from_uri(path)
         store.create_dir(base, recursive=True)
         filler = np.array([pad], "<u2").tobytes()
@@ -144,25 +185,27 @@ def training_order(
         def close():
             out.close()
             name = f"{base}/shard-{open_shard:08d}.bin"
-            store.move(f"{name}.part", name)
+            store.move(f"{name}.part-{attempt}", name)
 
         for batch in batches:
-            shards = batch.column("shard").to_pylist()
-            for shard, tokens in zip(shards, batch.column("tokens").to_pylist(), strict=True):
+            slot = batch.column("slot").to_numpy()
+            for shard, packed in zip((slot // shard_sequences).tolist(), batch.column("tokens").to_pylist(), strict=True):
                 if shard != open_shard:
                     if out is not None:
                         close()
-                    open_shard, out = shard, store.open_output_stream(f"{base}/shard-{shard:08d}.bin.part")
+                    open_shard, out = shard, store.open_output_stream(f"{base}/shard-{shard:08d}.bin.part-{attempt}")
+                tokens = opener.decompress(packed)
                 out.write(tokens + filler * ((stride - len(tokens)) // 2))
-            slot = batch.column("slot").to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("seq_no"), batch.column("slot"), batch.column("shard"), pa.array(slot % shard_sequences * stride), batch.column("n_tokens")],
-                names=["doc_id", "seq_no", "slot", "shard", "byte_offset", "n_tokens"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("pieces"), batch.column("slot")], names=["pieces", "slot"])
         if out is not None:
             close()
 
-    return dealt.mapInArrow(write, "doc_id long, seq_no int, slot long, shard long, byte_offset long, n_tokens int")
+    written = staging.save(dealt.mapInArrow(write, f"pieces {pieces}, slot long"), "written")
+    staging.drop("sequences", "counts")
+    found = written.select("slot", F.explode("pieces").alias("p"))
+    offset = (F.col("slot") % shard_sequences) * stride + 2 * F.col("p.at")
+    shard = F.expr(f"slot div {shard_sequences}")
+    return found.select("p.doc_id", "p.piece_no", "slot", shard.alias("shard"), offset.cast("long").alias("byte_offset"), "p.n_tokens")
 
 
 def read_slots(path: str, first: int, count: int, *, length: int, shard_sequences: int) -> np.ndarray:

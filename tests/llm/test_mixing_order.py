@@ -53,25 +53,27 @@ def test_shards_hold_every_sequence_at_its_slot(spark, tmp_path):
     path = tokenizer_file("byte_bpe_50k.tiktoken")
     table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     plain = tiktoken.Encoding("t", pat_str=ordering.PIECES, mergeable_ranks=table, special_tokens={})
-    rows = [(i, f"text number {i} " * (i % 40)) for i in range(60)] + [(None, None), (3, "same"), (3, "same")]
+    rows = [(i, f"text number {i} " * (i % 40)) for i in range(60)] + [(None, None), (3, "same"), (3, "same"), (77, "long text " * 20_000)]
     docs = documents(spark, rows)
     docs.write.parquet(str(tmp_path / "docs"))
     docs = spark.read.parquet(str(tmp_path / "docs"))
     out = f"file://{tmp_path}/shards"
     got = ordering.training_order(docs, path, out, length=16, shard_sequences=10).collect()
-    assert sorted(r.slot for r in got) == list(range(len(got)))
-    found = ordering.read_slots(out, 0, len(got), length=16, shard_sequences=10)
-    assert len(found) == len(got)
+    n = len({r.slot for r in got})
+    assert {r.slot for r in got} == set(range(n))
+    found = ordering.read_slots(out, 0, n, length=16, shard_sequences=10)
+    assert len(found) == n and sum((row == 65535).any() for row in found) <= 4
     whole = {}
-    for r in sorted(got, key=lambda r: r.seq_no):
-        row = found[r.slot]
-        assert (row[r.n_tokens :] == 65535).all() and r.byte_offset == r.slot % 10 * 32
-        whole.setdefault(r.doc_id, []).append(row[: r.n_tokens].tolist())
+    for r in sorted(got, key=lambda r: r.piece_no):
+        at = r.byte_offset % 32 // 2
+        assert r.byte_offset // 32 == r.slot % 10 and r.shard == r.slot // 10
+        whole.setdefault(r.doc_id, []).append(found[r.slot][at : at + r.n_tokens].tolist())
     for i, text in rows[:60]:
         if i != 3:
             assert sum(whole[i], []) == [*plain.encode_ordinary(text), 50256]
+    assert sum(r.n_tokens for r in got) == int((found != 65535).sum())
     assert (ordering.read_slots(out, 7, 9, length=16, shard_sequences=10) == found[7:16]).all()
-    assert ordering.shard_table(spark, out).count() == -(-len(got) // 10)
-    other = {(r.doc_id, r.seq_no, r.slot) for r in ordering.training_order(docs, path, f"{out}2", length=16, shard_sequences=10).collect()}
-    assert other == {(r.doc_id, r.seq_no, r.slot) for r in got}
+    assert ordering.shard_table(spark, out).count() == -(-n // 10)
+    other = {(r.doc_id, r.piece_no, r.slot) for r in ordering.training_order(docs, path, f"{out}2", length=16, shard_sequences=10).collect()}
+    assert other == {(r.doc_id, r.piece_no, r.slot) for r in got}
     assert ordering.training_order(docs.limit(0), path, f"{out}3").count() == 0
