@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,12 +13,16 @@ from pyspark.sql import types as T
 from .common import hash32, in_fold
 from .similarity import portions
 
-_LETTER = re.compile(r"[^\W\d_]")
 _SIZES = (2, 3, 4)
 _MULTIPLY = np.uint32(0x9E3779B1)
 _PLAIN = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of a letter category (not a number form or a mark)."""
+    return any(map(str.isalpha, text))
+
+
 def subword_ids(codes: np.ndarray, bits: int) -> list[np.ndarray]:
     """Bucket of every byte n-gram by its start, one array for each size; what is not a letter reads as a space."""
     plain = _PLAIN[codes].astype(np.uint32)
@@ -96,7 +99,8 @@ def fit_language_model(
     known too. A fifth of the sample's documents is left for calibration:
     the temperature that makes the scores likeliest there, and the score
     below which more than ``accept_error`` of the accepted ones would be
-    wrong. Null languages and texts are not learned from.
+    wrong. Null languages and texts are not learned from. Sampled texts are
+    taken whole, so what reaches the driver is bounded in rows.
     """
     known = docs.where(~in_fold(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
@@ -114,11 +118,11 @@ def fit_language_model(
         return ids, (n / n.sum()).astype(np.float32)
 
     train, aside = [r for k, r in enumerate(rows) if k % 5 or len(rows) < 20], [r for k, r in enumerate(rows) if k % 5 == 0]
-    parts = [(x, place[lang]) for lang, text in train for x in {text, *text.split("\n")} if _LETTER.search(x)]
+    parts = [(x, place[lang]) for lang, text in train for x in {text, *text.split("\n")} if has_letter(x)]
     parts.sort(key=lambda x: (x[1], x[0]))
     logits, bias = _gradient_steps([counted(x) for x, _ in parts], [y for _, y in parts], len(languages), bits, dims, epochs, rate, seed)
     model = LanguageModel(languages, logits.astype(np.float32), bias.astype(np.float64), bits)
-    pieces = [(x, place[lang]) for lang, text in aside for x in (text, *text.split("\n")[:2]) if _LETTER.search(x)]
+    pieces = [(x, place[lang]) for lang, text in aside for x in (text, *text.split("\n")[:2]) if has_letter(x)]
     if pieces:
         p = np.log(np.maximum(model.scores([x for x, _ in pieces]), 1e-300))
         y = np.array([k for _, k in pieces])
@@ -156,7 +160,7 @@ def predict_language(df: DataFrame, model: LanguageModel, *, text_col: str = "te
             for k in range(0, whole.num_rows, 1024):
                 batch = whole.slice(k, 1024)
                 texts = batch.column(text_col).to_pylist()
-                at = [i for i, t in enumerate(texts) if t and m.languages and _LETTER.search(t)]
+                at = [i for i, t in enumerate(texts) if t and m.languages and has_letter(t)]
                 lang, score, out = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
                 if at:
                     p = m.scores([texts[i] for i in at])

@@ -20,7 +20,7 @@ def prose(rnd, lang, n):
 def test_language_on_held_out_rows(spark):
     rnd = random.Random(2)
     rows = [(i, prose(rnd, lang, rnd.randint(3, 60)), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 60)]
-    rows += [(900, None, "aa"), (901, "", "bb"), (902, "12 .. 3!", "aa"), (903, prose(rnd, "bb", 9000), None), (904, "x", None)]
+    rows += [(900, None, "aa"), (901, "", "bb"), (902, "12 ½² ① Ⅷ .. 3!", "aa"), (903, prose(rnd, "bb", 9000), None), (904, "x", None)]
     docs = documents(spark, rows).withColumnRenamed("size", "score").withColumnRenamed("node", "lang_pred")
     model = language.fit_language_model(docs)
     got = language.predict_language(docs, model).withColumn("held", in_fold(F.col("doc_id"))).collect()
