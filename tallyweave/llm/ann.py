@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -87,50 +88,122 @@ def build_index(vectors: DataFrame, books: Codebooks, *, id_col: str, vector_col
     return rows.mapInArrow(run, "id long, vector array<double>, c1 int, c2 int")
 
 
-def probe_order(query: np.ndarray, books: Codebooks, counts: np.ndarray, wanted: int) -> list[tuple[int, int]]:
-    """Pairs of centroids by falling sum of the halves' inner products, until they hold ``wanted`` entries.
+def walk(query: np.ndarray, books: Codebooks, counts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Filled pairs of centroids by falling sum of the halves' inner products.
 
     The multi-sequence walk: both halves are sorted, and a pair enters the
-    heap once its two predecessors are out. With no more entries than wanted
-    all pairs are given.
+    heap once its two predecessors are out.
     """
-    if counts.sum() <= wanted:
-        return [(int(i), int(j)) for i, j in np.argwhere(counts)]
     half = books.first.shape[1]
     a, b = books.first @ query[:half], books.second @ query[half:]
     ia, ib = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
-    heap, out, have = [(-(a[ia[0]] + b[ib[0]]), 0, 0)], [], 0
+    heap = [(-(a[ia[0]] + b[ib[0]]), 0, 0)]
     passed = np.full(len(ia), -1)
-    while heap and have < wanted:
+    while heap:
         _, i, j = heapq.heappop(heap)
         passed[i] = j
         cell = (int(ia[i]), int(ib[j]))
         if counts[cell]:
-            out.append(cell)
-            have += counts[cell]
+            yield cell
         if i + 1 < len(ia) and passed[i + 1] == j - 1:
             heapq.heappush(heap, (-(a[ia[i + 1]] + b[ib[j]]), i + 1, j))
         if j + 1 < len(ib) and (i == 0 or passed[i - 1] >= j + 1):
             heapq.heappush(heap, (-(a[ia[i]] + b[ib[j + 1]]), i, j + 1))
+
+
+def probe_order(query: np.ndarray, books: Codebooks, counts: np.ndarray, wanted: int) -> list[tuple[int, int]]:
+    """The first cells of the walk, until they hold ``wanted`` entries."""
+    out, have = [], 0
+    for cell in walk(query, books, counts):
+        if have >= wanted:
+            break
+        out.append(cell)
+        have += counts[cell]
     return out
 
 
+def _best(ids: np.ndarray, score: np.ndarray, k: int, unique: bool) -> np.ndarray:
+    """Places of the k largest scores, ties to the smaller id, an id once (with its best score)."""
+    at = np.arange(len(ids))
+    if unique and len(at) > k:
+        at = np.flatnonzero(score >= np.partition(score, -k)[-k])
+    at = at[np.lexsort((ids[at], -score[at]))]
+    if not unique:
+        at = at[np.sort(np.unique(ids[at], return_index=True)[1])]
+    return at[:k]
+
+
+def entries_needed(index: DataFrame, queries: DataFrame, books: Codebooks, counts: np.ndarray, *, k: int, recall: float, trials: int) -> int:
+    """How many entries a walk must reach so that a share ``recall`` of true neighbours is among them.
+
+    Measured on a hash sample of about ``trials`` queries (the bound on what
+    is sent to the driver and broadcast): their k true neighbours are found
+    by brute force over all entries, and for each the entries that the walk
+    reaches up to its cell are counted.
+    """
+    n = queries.count()
+    chance = hash32(F.concat(F.lit("trial:"), F.col("id").cast("string"))) / F.lit(4294967296.0)
+    rows = queries.where(chance < min(1.0, trials / max(1, n))).select("id", "vector").toArrow()
+    if not rows.num_rows:
+        return int(counts.sum())
+    asked, x = rows.column("id").to_numpy(), np.array(rows.column("vector").to_pylist(), np.float64)
+    shared = index.sparkSession.sparkContext.broadcast((asked, x))
+
+    def run(batches):
+        asked, x = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("id").to_numpy()
+            c1, c2 = batch.column("c1").to_numpy(), batch.column("c2").to_numpy()
+            score = batch.column("vector").flatten().to_numpy().reshape(len(ids), -1) @ x.T
+            for q in range(len(asked)):
+                other = np.flatnonzero(ids != asked[q])
+                at = other[_best(ids[other], score[other, q], k, False)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), q, np.int32)), pa.array(ids[at]), pa.array(score[at, q]), pa.array(c1[at]), pa.array(c2[at])],
+                    names=["q", "id", "score", "c1", "c2"],
+                )
+
+    found = index.mapInArrow(run, "q int, id long, score double, c1 int, c2 int").dropDuplicates(["q", "id"])
+    best = W.partitionBy("q").orderBy(F.desc("score"), "id")
+    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("q", "c1", "c2").collect()
+    cells: dict[int, list] = {}
+    for r in found:
+        cells.setdefault(r["q"], []).append((r["c1"], r["c2"]))
+    reached = []
+    for q, wanted in cells.items():
+        have, left = 0, set(wanted)
+        for cell in walk(x[q], books, counts):
+            have += int(counts[cell])
+            if cell in left:
+                reached += [have] * wanted.count(cell)
+                left.discard(cell)
+                if not left:
+                    break
+    return int(np.quantile(reached, recall, method="higher")) if reached else int(counts.sum())
+
+
 def nearest_neighbours(
-    vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", candidates: int = 18_000, centroids: int = 128, sample: int = 20_000, staging: Staging | None = None
+    vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.96, trials: int = 256, centroids: int = 128, sample: int = 20_000, staging: Staging | None = None
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k entries of largest inner product for each row of ``queries``.
 
     Both tables have ``id_col`` and ``vector_col``. Codebooks come from a
     bounded sample; every row is indexed. A query opens the most promising
-    pairs of centroids until they hold ``candidates`` entries and reranks
-    these by the inner product in double precision, ties to the smaller id;
-    with no more entries than that the result is exact. Entries with the
-    query's id are left out; a query with fewer than k others gets them all.
+    pairs of centroids and reranks their entries by the inner product in
+    double precision, ties to the smaller id. How many entries it opens
+    follows the table: as many as reach a share ``recall`` of the true
+    neighbours of about ``trials`` queries (``entries_needed``), and at least
+    4 * k. Entries with the query's id are left out; a query with fewer than
+    k others gets them all.
 
     Entries of a first-half centroid meet its queries in tasks of bounded
     size: a crowded centroid is cut by hash into blocks of entries and blocks
     of queries. Vectors that are null, zero, of another length than most, or
-    hold null or non-finite components take no part, nor do null ids.
+    hold null or non-finite components take no part, nor do null ids. Of
+    queries that repeat an id the smallest vector counts; an entry id that
+    repeats is given once, with its best score.
     """
     empty = "query_id long, rank int, vec_id long, score double"
     spark = vectors.sparkSession
@@ -142,6 +215,9 @@ def nearest_neighbours(
     counts = np.zeros((len(books.first), len(books.second)), np.int64)
     for r in index.groupBy("c1", "c2").count().collect():  # at most centroids squared rows
         counts[r["c1"], r["c2"]] = r["count"]
+    asked = build_index(queries, books, id_col=id_col, vector_col=vector_col).groupBy("id").agg(F.min("vector").alias("vector"))
+    asked = staging.save(asked, "queries")
+    wanted_entries = max(4 * k, entries_needed(index, asked, books, counts, k=k, recall=recall, trials=trials))
     shared = spark.sparkContext.broadcast((books, counts))
 
     def probe(batches):
@@ -150,7 +226,7 @@ def nearest_neighbours(
             ids, vecs, c1s, c2s = [], [], [], []
             for i, v in zip(batch.column("id").to_pylist(), batch.column("vector").to_pylist(), strict=True):
                 cells: dict[int, list[int]] = {}
-                for a, b in probe_order(np.asarray(v), books, counts, candidates):
+                for a, b in probe_order(np.asarray(v), books, counts, wanted_entries):
                     cells.setdefault(a, []).append(b)
                 for a, b in cells.items():
                     ids.append(i)
@@ -162,7 +238,6 @@ def nearest_neighbours(
                 names=["query_id", "query", "c1", "cells"],
             )
 
-    asked = build_index(queries, books, id_col=id_col, vector_col=vector_col).select("id", "vector")
     probes = staging.save(asked.mapInArrow(probe, "query_id long, query array<double>, c1 int, cells array<int>"), "probes")
     per_task = {r["c1"]: max(1, -(-r["count"] // 4_000)) for r in probes.groupBy("c1").count().collect()}
     pieces = {c: max(1, -(-int(n) // 20_000)) for c, n in enumerate(counts.sum(1)) if n}
@@ -178,6 +253,7 @@ def nearest_neighbours(
             ids, c2 = entry_rows.column("id").to_numpy(), entry_rows.column("c2").to_numpy()
             order = np.lexsort((ids, c2))
             ids, c2 = ids[order], c2[order]
+            unique = len(np.unique(ids)) == len(ids)
             x = entry_rows.column("vector").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
             for i, v, cells in zip(query_rows.column("query_id").to_pylist(), query_rows.column("query").to_pylist(), query_rows.column("cells").to_pylist(), strict=True):
                 cells = np.sort(cells)
@@ -186,10 +262,7 @@ def nearest_neighbours(
                 if not len(at):
                     continue
                 score = (x[at] * np.asarray(v)).sum(1)
-                if len(at) > k:
-                    near = score >= np.partition(score, -k)[-k]
-                    at, score = at[near], score[near]
-                best = np.lexsort((ids[at], -score))[:k]
+                best = _best(ids[at], score, k, unique)
                 out.append((np.full(len(best), i), ids[at][best], score[best]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
@@ -198,5 +271,6 @@ def nearest_neighbours(
         keys(entries.select("id", "vector", "c1", "c2", "e", "q"), "e").groupBy("e_task")
         .cogroup(keys(wanted, "q").groupBy("q_task")).applyInArrow(rerank, "query_id long, vec_id long, score double")
     )
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

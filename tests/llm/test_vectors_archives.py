@@ -23,7 +23,8 @@ def test_exact_when_all_are_candidates_with_ties_and_bad_vectors(spark):
     good += [(100 + i, good[0][1]) for i in range(30)]
     bad = [(200, None), (220, [0.0] * 8), (240, [float("nan")] * 8), (260, [1.0] * 7), (280, [None] * 8), (None, [1.0] * 8), (300, [float("inf")] * 8)]
     df = spark.createDataFrame([(i, v, 0, "x", 1) for i, v in good + bad], SCHEMA)
-    got = ann.nearest_neighbours(df, df.where("vec_id % 20 = 0"), centroids=4)
+    df = df.unionByName(df.where("vec_id in (3, 20)"))  # repeated rows count once
+    got = ann.nearest_neighbours(df, df.where("vec_id % 20 = 0"), centroids=4, recall=1.0)
     by = {}
     for r in got.orderBy("query_id", "rank").collect():
         by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
@@ -41,19 +42,22 @@ def dict_row(rows, q):
     return next(r for r in rows if r[0] == q)
 
 
-def test_recall_with_few_candidates(spark):
+def test_recall_holds_as_the_table_grows(spark):
     rng = np.random.default_rng(2)
-    centres = rng.normal(size=(10, 32))
-    x = (centres[rng.integers(0, 10, 3000)] + 0.5 * rng.normal(size=(3000, 32))).astype(np.float32)
-    rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    df = spark.createDataFrame([(i, v, 0, "x", 1) for i, v in rows], SCHEMA)
-    got = ann.nearest_neighbours(df, df.where("vec_id % 100 = 0"), centroids=16, candidates=600)
-    hits, by = 0, {}
-    for r in got.collect():
-        by.setdefault(r.query_id, set()).add(r.vec_id)
-    for q, found in by.items():
-        hits += len(found & set(exact(rows, rows[q], 20)[0]))
-    assert len(by) == 30 and hits >= 0.9 * 600
+    for n in (400, 2_000, 10_000):
+        x = rng.normal(size=(n, 24)).astype(np.float32)
+        df = spark.createDataFrame([(i, v.tolist(), 0, "x", 1) for i, v in enumerate(x)], SCHEMA)
+        got = ann.nearest_neighbours(df, df.where("vec_id % 20 = 0"), centroids=16)
+        by = {}
+        for r in got.collect():
+            by.setdefault(r.query_id, set()).add(r.vec_id)
+        y = x.astype(float)
+        hits = 0
+        for q, found in by.items():
+            s = y @ y[q]
+            s[q] = -np.inf
+            hits += len(found & set(np.argsort(-s)[:20].tolist()))
+        assert len(by) == n // 20 and hits >= 0.93 * 20 * len(by), n
 
 
 def test_probe_order_is_by_falling_sum():
@@ -71,27 +75,37 @@ PAGES = "page_id long, url string, html string, digest string, first int"
 
 def test_archives_round_trip(spark):
     html = {1: "<p>é</p>", 2: "<p>é</p>", 3: None, 4: "", 5: "WARC/1.1\r\n\r\n" * 30, 6: "x" * 5000, 7: "x" * 5000, 8: "ü\r\n0\r\n\r\n" * 700, 9: "中" * 3000}
-    pages = spark.createDataFrame([(i, None if i == 9 else f"http://a/{i} x\r\n", h, "x", 1) for i, h in html.items()] + [(None, "u", "h", "x", 1)], PAGES)
+    rows = [(i, None if i == 9 else f"http://a/{i} x\r\n", h) for i, h in html.items()]
+    rows += [(None, "u", "h"), (None, "u", "<p>é</p>"), (None, "v", "h"), (20, "u", "y" * 40_000), (20, "u", "y" * 40_000), (20, "u", "z")]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], PAGES)
     staging = Staging(spark, "t")
-    warc.write_archives(pages, staging.path("a"), segment_chars=700, chunk_chars=100, records_per_file=5)
+    warc.write_archives(pages, staging.path("a"), staging, segment_chars=700, chunk_chars=100, records_per_file=5)
     records = warc.read_archives(spark, staging.path("a"))
     assert {r.type for r in records.select("type").collect()} == {"response", "revisit", "continuation"}
-    whole = {r.id: r for r in warc.reassemble(records).collect()}
-    assert all(r.valid for r in whole.values()) and len(whole) == 9
-    for i, h in html.items():
-        r = whole[f"<urn:page:{i}>"]
-        assert r.type == "revisit" and i in (2, 4, 7) or bytes(r.payload) == (h or "").encode()
-    got = {r.page_id: r for r in warc.archive_round_trip(pages, segment_chars=700, chunk_chars=100).collect()}
+    whole = warc.reassemble(records).collect()
+    assert all(r.valid for r in whole) and len(whole) == len(rows) == len({r.id for r in whole})
+    held = {int(r.id.split(":")[2]): r for r in whole if r.type == "response" and not r.id.startswith(("<urn:page::", "<urn:page:20:"))}
+    assert set(held) == {1, 3, 5, 6, 8, 9} and all(bytes(r.payload) == (html[i] or "").encode() for i, r in held.items())
+    every = warc.archive_round_trip(pages, segment_chars=700, chunk_chars=100).collect()
+    got = {r.page_id: r for r in every}
     first = {2: 1, 4: 3, 7: 6}
     for i, h in html.items():
         p, r = (h or "").encode(), got[i]
         assert r.payload_bytes == len(p) and r.payload_digest == base64.b32encode(hashlib.sha1(p).digest()).decode()
         assert (r.record_type, r.refers_to) == (("revisit", first[i]) if i in first else ("response", None))
+    assert sorted((r.payload_bytes, r.record_type, r.refers_to) for r in every if r.page_id == 20) == [(1, "response", None), (40000, "response", None), (40000, "revisit", 20)]
+    assert sorted((r.payload_bytes, r.record_type, r.refers_to or 0) for r in every if r.page_id is None) == [(1, "response", 0), (1, "revisit", 0), (9, "revisit", 1)]
     kept = {r.page_id: r.record_type for r in warc.archive_round_trip(pages, min_dedup_bytes=9).collect()}
     assert kept[4] == "response" and kept[2] == "revisit"
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_header_lines_in_any_form():
+    data = b"WARC/1.0\r\nwarc-type:response\r\nno colon here\r\nWARC-RECORD-ID: <a:b>\r\nContent-length:3\r\n\r\nabc\r\n\r\n"
+    (record,) = warc.parse_records(data)
+    assert record[0] == "<a:b>" and record[1] == "response" and record[-1] == b"abc"
+
+
 def test_broken_segments_are_told(spark):
     block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3;x=1\r\nabc\r\n0\r\n\r\n"
     digest = warc.payload_digest(b"abc")
