@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Staging
+from .common import Staging, join_counted
 
 _END = "\r\n\r\n"
 _RECORD = "id string, type string, origin string, segment int, total long, digest string, refers_to string, uri string, block binary"
@@ -44,9 +44,10 @@ def dechunked(body: bytes) -> bytes | None:
     return None
 
 
-def _records(page_id, url, payload, digest, first, segment_chars, chunk_chars) -> Iterator[str]:
+def _records(page_id, row, url, payload, digest, first_page, first_row, segment_chars, chunk_chars) -> Iterator[str]:
     """The records of a page, each without the blank lines that end it: a response in segments as needed, or a revisit."""
-    name = lambda n: f"<urn:page:{page_id}>" if n == 1 else f"<urn:page:{page_id}:{n}>"
+    urn = lambda page, row: f"urn:page:{'' if page is None else page}:row:{row}"
+    name = lambda n: f"<{urn(page_id, row)}>" if n == 1 else f"<{urn(page_id, row)}:{n}>"
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
 
     def record(kind, n, block, *more):
@@ -54,8 +55,8 @@ def _records(page_id, url, payload, digest, first, segment_chars, chunk_chars) -
         return "WARC/1.1\r\n" + "\r\n".join(head) + f"\r\nContent-Length: {len(block.encode())}\r\n\r\n{block}"
 
     payload_head = f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}"
-    if first != page_id:
-        yield record("revisit", 1, "", payload_head, f"WARC-Refers-To: <urn:page:{first}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+    if first_row != row:
+        yield record("revisit", 1, "", payload_head, f"WARC-Refers-To: <{urn(first_page, first_row)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         return
     block = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk_chars)
     cuts = [block[k : k + segment_chars] for k in range(0, len(block), segment_chars)]
@@ -69,29 +70,38 @@ def _records(page_id, url, payload, digest, first, segment_chars, chunk_chars) -
 
 
 def write_archives(
-    pages: DataFrame, path: str, *, min_dedup_bytes: int = 0, segment_chars: int = 32_768, chunk_chars: int = 4_096, records_per_file: int = 4_000, compression: str = "gzip"
+    pages: DataFrame, path: str, staging: Staging, *, min_dedup_bytes: int = 0, segment_chars: int = 32_768, chunk_chars: int = 4_096, records_per_file: int = 1_000, compression: str = "gzip"
 ) -> None:
     """Write ``pages`` (page_id, url, html) as WARC 1.1 files below ``path``.
 
-    Of pages with equal payloads of at least ``min_dedup_bytes`` bytes the
-    smallest page_id is a response and the others are revisits of it. Long
-    responses are cut into continuation records of ``segment_chars``
-    characters. Spark's text writer puts the blank lines after each record,
-    so a retried task leaves one copy of its file. Null url and html are
-    empty; page_id must be unique, rows without one are left out.
+    Of pages with equal payloads (by SHA-256 and length) of at least
+    ``min_dedup_bytes`` bytes the smallest page_id is a response and the
+    others are revisits of it. Long responses are cut into continuation
+    records of ``segment_chars`` characters. Spark's text writer puts the
+    blank lines after each record, so a retried task leaves one copy of its
+    file. Null url and html are empty. Every row is a record of its own, also
+    where it repeats a page_id or has none (a null page_id stands last among
+    equal payloads); record ids carry the row's number in the input. Payloads
+    that very many pages share are not gathered: see ``join_counted``.
     """
     payload = F.coalesce("html", F.lit(""))
-    rows = pages.where("page_id is not null").select(
-        F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"),
-        F.sha1(payload.cast("binary")).alias("digest"),
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.monotonically_increasing_id().alias("row"), F.coalesce("url", F.lit("")).alias("url"),
+        payload.alias("payload"), F.concat_ws(":", F.sha2(payload.cast("binary"), 256), F.octet_length(payload)).alias("same"),
     )
     size = F.octet_length("payload")
-    firsts = rows.groupBy("digest").agg(F.min("page_id").alias("first"))
-    rows = rows.join(firsts, "digest").withColumn("first", F.when(size >= min_dedup_bytes, F.col("first")).otherwise(F.col("page_id")))
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
+    firsts = rows.groupBy("same").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = staging.save(firsts.select("same", "first.page_id", "first.row", "n").toDF("same", "first_page", "first_row", "n"), "firsts")
+    own = size < min_dedup_bytes
+    rows = join_counted(rows, firsts, "same", "n").select(
+        "page_id", "row", "url", "payload", F.sha1(F.col("payload").cast("binary")).alias("digest"),
+        F.when(own, F.col("page_id")).otherwise(F.col("first_page")).alias("first_page"), F.when(own, F.col("row")).otherwise(F.col("first_row")).alias("first_row"),
+    )
 
     def run(batches):
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "first")]
+            cols = [batch.column(c).to_pylist() for c in ("page_id", "row", "url", "payload", "digest", "first_page", "first_row")]
             out, size = [], 0
             for row in zip(*cols, strict=True):
                 for r in _records(*row, segment_chars, chunk_chars):
@@ -113,14 +123,14 @@ def parse_records(data: bytes) -> Iterator[tuple]:
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.index(b"\r\n\r\n", at)
-        head = dict(line.split(b": ", 1) for line in data[at:end].split(b"\r\n")[1:])
-        get = lambda k: head[k].decode() if k in head else None  # noqa: E731, B023
+        lines = (line.partition(b":") for line in data[at:end].split(b"\r\n")[1:])
+        head = {k.strip().lower(): v.strip().decode("utf-8", "replace") for k, cut, v in lines if cut}
         start = end + 4
-        at = start + int(head[b"Content-Length"])
-        number, total = get(b"WARC-Segment-Number"), get(b"WARC-Segment-Total-Length")
+        at = start + int(head.get(b"content-length", 0))
+        number, total = head.get(b"warc-segment-number"), head.get(b"warc-segment-total-length")
         yield (
-            get(b"WARC-Record-ID"), get(b"WARC-Type"), get(b"WARC-Segment-Origin-ID"), number and int(number), total and int(total),
-            (get(b"WARC-Payload-Digest") or "").removeprefix("sha1:") or None, get(b"WARC-Refers-To"), get(b"WARC-Target-URI"), data[start:at],
+            head.get(b"warc-record-id"), head.get(b"warc-type"), head.get(b"warc-segment-origin-id"), number and int(number), total and int(total),
+            head.get(b"warc-payload-digest", "").removeprefix("sha1:") or None, head.get(b"warc-refers-to"), head.get(b"warc-target-uri"), data[start:at],
         )
 
 
@@ -162,15 +172,15 @@ def reassemble(records: DataFrame) -> DataFrame:
     numbered = F.transform("s", lambda x: x["segment"]) == F.sequence(F.lit(1), F.size("s"))
     joined = joined.select(
         F.col("whole_id").alias("id"), "type", "digest", "refers_to", "uri",
-        F.when((sizes == F.col("total")) & numbered & F.col("type").isNotNull(), F.expr("aggregate(s, cast('' as binary), (b, x) -> concat(b, x.block))")).alias("block"),
+        F.when((sizes == F.col("total")) & numbered & F.col("type").isNotNull(), F.transform("s", lambda x: x["block"])).alias("blocks"),
     )
-    every = whole.select("id", "type", "digest", "refers_to", "uri", "block").unionByName(joined)
+    every = whole.select("id", "type", "digest", "refers_to", "uri", F.array("block").alias("blocks")).unionByName(joined)
 
     def run(batches):
         for batch in batches:
             payloads = []
-            for kind, block in zip(batch.column("type").to_pylist(), batch.column("block").to_pylist(), strict=True):
-                head, cut, body = (block or b"").partition(b"\r\n\r\n")
+            for kind, blocks in zip(batch.column("type").to_pylist(), batch.column("blocks").to_pylist(), strict=True):
+                head, cut, body = b"".join(blocks or []).partition(b"\r\n\r\n")
                 if kind != "response" or not cut:
                     payloads.append(None)
                 elif re.search(rb"(?im)^transfer-encoding:\s*chunked\s*$", head):
@@ -192,22 +202,25 @@ def reassemble(records: DataFrame) -> DataFrame:
 def archive_round_trip(pages: DataFrame, *, staging: Staging | None = None, **options) -> DataFrame:
     """Write ``pages`` as archives, read them back: one row per page from what was read.
 
+    Rows that repeat a page_id or have none get a row each.
+
     page_id, payload_bytes and payload_digest (of the full payload; a revisit
     takes the bytes from the response that it names), record_type and
     refers_to. A broken record has null payload columns. No pages, no rows.
     """
     spark = pages.sparkSession
     staging = staging or Staging(spark, "warc")
-    write_archives(pages, staging.path("archives"), **options)
-    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).cast("long")
+    write_archives(pages, staging.path("archives"), staging, **options)
+    number = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:page:(-?\d*):row:\d+>$", 1), F.lit("")).cast("long")
     found = reassemble(read_archives(spark, staging.path("archives"))).select(
-        number("id").alias("page_id"), "payload_bytes", F.when(F.col("valid"), F.col("digest")).alias("payload_digest"), F.col("type").alias("record_type"),
-        F.when(F.col("refers_to").isNotNull(), number("refers_to")).alias("refers_to"),
-    )
-    found = staging.save(found, "found")
-    staging.drop("archives")
-    sizes = found.where("record_type = 'response'").select(F.col("page_id").alias("of"), F.col("payload_bytes").alias("of_bytes"))
-    revisits = found.where("record_type = 'revisit'").join(sizes, F.col("refers_to") == F.col("of"), "left")
-    return found.where("record_type = 'response'").unionByName(
-        revisits.select("page_id", F.col("of_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+        "id", number("id").alias("page_id"), "payload_bytes", F.when(F.col("valid"), F.col("digest")).alias("payload_digest"), F.col("type").alias("record_type"), "refers_to"
     )
+    found = staging.save(found, "found")
+    staging.drop("archives", "firsts")
+    revisits = found.where("record_type = 'revisit'").drop("payload_bytes")
+    asked = staging.save(revisits.groupBy("refers_to").agg(F.count(F.lit(1)).alias("n")), "asked")
+    sizes = asked.join(found.where("record_type = 'response'").select(F.col("id").alias("refers_to"), "payload_bytes"), "refers_to", "left")
+    sizes = staging.save(sizes, "sizes")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    responses = found.where("record_type = 'response'").select(*columns, F.lit(None).cast("long").alias("refers_to"))
+    return responses.unionByName(join_counted(revisits, sizes, "refers_to", "n").select(*columns, number("refers_to").alias("refers_to")))
