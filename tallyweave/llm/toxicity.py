@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,53 +20,88 @@ _TERM = re.compile(r"\w+")
 _BLOCK = 64
 
 
+def terms_of(text: str | None) -> list[str]:
+    return _TERM.findall((text or "").lower())
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one range after the other."""
+    sizes = ends - starts
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
 @dataclass
 class LabelledIndex:
-    """Unit TF-IDF vectors of labelled examples, inverted, with each term's largest weight in each block of examples."""
+    """Unit TF-IDF vectors of labelled examples, inverted: a term's postings in blocks of examples, with each block's largest weight.
 
-    idf: dict[str, float]
+    ``cells`` are the (term, block) pairs: term t has the cells from
+    ``term_at[t]`` to ``term_at[t + 1]``, cell c the postings from
+    ``cell_at[c]`` to ``cell_at[c + 1]``.
+    """
+
+    terms: dict[str, int]
+    idf: np.ndarray
+    unknown: float
     ids: np.ndarray
     labels: np.ndarray
     votes: np.ndarray
-    postings: dict[str, tuple[np.ndarray, np.ndarray]]
-    peaks: dict[str, tuple[np.ndarray, np.ndarray]]
+    term_at: np.ndarray
+    blocks: np.ndarray
+    peaks: np.ndarray
+    cell_at: np.ndarray
+    places: np.ndarray
+    weights: np.ndarray
     neighbours: int
     base: float
     slope: float = 1.0
     shift: float = 0.0
-    memory: dict = field(default_factory=dict)
 
-    def vector(self, counts: dict[str, int]) -> dict[str, float]:
-        weights = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        norm = math.sqrt(sum(w * w for w in weights.values()))
-        return {t: w / norm for t, w in weights.items()} if norm else {}
+    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the text's known terms, rising, and their weights at unit length of the whole text.
 
-    def nearest(self, vector: dict[str, float], leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        A term that no example holds counts in the length like one of a single document.
+        """
+        known = sorted((k, n) for t, n in counts.items() if (k := self.terms.get(t)) is not None)
+        at = np.array([k for k, _ in known], np.int64)
+        w = (1 + np.log([n for _, n in known])) * self.idf[at] if known else np.zeros(0)
+        other = sum((1 + math.log(n)) ** 2 for t, n in counts.items() if t not in self.terms) * self.unknown**2
+        norm = math.sqrt(float(w @ w) + other)
+        return at, w / norm if norm else w
+
+    def nearest(self, at: np.ndarray, w: np.ndarray, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the nearest examples, nearest first, ties to the smaller place; exact.
 
         A block's bound is the sum of its terms' peaks. Blocks are opened by
         falling bound until no unopened one can reach the last place.
         """
-        bound = np.zeros(len(self.ids) // _BLOCK + 1)
-        found = [(self.peaks[t], self.postings[t], w) for t, w in vector.items() if t in self.postings]
-        for (blocks, most), _, w in found:
-            bound[blocks] += w * most
-        order = np.argsort(-bound, kind="stable")
-        order = order[: np.count_nonzero(bound)]
-        score = np.zeros(len(bound) * _BLOCK)
-        k, opened, last = self.neighbours + (leave_out >= 0), 0, -1.0
-        while opened < len(order) and bound[order[opened]] >= last - 1e-12:
-            now = np.sort(order[opened : opened + 16])
-            opened += len(now)
-            for _, (places, weights), w in found:
-                for a, b in zip(np.searchsorted(places, now * _BLOCK), np.searchsorted(places, (now + 1) * _BLOCK), strict=True):
-                    score[places[a:b]] += w * weights[a:b]
+        first, last = self.term_at[at], self.term_at[at + 1]
+        cells = _ranges(first, last)
+        cell_w = np.repeat(w, last - first)
+        cell_block = self.blocks[cells]
+        size = len(self.ids) // _BLOCK + 1
+        bound = np.bincount(cell_block, cell_w * self.peaks[cells], minlength=size)
+        order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound)]
+        score = np.zeros(size * _BLOCK)
+        k, opened, lowest = self.neighbours + (leave_out >= 0), 0, -1.0
+        chosen = np.zeros(size, bool)
+        step = 8
+        while opened < len(order) and bound[order[opened]] >= lowest - 1e-12:
+            now = order[opened : opened + step]
+            opened, step = opened + len(now), 2 * step
+            chosen[:] = False
+            chosen[now] = True
+            mine = chosen[cell_block]
+            a, b = self.cell_at[cells[mine]], self.cell_at[cells[mine] + 1]
+            posts = _ranges(a, b)
+            score += np.bincount(self.places[posts], self.weights[posts] * np.repeat(cell_w[mine], b - a), minlength=len(score))
             if np.count_nonzero(score) >= k:
-                last = np.partition(score, -k)[-k]
-        at = np.flatnonzero(score > 0)
-        at = at[at != leave_out]
-        at = at[np.lexsort((at, -score[at]))][: self.neighbours]
-        return at, np.minimum(score[at], 1.0)
+                lowest = np.partition(score, -k)[-k]
+        found = np.flatnonzero(score > 0)
+        found = found[found != leave_out]
+        if len(found) > self.neighbours:
+            found = found[score[found] >= np.partition(score[found], -self.neighbours)[-self.neighbours]]
+        found = found[np.lexsort((found, -score[found]))][: self.neighbours]
+        return found, np.minimum(score[found], 1.0)
 
     def raw(self, at: np.ndarray, cosine: np.ndarray) -> float:
         """Log-odds of the vote: an example votes by its cosine over its distance, one vote stands for the base rate."""
@@ -77,36 +113,54 @@ class LabelledIndex:
         return math.log(p / (1 - p))
 
     def score(self, counts: dict[str, int]) -> tuple[float, list[tuple[int, float]]]:
-        key = tuple(sorted(counts.items()))
-        if key not in self.memory:
-            if len(self.memory) > 100_000:
-                self.memory.clear()
-            at, cosine = self.nearest(self.vector(counts))
-            z = self.slope * self.raw(at, cosine) + self.shift if len(at) else self.raw(at, cosine)
-            evidence = [(int(i), float(c)) for i, c in zip(self.ids[at[:5]], cosine[:5], strict=True)]
-            self.memory[key] = (1 / (1 + math.exp(-min(max(z, -8.0), 8.0))), evidence)
-        return self.memory[key]
-
-
-def _count(text: str | None, vocabulary) -> Counter:
-    return Counter(t for t in _TERM.findall((text or "").lower()) if t in vocabulary)
+        at, cosine = self.nearest(*self.vector(counts))
+        z = self.slope * self.raw(at, cosine) + self.shift if len(at) else self.raw(at, cosine)
+        evidence = [(int(i), float(c)) for i, c in zip(self.ids[at[:5]], cosine[:5], strict=True)]
+        return 1 / (1 + math.exp(-min(max(z, -8.0), 8.0))), evidence
 
 
-def _idf(docs: DataFrame, vocabulary: set[str]) -> dict[str, float]:
-    """ln((1 + n) / (1 + df)) + 1 of each vocabulary term over all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def _idf(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, float]:
+    """ln((1 + n) / (1 + df)) + 1 of each term over all documents, and of a term of one document."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
-        found, rows = Counter(), 0
+        terms, rows = shared.value, 0
+        total = np.zeros(len(terms), np.int64)
         for batch in batches:
             rows += batch.num_rows
             for text in batch.column(0).to_pylist():
-                found.update(shared.value.intersection(_TERM.findall((text or "").lower())))
-        yield pa.RecordBatch.from_arrays([pa.array(["", *found]), pa.array([rows, *found.values()])], names=["term", "n"])
+                total[[k for t in set(terms_of(text)) if (k := terms.get(t)) is not None]] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[rows, total[at]])], names=["term", "n"])
 
-    counts = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    n = counts.pop("", 0)
-    return {t: math.log((1 + n) / (1 + counts.get(t, 0))) + 1 for t in vocabulary}
+    counts = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    at, found = counts.column("term").to_numpy(), counts.column("n").to_numpy()
+    n, df = int(found[at < 0].sum()), np.zeros(len(terms))
+    df[at[at >= 0]] = found[at >= 0]
+    return np.log((1 + n) / (1 + df)) + 1, math.log((1 + n) / 2) + 1
+
+
+def _ratio(own: np.ndarray, other: np.ndarray, n_own: int, n_other: int) -> np.ndarray:
+    """Log-likelihood ratio of each term's uses in two classes of n_own and n_other uses."""
+    share = n_own / max(1, n_own + n_other)
+    part = lambda n, expected: n * np.log(np.where(n > 0, n, 1) / np.where(n > 0, expected, 1))
+    return np.maximum(0, 2 * (part(own, (own + other) * share) + part(other, (own + other) * (1 - share))))
+
+
+def telling_factor(entries: np.ndarray, after: np.ndarray, toxic: np.ndarray, owner: np.ndarray, size: int, strength: float) -> np.ndarray:
+    """1 + log-likelihood ratio / ``strength`` of each term: the lesser of that by documents and that by the words it follows.
+
+    So copies of a text don't make its words telling. ``entries``: the term of
+    each use, ``after`` a hash of the word before it, ``toxic`` its example's
+    label, ``owner`` its example.
+    """
+    ratios = []
+    for key in (owner, after):
+        uses = np.unique(np.stack([entries, key, toxic]), axis=1)
+        own, other = (np.bincount(uses[0][uses[2] == y], minlength=size).astype(float) for y in (1, 0))
+        totals = [len(np.unique(owner[toxic == y])) for y in (1, 0)] if key is owner else [int((uses[2] == y).sum()) for y in (1, 0)]
+        ratios.append(_ratio(own, other, *totals))
+    return 1 + np.minimum(*ratios) / strength
 
 
 def _calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -124,31 +178,20 @@ def _calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(max(beta[0], 1e-3)), float(beta[1])
 
 
-def _telling(uses: DataFrame, n1: int, n0: int, least_ratio: float) -> DataFrame:
-    """term, ratio, lean of the terms whose uses (toxic, term) differ between the classes by that log-likelihood ratio."""
-    a, b = F.col("a"), F.col("b")
-    part = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
-    e1, e0 = (a + b) * (n1 / (n1 + n0)), (a + b) * (n0 / (n1 + n0))
-    counts = uses.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
-    return counts.withColumn("ratio", 2 * (part(a, e1) + part(b, e0))).withColumn("lean", (a > e1).cast("int")).where(F.col("ratio") >= least_ratio).select("term", "ratio", "lean")
-
-
-def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, *, per_class: int = 5_000, max_terms: int = 5_000, least_ratio: float = 24.0, neighbours: int = 25
-) -> LabelledIndex:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 4_000, neighbours: int = 25, strength: float = 10.0) -> LabelledIndex:
     """Build the index from ``labels`` (doc_id, toxic 0/1) outside the held-out fold.
 
     ``per_class`` bounds the labelled examples of each class (a hash sample of
-    about that many; votes are weighted back to the classes' true shares), and
-    ``max_terms`` the vocabulary: terms of the sample whose uses differ between
-    the classes by a log-likelihood ratio of ``least_ratio``, counted by
-    documents and also by the words that they follow, so that copies of a
-    text don't make its words telling. Both bounds hold
-    for what reaches the driver and is broadcast. Inverse document
-    frequencies are counted over all documents. Rows with a null id or label
-    are not learned from; of an id with several labels the largest counts.
-    Without examples of both classes the index is empty and scores its base
-    rate (0.01 without any label).
+    about that many; votes are weighted back to the classes' true shares) and
+    so what reaches the driver and is broadcast. All terms of the sampled
+    texts of both classes are indexed. A term's weight is its inverse document
+    frequency over all documents, times a factor that grows with how unevenly
+    the classes use it (``telling_factor``; an infinite ``strength`` gives
+    plain TF-IDF). Scores are calibrated by a logistic fit on the examples,
+    each left out of its own neighbours. Rows with a null id or label are not
+    learned from; of an id with several labels the largest counts. Without
+    examples of both classes the index is empty and scores its base rate (0.01
+    without any label).
     """
     known = labels.where(~in_fold(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -156,54 +199,70 @@ def fit_toxicity(
     chance = hash32(F.concat(F.lit("toxic:"), F.col("doc_id").cast("string"))) / F.lit(4294967296.0)
     sample = known.where(chance < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    n1, n0 = size.get(1, 0), size.get(0, 0)
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), "text")
     prior = (counts.get(1, 0) + 0.1) / (sum(counts.values()) + 10)
-    if not n1 or not n0:
-        return LabelledIndex({}, np.array([], int), np.array([]), np.array([]), {}, {}, neighbours, prior)
-    words = rows.select("toxic", F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)).alias("w"))
-    by_document = words.select("toxic", F.explode(F.array_distinct("w")).alias("term"))
-    likely = _telling(by_document, n1, n0, least_ratio).orderBy(F.desc("ratio"), "term").limit(4 * max_terms).select("term", F.col("lean").alias("document_lean"))
-    pairs = F.transform("w", lambda x, i: F.struct(x.alias("term"), F.xxhash64(F.when(i > 0, F.get("w", i - 1))).alias("after")))
-    by_context = words.select("toxic", F.explode(F.array_distinct(pairs)).alias("p")).select("toxic", "p.*").join(F.broadcast(likely), "term").distinct()
-    chosen = (
-        _telling(by_context, n1, n0, least_ratio).join(likely, "term").where("lean = document_lean").orderBy(F.desc("ratio"), "term").limit(max_terms)
-    )
-    vocabulary = {r["term"] for r in chosen.collect()}
-    idf = _idf(docs, vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
         for batch in batches:
-            found = [_count(t, shared.value) for t in batch.column("text").to_pylist()]
+            words = [terms_of(t) for t in batch.column("text").to_pylist()]
+            uses = [sorted(Counter(zip(w, ["", *w], strict=False)).items()) for w in words]
+            after = [np.array([zlib.crc32(b.encode("utf-8", "surrogatepass")) for (_, b), _ in u], np.int64) for u in uses]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic"), pa.array([[{"term": t, "n": n} for t, n in sorted(c.items())] for c in found], pa.list_(pa.struct([("term", pa.string()), ("n", pa.int64())])))],
-                names=["doc_id", "toxic", "terms"],
+                [batch.column("doc_id"), batch.column("toxic"), pa.array([[t for (t, _), _ in u] for u in uses], pa.list_(pa.string())), pa.array(after, pa.list_(pa.int64())), pa.array([[n for _, n in u] for u in uses], pa.list_(pa.int64()))],
+                names=["doc_id", "toxic", "terms", "after", "n"],
             )
 
-    examples = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(
-        run, "doc_id long, toxic int, terms array<struct<term:string,n:long>>"
-    )
-    found = sorted(examples.collect(), key=lambda r: (r["doc_id"], r["toxic"]))
-    # examples of one kind stand together, so that a block's bounds are tight
-    filled = sorted((r for r in found if r["terms"]), key=lambda r: (sorted(t["term"] for t in r["terms"]), r["doc_id"]))
-    weight = np.array([1 / share[r["toxic"]] for r in filled])
-    empty = [(r["toxic"], 1 / share[r["toxic"]]) for r in found if not r["terms"]]
-    base = (sum(w for y, w in empty if y) + prior) / (sum(w for _, w in empty) + 1)
-    index = LabelledIndex(idf, np.array([r["doc_id"] for r in filled], int), np.array([float(r["toxic"]) for r in filled]), weight, {}, {}, neighbours, base)
-    lists: dict[str, list] = {}
-    vectors = [index.vector({t["term"]: t["n"] for t in r["terms"]}) for r in filled]
-    for place, vector in enumerate(vectors):
-        for t, w in vector.items():
-            lists.setdefault(t, []).append((place, w))
-    for t, entries in lists.items():
-        places, weights = np.array([p for p, _ in entries]), np.array([w for _, w in entries])
-        cuts = np.flatnonzero(np.r_[True, np.diff(places // _BLOCK) > 0])
-        index.postings[t] = (places, weights)
-        index.peaks[t] = (places[cuts] // _BLOCK, np.maximum.reduceat(weights, cuts))
-    if filled:
-        z = np.array([index.raw(*index.nearest(v, leave_out=k)) for k, v in enumerate(vectors)])
-        index.slope, index.shift = _calibrate(z, index.labels, weight)
+    found = rows.mapInArrow(run, "doc_id long, toxic int, terms array<string>, after array<long>, n array<long>").toArrow().combine_chunks()
+    found = found.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    ids, labels_of = found.column("doc_id").to_numpy(), found.column("toxic").to_numpy().astype(np.int64)
+    if len(set(labels_of.tolist())) < 2:
+        none = np.zeros(0, np.int64)
+        return LabelledIndex({}, np.zeros(0), 1.0, none, np.zeros(0), np.zeros(0), np.zeros(1, np.int64), none, np.zeros(0), np.zeros(1, np.int64), none, np.zeros(0), neighbours, prior)
+    lists = found.column("terms").combine_chunks()
+    owner = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+    coded = lists.flatten().dictionary_encode()
+    entries = coded.indices.to_numpy().astype(np.int64)
+    after, times = (found.column(c).combine_chunks().flatten().to_numpy() for c in ("after", "n"))
+    terms = {t: k for k, t in enumerate(coded.dictionary.to_pylist())}
+    idf, unknown = _idf(docs, terms)
+    idf = idf * telling_factor(entries, after, labels_of[owner], owner, len(terms), strength)
+
+    # one weight for each (example, term); examples stand by their heaviest term, so that a block's bounds are tight
+    held, place = np.unique(owner * len(terms) + entries, return_inverse=True)
+    who, term = held // len(terms), held % len(terms)
+    weight = (1 + np.log(np.bincount(place, times))) * idf[term]
+    weight /= np.sqrt(np.bincount(who, weight**2, minlength=len(ids)))[who]
+    by_weight = np.lexsort((-weight, who))
+    heaviest = np.full(len(ids), -1)
+    first = np.r_[True, np.diff(who[by_weight]) > 0] if len(who) else np.zeros(0, bool)
+    heaviest[who[by_weight][first]] = term[by_weight][first]
+    order = np.lexsort((ids, heaviest))
+    at = np.empty(len(ids), np.int64)
+    at[order] = np.arange(len(ids))
+    posts = np.lexsort((at[who], term))
+    term, places, weight = term[posts], at[who][posts], weight[posts]
+    cell = np.flatnonzero(np.r_[True, (np.diff(term) > 0) | (np.diff(places // _BLOCK) > 0)]) if len(term) else np.zeros(0, np.int64)
+    votes = np.array([1 / share[y] for y in labels_of.tolist()])[order]
+    index = LabelledIndex(
+        terms, idf, unknown, ids[order], labels_of[order].astype(float), votes, np.searchsorted(term[cell], np.arange(len(terms) + 1)),
+        (places[cell] // _BLOCK).astype(np.int32), np.maximum.reduceat(weight, cell) if len(cell) else np.zeros(0), np.r_[cell, len(term)], places.astype(np.int32), weight.astype(np.float32), neighbours, prior,
+    )
+    index.peaks = np.nextafter(index.peaks.astype(np.float32), np.float32(2))
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    where = docs.sparkSession.sparkContext.broadcast(dict(zip(zip(index.ids.tolist(), index.labels.astype(int).tolist(), strict=True), range(len(ids)), strict=True)))
+
+    def left_out(batches):
+        index, place = shared.value, where.value
+        for batch in batches:
+            keys = list(zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), strict=True))
+            z = [index.raw(*index.nearest(*index.vector(Counter(terms_of(t))), leave_out=place[k])) for k, t in zip(keys, batch.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(z, pa.float64())], names=["doc_id", "toxic", "z"])
+
+    fit = rows.repartition(max(8, docs.sparkSession.sparkContext.defaultParallelism), "doc_id").mapInArrow(left_out, "doc_id long, toxic int, z double").toArrow()
+    fit = fit.sort_by([("doc_id", "ascending"), ("z", "ascending")])
+    y = fit.column("toxic").to_numpy()
+    index.slope, index.shift = _calibrate(fit.column("z").to_numpy(), y.astype(float), np.array([1 / share[k] for k in y.tolist()]))
+    shared.unpersist()
     return index
 
 
@@ -211,8 +270,8 @@ def score_toxicity(df: DataFrame, index: LabelledIndex, *, text_col: str = "text
     """Add ``toxicity`` (0 to 1), ``toxic_predicted`` (1 from 0.5 on) and ``evidence`` (nearest examples, cosines) to every row.
 
     Whole texts are scored. Null and empty texts, and texts without a term of
-    the vocabulary, get the base rate of labelled examples without one and no
-    evidence. Input columns with these names are replaced.
+    any example, get the classes' base rate and no evidence. Rows that repeat
+    get a row each. Input columns with these names are replaced.
     """
     added = ["toxicity", "toxic_predicted", "evidence"]
     df = df.drop(*added)
@@ -226,7 +285,7 @@ def score_toxicity(df: DataFrame, index: LabelledIndex, *, text_col: str = "text
         for whole in batches:
             for k in range(0, whole.num_rows, 1024):
                 batch = whole.slice(k, 1024)
-                found = [index.score(_count(t, index.idf)) for t in batch.column(text_col).to_pylist()]
+                found = [index.score(Counter(terms_of(t))) for t in batch.column(text_col).to_pylist()]
                 scores = [s for s, _ in found]
                 evidence = [[{"doc_id": i, "cosine": c} for i, c in e] for _, e in found]
                 yield pa.RecordBatch.from_arrays(

@@ -65,24 +65,33 @@ def test_toxicity_on_held_out_rows(spark):
 
 
 def test_nearest_examples_equal_brute_force(spark):
-    rows, labels = toxic_rows(random.Random(5), 400)
-    index = toxicity.fit_toxicity(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), least_ratio=2.0)
-    place = {int(i): k for k, i in enumerate(index.ids)}
-    vectors = {d: index.vector(toxicity._count(t, index.idf)) for d, t in rows}
-    dense = np.zeros((len(index.ids), len(index.idf)))
-    column = {t: k for k, t in enumerate(sorted(index.idf))}
-    for d, k in place.items():
-        for t, w in vectors[d].items():
-            dense[k, column[t]] = w
-    assert len(column) > 5
-    for d, v in list(vectors.items())[:80]:
-        q = np.zeros(len(column))
-        for t, w in v.items():
-            q[column[t]] = w
-        s = dense @ q
-        want = [k for k in np.lexsort((np.arange(len(s)), -np.round(s, 9))) if s[k] > 0][:25]
-        at, cosine = index.nearest(v)
-        assert np.allclose(cosine, np.minimum(s[want], 1)) and len(at) == len(want)
+    rows, labels = toxic_rows(random.Random(5), 500)
+    rows += [(600, rows[0][1]), (601, "only unseen zzzz"), (602, None)]
+    index = toxicity.fit_toxicity(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert set(index.labels.tolist()) == {0.0, 1.0}
+    counts = {d: Counter(toxicity.terms_of(t)) for d, t in rows}
+    learned = set().union(*(counts[int(i)] for i in index.ids))
+    assert set(index.terms) == learned and len(learned) > 200
+    df = Counter(t for c in counts.values() for t in c)
+    plain = {t: math.log((1 + len(rows)) / (1 + df[t])) + 1 for t in learned}
+    assert all(index.idf[k] >= plain[t] - 1e-9 for t, k in index.terms.items())
+    assert index.idf[index.terms["idiot"]] > 3 * plain["idiot"]
+
+    def dense(c):
+        v = np.zeros(len(index.terms) + 1)
+        for t, n in c.items():
+            k = index.terms.get(t)
+            v[-1 if k is None else k] = math.hypot(v[-1], (1 + math.log(n)) * index.unknown) if k is None else (1 + math.log(n)) * index.idf[k]
+        return v / (np.linalg.norm(v) or 1)
+
+    examples = np.stack([dense(counts[int(i)]) for i in index.ids])
+    examples[:, -1] = 0
+    for d in [*range(60), 600, 601, 602]:
+        s = examples @ dense(counts[d])
+        at, cosine = index.nearest(*index.vector(counts[d]))
+        want = np.sort(s[s > 0])[::-1][:25]
+        assert len(at) == len(want) and np.allclose(cosine, np.minimum(want, 1), atol=1e-5)
+        assert np.allclose(s[at], want, atol=1e-5)
 
 
 def base_measures(text):
