@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from .common import hash32, in_fold
 
 _TERM = re.compile(r"\w+")
 _BLOCK = 64
+#: Texts scored together.
+_TEXTS = 256
 
 
 def terms_of(text: str | None) -> list[str]:
@@ -32,11 +35,11 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LabelledIndex:
-    """Unit TF-IDF vectors of labelled examples, inverted: a term's postings in blocks of examples, with each block's largest weight.
+    """Unit TF-IDF vectors of labelled examples, inverted, in blocks of 64 examples.
 
-    ``cells`` are the (term, block) pairs: term t has the cells from
-    ``term_at[t]`` to ``term_at[t + 1]``, cell c the postings from
-    ``cell_at[c]`` to ``cell_at[c + 1]``.
+    Each block holds the weights of the most frequent terms as a matrix, with
+    each term's peak in the block; all other terms have posting lists (term t
+    from ``post_at[t]`` to ``post_at[t + 1]``).
     """
 
     terms: dict[str, int]
@@ -45,12 +48,12 @@ class LabelledIndex:
     ids: np.ndarray
     labels: np.ndarray
     votes: np.ndarray
-    term_at: np.ndarray
-    blocks: np.ndarray
-    peaks: np.ndarray
-    cell_at: np.ndarray
+    post_at: np.ndarray
     places: np.ndarray
     weights: np.ndarray
+    column: np.ndarray
+    dense: np.ndarray
+    peaks: np.ndarray
     neighbours: int
     base: float
     slope: float = 1.0
@@ -61,47 +64,59 @@ class LabelledIndex:
 
         A term that no example holds counts in the length like one of a single document.
         """
-        known = sorted((k, n) for t, n in counts.items() if (k := self.terms.get(t)) is not None)
-        at = np.array([k for k, _ in known], np.int64)
-        w = (1 + np.log([n for _, n in known])) * self.idf[at] if known else np.zeros(0)
-        other = sum((1 + math.log(n)) ** 2 for t, n in counts.items() if t not in self.terms) * self.unknown**2
-        norm = math.sqrt(float(w @ w) + other)
-        return at, w / norm if norm else w
-
-    def nearest(self, at: np.ndarray, w: np.ndarray, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the nearest examples, nearest first, ties to the smaller place; exact.
-
-        A block's bound is the sum of its terms' peaks. Blocks are opened by
-        falling bound until no unopened one can reach the last place.
+        at = np.fromiter(map(self.terms.get, counts, repeat(-1)), np.int64, len(counts))
+        tf = 1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
+        known = np.flatnonzero(at >= 0)
+        known = known[np.argsort(at[known])]
+        w = tf[known] * self.idf[at[known]]
+        norm = math.sqrt(float(w @ w) + self.unknown**2 * float((tf[at < 0] ** 2).sum()))
+        return at[known], w / norm if norm else w
+
+    def nearest(self, counts: list[dict[str, int]], leave_out: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text places and cosines of its nearest examples, nearest first, ties to the smaller place; exact.
+
+        A block's bound is the largest sum over posting lists of one of its
+        examples plus the frequent terms' weights times their peaks. A text
+        opens its most promising blocks, and then all that can still reach
+        its last place.
         """
-        first, last = self.term_at[at], self.term_at[at + 1]
-        cells = _ranges(first, last)
-        cell_w = np.repeat(w, last - first)
-        cell_block = self.blocks[cells]
-        size = len(self.ids) // _BLOCK + 1
-        bound = np.bincount(cell_block, cell_w * self.peaks[cells], minlength=size)
-        order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound)]
-        score = np.zeros(size * _BLOCK)
-        k, opened, lowest = self.neighbours + (leave_out >= 0), 0, -1.0
-        chosen = np.zeros(size, bool)
-        step = 8
-        while opened < len(order) and bound[order[opened]] >= lowest - 1e-12:
-            now = order[opened : opened + step]
-            opened, step = opened + len(now), 2 * step
-            chosen[:] = False
-            chosen[now] = True
-            mine = chosen[cell_block]
-            a, b = self.cell_at[cells[mine]], self.cell_at[cells[mine] + 1]
-            posts = _ranges(a, b)
-            score += np.bincount(self.places[posts], self.weights[posts] * np.repeat(cell_w[mine], b - a), minlength=len(score))
-            if np.count_nonzero(score) >= k:
-                lowest = np.partition(score, -k)[-k]
-        found = np.flatnonzero(score > 0)
-        found = found[found != leave_out]
-        if len(found) > self.neighbours:
-            found = found[score[found] >= np.partition(score[found], -self.neighbours)[-self.neighbours]]
-        found = found[np.lexsort((found, -score[found]))][: self.neighbours]
-        return found, np.minimum(score[found], 1.0)
+        n, blocks = len(counts), len(self.dense) // _BLOCK
+        if not blocks or not n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * n
+        vectors = [self.vector(c) for c in counts]
+        doc = np.repeat(np.arange(n), [len(v[0]) for v in vectors])
+        term, w = np.concatenate([v[0] for v in vectors]), np.concatenate([v[1] for v in vectors])
+        column = self.column[term]
+        often = column >= 0
+        query = np.zeros((n, self.dense.shape[1]), np.float32)
+        query[doc[often], column[often]] = w[often]
+        first, last = self.post_at[term[~often]], self.post_at[term[~often] + 1]
+        posts = _ranges(first, last)
+        key = np.repeat(doc[~often], last - first) * len(self.dense) + self.places[posts]
+        score = np.bincount(key, self.weights[posts] * np.repeat(w[~often], last - first), minlength=n * len(self.dense)).astype(float).reshape(n, -1)
+        bound = score.reshape(n, blocks, _BLOCK).max(2) + query @ self.peaks
+        exact, k = np.zeros_like(score), self.neighbours + (leave_out is not None)
+        few = min(blocks, 2 + k // _BLOCK)
+        need = np.zeros((n, blocks), bool)
+        need[np.arange(n)[:, None], np.argpartition(-bound, few - 1, axis=1)[:, :few]] = True
+        done = np.zeros_like(need)
+        while (now := need & ~done).any():
+            for b in np.flatnonzero(now.any(0)).tolist():
+                rows, at = np.flatnonzero(now[:, b]), slice(b * _BLOCK, (b + 1) * _BLOCK)
+                exact[rows, at] = score[rows, at] + query[rows] @ self.dense[at].T
+            done |= now
+            lowest = np.partition(exact, -min(k, exact.shape[1]), axis=1)[:, -min(k, exact.shape[1])]
+            need = (bound >= lowest[:, None] - 1e-6) & (bound > 0)
+        out = []
+        for row, gone in zip(exact, leave_out or [-1] * n, strict=True):
+            if gone >= 0:
+                row[gone] = 0
+            found = np.flatnonzero(row > 0)
+            if len(found) > self.neighbours:
+                found = found[row[found] >= np.partition(row[found], -self.neighbours)[-self.neighbours]]
+            found = found[np.lexsort((found, -row[found]))][: self.neighbours]
+            out.append((found, np.minimum(row[found], 1.0)))
+        return out
 
     def raw(self, at: np.ndarray, cosine: np.ndarray) -> float:
         """Log-odds of the vote: an example votes by its cosine over its distance, one vote stands for the base rate."""
@@ -112,11 +127,14 @@ class LabelledIndex:
         p = min(max(p, 1e-6), 1 - 1e-6)
         return math.log(p / (1 - p))
 
-    def score(self, counts: dict[str, int]) -> tuple[float, list[tuple[int, float]]]:
-        at, cosine = self.nearest(*self.vector(counts))
-        z = self.slope * self.raw(at, cosine) + self.shift if len(at) else self.raw(at, cosine)
-        evidence = [(int(i), float(c)) for i, c in zip(self.ids[at[:5]], cosine[:5], strict=True)]
-        return 1 / (1 + math.exp(-min(max(z, -8.0), 8.0))), evidence
+    def score(self, counts: list[dict[str, int]]) -> list[tuple[float, list[tuple[int, float]]]]:
+        """Calibrated score and the five nearest examples (id, cosine) of each text."""
+        out = []
+        for at, cosine in self.nearest(counts):
+            z = self.slope * self.raw(at, cosine) + self.shift if len(at) else self.raw(at, cosine)
+            evidence = [(int(i), float(c)) for i, c in zip(self.ids[at[:5]], cosine[:5], strict=True)]
+            out.append((1 / (1 + math.exp(-min(max(z, -8.0), 8.0))), evidence))
+        return out
 
 
 def _idf(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, float]:
@@ -156,9 +174,11 @@ def telling_factor(entries: np.ndarray, after: np.ndarray, toxic: np.ndarray, ow
     """
     ratios = []
     for key in (owner, after):
-        uses = np.unique(np.stack([entries, key, toxic]), axis=1)
-        own, other = (np.bincount(uses[0][uses[2] == y], minlength=size).astype(float) for y in (1, 0))
-        totals = [len(np.unique(owner[toxic == y])) for y in (1, 0)] if key is owner else [int((uses[2] == y).sum()) for y in (1, 0)]
+        kinds, kind = np.unique(key, return_inverse=True)
+        uses = np.unique((entries * len(kinds) + kind) * 2 + toxic)
+        term = uses // (2 * len(kinds))
+        own, other = (np.bincount(term[uses % 2 == y], minlength=size).astype(float) for y in (1, 0))
+        totals = [len(np.unique(owner[toxic == y])) for y in (1, 0)] if key is owner else [int((uses % 2 == y).sum()) for y in (1, 0)]
         ratios.append(_ratio(own, other, *totals))
     return 1 + np.minimum(*ratios) / strength
 
@@ -178,7 +198,7 @@ def _calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(max(beta[0], 1e-3)), float(beta[1])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 4_000, neighbours: int = 25, strength: float = 10.0) -> LabelledIndex:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 4_000, neighbours: int = 25, strength: float = 10.0, frequent: int = 512) -> LabelledIndex:
     """Build the index from ``labels`` (doc_id, toxic 0/1) outside the held-out fold.
 
     ``per_class`` bounds the labelled examples of each class (a hash sample of
@@ -187,7 +207,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 4_000,
     texts of both classes are indexed. A term's weight is its inverse document
     frequency over all documents, times a factor that grows with how unevenly
     the classes use it (``telling_factor``; an infinite ``strength`` gives
-    plain TF-IDF). Scores are calibrated by a logistic fit on the examples,
+    plain TF-IDF). The ``frequent`` most frequent terms are held as matrices,
+    which changes no result. Scores are calibrated by a logistic fit on the examples,
     each left out of its own neighbours. Rows with a null id or label are not
     learned from; of an id with several labels the largest counts. Without
     examples of both classes the index is empty and scores its base rate (0.01
@@ -216,8 +237,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 4_000,
     found = found.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     ids, labels_of = found.column("doc_id").to_numpy(), found.column("toxic").to_numpy().astype(np.int64)
     if len(set(labels_of.tolist())) < 2:
-        none = np.zeros(0, np.int64)
-        return LabelledIndex({}, np.zeros(0), 1.0, none, np.zeros(0), np.zeros(0), np.zeros(1, np.int64), none, np.zeros(0), np.zeros(1, np.int64), none, np.zeros(0), neighbours, prior)
+        none, real = np.zeros(0, np.int64), np.zeros(0)
+        return LabelledIndex({}, real, 1.0, none, real, real, np.zeros(1, np.int64), none, real, none, np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), neighbours, prior)
     lists = found.column("terms").combine_chunks()
     owner = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
     coded = lists.flatten().dictionary_encode()
@@ -227,36 +248,44 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 4_000,
     idf, unknown = _idf(docs, terms)
     idf = idf * telling_factor(entries, after, labels_of[owner], owner, len(terms), strength)
 
-    # one weight for each (example, term); examples stand by their heaviest term, so that a block's bounds are tight
+    # one weight for each (example, term); examples stand by their heaviest frequent term, so that a block's bounds are tight
     held, place = np.unique(owner * len(terms) + entries, return_inverse=True)
     who, term = held // len(terms), held % len(terms)
     weight = (1 + np.log(np.bincount(place, times))) * idf[term]
     weight /= np.sqrt(np.bincount(who, weight**2, minlength=len(ids)))[who]
-    by_weight = np.lexsort((-weight, who))
+    uses = np.bincount(term, minlength=len(terms))
+    column = np.full(len(terms), -1)
+    often = np.lexsort((np.arange(len(terms)), -uses))[:frequent]
+    column[often] = np.arange(len(often))
+    common = np.flatnonzero(column[term] >= 0)
+    common = common[np.lexsort((-weight[common], who[common]))]
+    first = np.r_[True, np.diff(who[common]) > 0] if len(common) else np.zeros(0, bool)
     heaviest = np.full(len(ids), -1)
-    first = np.r_[True, np.diff(who[by_weight]) > 0] if len(who) else np.zeros(0, bool)
-    heaviest[who[by_weight][first]] = term[by_weight][first]
+    heaviest[who[common[first]]] = column[term[common[first]]]
     order = np.lexsort((ids, heaviest))
     at = np.empty(len(ids), np.int64)
     at[order] = np.arange(len(ids))
-    posts = np.lexsort((at[who], term))
-    term, places, weight = term[posts], at[who][posts], weight[posts]
-    cell = np.flatnonzero(np.r_[True, (np.diff(term) > 0) | (np.diff(places // _BLOCK) > 0)]) if len(term) else np.zeros(0, np.int64)
+    dense = np.zeros((-(-len(ids) // _BLOCK) * _BLOCK, len(often)), np.float32)
+    dense[at[who[common]], column[term[common]]] = weight[common]
+    rare = np.flatnonzero(column[term] < 0)
+    rare = rare[np.lexsort((at[who[rare]], term[rare]))]
     votes = np.array([1 / share[y] for y in labels_of.tolist()])[order]
     index = LabelledIndex(
-        terms, idf, unknown, ids[order], labels_of[order].astype(float), votes, np.searchsorted(term[cell], np.arange(len(terms) + 1)),
-        (places[cell] // _BLOCK).astype(np.int32), np.maximum.reduceat(weight, cell) if len(cell) else np.zeros(0), np.r_[cell, len(term)], places.astype(np.int32), weight.astype(np.float32), neighbours, prior,
+        terms, idf, unknown, ids[order], labels_of[order].astype(float), votes, np.searchsorted(term[rare], np.arange(len(terms) + 1)), at[who[rare]].astype(np.int32),
+        weight[rare].astype(np.float32), column, dense, np.ascontiguousarray(dense.reshape(-1, _BLOCK, len(often)).max(1).T), neighbours, prior,
     )
-    index.peaks = np.nextafter(index.peaks.astype(np.float32), np.float32(2))
     shared = docs.sparkSession.sparkContext.broadcast(index)
     where = docs.sparkSession.sparkContext.broadcast(dict(zip(zip(index.ids.tolist(), index.labels.astype(int).tolist(), strict=True), range(len(ids)), strict=True)))
 
     def left_out(batches):
         index, place = shared.value, where.value
-        for batch in batches:
-            keys = list(zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), strict=True))
-            z = [index.raw(*index.nearest(*index.vector(Counter(terms_of(t))), leave_out=place[k])) for k, t in zip(keys, batch.column("text").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(z, pa.float64())], names=["doc_id", "toxic", "z"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, _TEXTS):
+                batch = whole.slice(k, _TEXTS)
+                keys = zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), strict=True)
+                counts = [Counter(terms_of(t)) for t in batch.column("text").to_pylist()]
+                z = [index.raw(*x) for x in index.nearest(counts, [place[x] for x in keys])]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(z, pa.float64())], names=["doc_id", "toxic", "z"])
 
     fit = rows.repartition(max(8, docs.sparkSession.sparkContext.defaultParallelism), "doc_id").mapInArrow(left_out, "doc_id long, toxic int, z double").toArrow()
     fit = fit.sort_by([("doc_id", "ascending"), ("z", "ascending")])
@@ -283,9 +312,9 @@ def score_toxicity(df: DataFrame, index: LabelledIndex, *, text_col: str = "text
     def run(batches):
         index = shared.value
         for whole in batches:
-            for k in range(0, whole.num_rows, 1024):
-                batch = whole.slice(k, 1024)
-                found = [index.score(Counter(terms_of(t))) for t in batch.column(text_col).to_pylist()]
+            for k in range(0, whole.num_rows, _TEXTS):
+                batch = whole.slice(k, _TEXTS)
+                found = index.score([Counter(terms_of(t)) for t in batch.column(text_col).to_pylist()])
                 scores = [s for s, _ in found]
                 evidence = [[{"doc_id": i, "cosine": c} for i, c in e] for _, e in found]
                 yield pa.RecordBatch.from_arrays(
