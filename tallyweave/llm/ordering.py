@@ -9,6 +9,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
@@ -103,15 +104,13 @@ def packed_sequences(docs: DataFrame, ranks_path: str, length: int) -> DataFrame
                         if ids:
                             cut(len(ids))
                         place, local = now, 0
-                    new, number = array("H", [*encoding.encode_ordinary(text or ""), end]), 0
-                    for done in range(0, len(new), length):
-                        part = new[done : done + length]
-                        while part:
-                            fits = part[: length - len(ids)]
-                            pieces.append({"doc_id": doc_id, "piece_no": number, "at": len(ids), "n_tokens": len(fits)})
-                            ids, part, number = ids + fits, part[len(fits) :], number + 1
-                            if len(ids) == length:
-                                cut(length)
+                    new, number, done = array("H", [*encoding.encode_ordinary(text or ""), end]), 0, 0
+                    while done < len(new):
+                        fits = new[done : done + length - len(ids)]
+                        pieces.append({"doc_id": doc_id, "piece_no": number, "at": len(ids), "n_tokens": len(fits)})
+                        ids, done, number = ids + fits, done + len(fits), number + 1
+                        if len(ids) == length:
+                            cut(length)
                 yield given()
         if ids:
             cut(len(ids))
@@ -156,15 +155,20 @@ def training_order(
         firsts = F.broadcast(firsts)
     shards = max(1, -(-n // shard_sequences))
     tasks = min(partitions(spark), shards)
+    # a compression dictionary from a bounded sample: short sequences hardly compress by themselves
+    some = [r["tokens"] for r in rows.where(F.xxhash64("file", "start", "part", "local") % max(1, n // 4_000) == 0).select("tokens").limit(6_000).collect()]
+    try:
+        common = zstandard.train_dictionary(1 << 16, some).as_bytes()
+    except zstandard.ZstdError:  # too few
+        common = b"".join(some[:8])
+    shared = spark.sparkContext.broadcast(common)
     pieces = "array<struct<doc_id:long,piece_no:int,at:int,n_tokens:int>>"
 
     def slots(batches):
-        import zstandard
-
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(shared.value))
         for batch in batches:
             slot = feistel_slots(batch.column("index").to_numpy(), n, key)
-            tokens = [packer.compress(t) for t in batch.column("tokens").to_pylist()]  # the shuffle carries less than half of it
+            tokens = [packer.compress(t) for t in batch.column("tokens").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), batch.column("pieces"), pa.array(slot)], names=["tokens", "pieces", "slot"])
 
     numbered = rows.join(firsts, group).select("tokens", "pieces", (F.col("first") + F.col("local")).alias("index"))
@@ -174,9 +178,8 @@ def training_order(
     stride = 2 * length
 
     def write(batches):
-        import zstandard
-
-        opener, attempt = zstandard.ZstdDecompressor(), TaskContext.get().taskAttemptId()
+        opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(shared.value))
+        attempt = TaskContext.get().taskAttemptId()
         store, base = pafs.FileSystem.from_uri(path)
         store.create_dir(base, recursive=True)
         filler = np.array([pad], "<u2").tobytes()
