@@ -198,7 +198,7 @@ def _calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(max(beta[0], 1e-3)), float(beta[1])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 4_000, neighbours: int = 25, strength: float = 10.0, frequent: int = 512) -> LabelledIndex:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 2_500, neighbours: int = 25, strength: float = 10.0, frequent: int = 512) -> LabelledIndex:
     """Build the index from ``labels`` (doc_id, toxic 0/1) outside the held-out fold.
 
     ``per_class`` bounds the labelled examples of each class (a hash sample of
@@ -247,6 +247,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 4_000,
     terms = {t: k for k, t in enumerate(coded.dictionary.to_pylist())}
     idf, unknown = _idf(docs, terms)
     idf = idf * telling_factor(entries, after, labels_of[owner], owner, len(terms), strength)
+    del after, coded, lists, found
 
     # one weight for each (example, term); examples stand by their heaviest frequent term, so that a block's bounds are tight
     held, place = np.unique(owner * len(terms) + entries, return_inverse=True)
