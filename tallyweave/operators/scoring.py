@@ -145,6 +145,15 @@ def temperatures(df: DataFrame, by: list[str] = ()) -> DataFrame:
     return _best_temperature(hist, fine, by)
 
 
+def label_temperatures(df: DataFrame, least: int = 10) -> DataFrame:
+    """Label, t, nll; a label of under ``least`` positives, or of positives alone, takes the global temperature."""
+    n = df.groupBy("label").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
+    whole = temperatures(df).select(F.col("t").alias("all_t"))
+    enough = (F.col("pos") >= least) & (F.col("pos") < F.col("n"))
+    j = temperatures(df, ["label"]).join(F.broadcast(n), "label").crossJoin(F.broadcast(whole))
+    return j.select("label", F.when(enough, F.col("t")).otherwise(F.col("all_t")).alias("t"), F.when(enough, F.col("nll")).alias("nll"))
+
+
 def apply_temperature(df: DataFrame, fitted: DataFrame, by: list[str] = ()) -> DataFrame:
     """Calibrated score p_cal from a table of temperatures; order within a label stays."""
     joined = df.join(F.broadcast(fitted.select(*by, "t")), list(by), "left") if by else df.crossJoin(F.broadcast(fitted.select("t")))

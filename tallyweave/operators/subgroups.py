@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..functions.portable import ratio, uniform
+from ..functions.portable import clip, ratio, uniform
 from .scoring import auroc
 
 #: Half-open age bands, and the number of distinct draws of a Poisson(1) by its distribution function.
@@ -63,13 +63,13 @@ def interval(values: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     return values.groupBy(*by).agg(F.avg(value).alias("mean"), q.alias("q"), F.count(value).alias("replicates")).select(*by, "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "replicates")
 
 
-def bootstrap_macro(df: DataFrame, by: list[str] = (), replicates: int = 20) -> DataFrame:
+def bootstrap_macro(df: DataFrame, by: list[str] = (), replicates: int = 200) -> DataFrame:
     """percentile interval of the macro AUROC over record resamples."""
     per = auroc(replicate(df, replicates), [*by, "rep", "label"], weight=F.col("w"))
     return interval(per.groupBy(*by, "rep").agg(F.avg("auroc").alias("macro")), "macro", list(by))
 
 
-def bootstrap_gap(df: DataFrame, group: str, a: str, b: str, replicates: int = 20) -> DataFrame:
+def bootstrap_gap(df: DataFrame, group: str, a: str, b: str, replicates: int = 200) -> DataFrame:
     """macro AUROC of group a minus that of b, resampled within each."""
     rows = df.where(F.col(group).isin(a, b))
     per = auroc(replicate(rows, replicates), [group, "rep", "label"], weight=F.col("w"))
@@ -79,7 +79,7 @@ def bootstrap_gap(df: DataFrame, group: str, a: str, b: str, replicates: int = 2
     return interval(m, "gap")
 
 
-def label_gaps(df: DataFrame, group: str, a, b, replicates: int = 20, least: int = 20, least_positives: int = 10) -> DataFrame:
+def label_gaps(df: DataFrame, group: str, a, b, replicates: int = 400, least: int = 20, least_positives: int = 10) -> DataFrame:
     """gap by label with interval, two-sided p-value from the replicates, and whether both groups have enough positives."""
     rows = df.where(F.col(group).isin(a, b))
     side = lambda c, v: F.max(F.when(F.col(group) == v, F.col(c)))
@@ -127,7 +127,8 @@ def coverage(records: DataFrame, group: str) -> DataFrame:
 
 
 def auroc_error(a: Column, n_pos: Column, n_neg: Column) -> Column:
-    """Hanley-McNeil standard error of an AUROC."""
+    """Hanley-McNeil standard error of an AUROC, which is held within 1e-6 of 0 and 1; null without both classes."""
+    a = clip(a)
     q1, q2 = a / (2 - a), 2 * a * a / (1 + a)
     var = (a * (1 - a) + (n_pos - 1) * (q1 - a * a) + (n_neg - 1) * (q2 - a * a)) / (n_pos * n_neg)
     return F.when((n_pos > 0) & (n_neg > 0), F.sqrt(F.greatest(var, F.lit(0.0))))
@@ -156,7 +157,7 @@ def power_table(df: DataFrame, train: DataFrame) -> DataFrame:
     return out.join(leverage(df), "label", "left").join(n, "label", "left")
 
 
-def paired_delta(df: DataFrame, replicates: int = 20) -> DataFrame:
+def paired_delta(df: DataFrame, replicates: int = 200) -> DataFrame:
     """macro AUROC of p2 minus that of p on the same resamples."""
     w = replicate(df, replicates)
     one = auroc(w, ["rep", "label"], "p", weight=F.col("w")).groupBy("rep").agg(F.avg("auroc").alias("a"))

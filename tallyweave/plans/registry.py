@@ -12,7 +12,8 @@ from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("labels", "scoring", "subgroups", "checks", "serial", "populations", "feedback", "retrieval", "signals", "streams", "systems")
+_RAW: dict[str, str] = {}
+_MODULES = ("labels", "scoring", "subgroups", "checks", "serial", "populations", "feedback", "retrieval", "signals", "streams", "systems", "reports", "exports", "distances")
 
 _U = "(('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 _PK = "(record_id::VARCHAR || ':' || code_idx::VARCHAR)"
@@ -71,7 +72,7 @@ def with_views(sql: str) -> str:
         need |= more
     if not need:
         return sql
-    ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in VIEWS if v in need)
+    ctes = ", ".join(f"{v} AS MATERIALIZED ({VIEWS[v]})" for v in VIEWS if v in need)
     return f"WITH {ctes} SELECT * FROM ({sql})"
 
 
@@ -79,12 +80,18 @@ def query(name: str, sql: str | None = None):
     def register(f: Callable) -> Callable:
         _QUERIES[name] = f
         if sql is not None:
+            _RAW[name] = sql
             _SQL[name] = with_views(sql)
         return f
 
     return register
 
 
+def oracle_text(name: str) -> str:
+    """The SQL of a query registered before, for use within another."""
+    return _RAW[name]
+
+
 def _load() -> None:
     for m in _MODULES:
         importlib.import_module(f"{__package__}.{m}_queries")

@@ -103,15 +103,20 @@ def temperature(spark, sf):
     return S.temperatures(V.predictions(spark, sf)).select(r6(F.col("t")).alias("t"), r6(F.col("nll")).alias("nll"))
 
 
-@query("M12_label_temperatures", _temperature_sql("label"))
+_LABEL_T = f"""SELECT label, CASE WHEN enough THEN t ELSE (SELECT t FROM ({_temperature_sql("")})) END AS t, CASE WHEN enough THEN nll END AS nll FROM ({_temperature_sql("label")})
+    JOIN (SELECT label, sum(y) >= 10 AND sum(y) < count(*) AS enough FROM v_pred GROUP BY label) USING (label)"""
+
+
+@query("M12_label_temperatures", _LABEL_T)
 def label_temperatures(spark, sf):
-    return S.temperatures(V.predictions(spark, sf), ["label"]).select("label", r6(F.col("t")).alias("t"), r6(F.col("nll")).alias("nll"))
+    return S.label_temperatures(V.predictions(spark, sf)).select("label", r6(F.col("t")).alias("t"), r6(F.col("nll")).alias("nll"))
 
 
-@query("M14_apply_calibration")
+@query("M14_apply_calibration", f"SELECT record_id, label, y, p, round(1 / (1 + exp(-z / t)), 5) AS p_cal FROM v_pred JOIN ({_LABEL_T}) USING (label)")
 def calibrated(spark, sf):
     p = V.predictions(spark, sf)
-    return S.apply_temperature(p, S.temperatures(p, ["label"]), ["label"]).select("record_id", "label", "y", "p", r6(F.col("p_cal")).alias("p_cal"))
+    fitted = S.label_temperatures(p).select("label", r6(F.col("t")).alias("t"))
+    return S.apply_temperature(p, fitted, ["label"]).select("record_id", "label", "y", "p", F.round("p_cal", 5).alias("p_cal"))
 
 
 @query("M15_effect_table", f"""WITH l AS (SELECT 'before' AS arm, label, y, p AS q FROM v_two UNION ALL SELECT 'after', label, y, p2 FROM v_two),

@@ -18,11 +18,11 @@ _COMMON = """SELECT label FROM (SELECT {g}, label FROM {t} WHERE {g} IS NOT NULL
     HAVING count(*) = (SELECT count(DISTINCT {g}) FROM {t})"""
 _W = " + ".join(f"(u >= {t})::INT" for t in G.POISSON_ONE)
 _BOOT = f"""(SELECT t.*, w FROM {_TEST} t JOIN (SELECT record_id, rep, {_W} AS w FROM (SELECT record_id, rep, ('0x' || substr(md5('boot:' || rep::VARCHAR || ':' || record_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
-    FROM (SELECT DISTINCT record_id FROM {_TEST}) CROSS JOIN (SELECT unnest(range(20)) AS rep))) x USING (record_id) WHERE w > 0)"""
+    FROM (SELECT DISTINCT record_id FROM {_TEST}) CROSS JOIN (SELECT unnest(range({{n}})) AS rep))) x USING (record_id) WHERE w > 0)"""
 
 
-def _weighted(by: str, score: str = "p") -> str:
-    base = _BOOT.replace("SELECT t.*, w FROM", "SELECT t.*, x.rep, w FROM")
+def _weighted(by: str, score: str = "p", n: int = 200) -> str:
+    base = _BOOT.replace("{n}", str(n)).replace("SELECT t.*, w FROM", "SELECT t.*, x.rep, w FROM")
     return f"""SELECT {by}, sum(pos) AS n_pos, sum(neg) AS n_neg, CASE WHEN sum(pos) * sum(neg) > 0 THEN sum(won) / (sum(pos) * sum(neg))::DOUBLE END AS auroc FROM (
         SELECT *, pos * (coalesce(sum(neg) OVER (PARTITION BY {by} ORDER BY {score} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 0.5::DOUBLE * neg) AS won FROM (
         SELECT {by}, {score}, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM {base} GROUP BY {by}, {score})) GROUP BY {by}"""
@@ -78,7 +78,7 @@ def gap(spark, sf):
 _GAPS = f"""SELECT label, round(gap, 6) AS gap, powered, CASE WHEN usable >= 20 THEN round(p_value, 6) END AS p_value, usable FROM (
     SELECT label, max(auroc) FILTER (sex = 0) - max(auroc) FILTER (sex = 1) AS gap, least(max(n_pos) FILTER (sex = 0), max(n_pos) FILTER (sex = 1)) >= 10 AS powered FROM ({auroc_sql(_TEST, 'sex, label')}) GROUP BY label)
     LEFT JOIN (SELECT label, least(1.0, 2 * least(avg((g <= 0)::INT), 1 - avg((g <= 0)::INT))) AS p_value, count(*) AS usable FROM (
-      SELECT label, rep, max(auroc) FILTER (sex = 0) - max(auroc) FILTER (sex = 1) AS g FROM ({_weighted('sex, rep, label')}) GROUP BY label, rep) WHERE g IS NOT NULL GROUP BY label) USING (label)"""
+      SELECT label, rep, max(auroc) FILTER (sex = 0) - max(auroc) FILTER (sex = 1) AS g FROM ({_weighted('sex, rep, label', n=400)}) GROUP BY label, rep) WHERE g IS NOT NULL GROUP BY label) USING (label)"""
 
 
 @query("F07_label_gaps", _GAPS)
@@ -109,10 +109,10 @@ def coverage(spark, sf):
     return rounded(G.coverage(V.records(spark, sf), "device"))
 
 
-_SE = """sqrt(greatest((a * (1 - a) + (n_pos - 1) * (a / (2 - a) - a * a) + (n_neg - 1) * (2 * a * a / (1 + a) - a * a)) / (n_pos * n_neg)::DOUBLE, 0.0))"""
+_SE = """CASE WHEN n_pos > 0 AND n_neg > 0 THEN sqrt(greatest((a * (1 - a) + (n_pos - 1) * (a / (2 - a) - a * a) + (n_neg - 1) * (2 * a * a / (1 + a) - a * a)) / (n_pos * n_neg)::DOUBLE, 0.0)) END"""
 
 
-@query("F12_auroc_error", f"SELECT label, round({_SE}, 6) AS se FROM (SELECT *, auroc AS a FROM ({auroc_sql(_TEST, 'label')}))")
+@query("F12_auroc_error", f"SELECT label, round({_SE}, 6) AS se FROM (SELECT *, least(greatest(auroc, 0.000001::DOUBLE), 1 - 0.000001::DOUBLE) AS a FROM ({auroc_sql(_TEST, 'label')}))")
 def error(spark, sf):
     a = S.auroc(rows(spark, sf, test=True), ["label"])
     return rounded(a.select("label", G.auroc_error(F.col("auroc"), F.col("n_pos"), F.col("n_neg")).alias("se")))
@@ -129,7 +129,7 @@ def lever(spark, sf):
     return rounded(G.leverage(rows(spark, sf, test=True)))
 
 
-@query("F14_power_table", f"""SELECT label, n_pos::BIGINT AS n_test, round(a, 6) AS auroc, round(2 * 1.96::DOUBLE * {_SE}, 6) AS width, leverage, n_train FROM (SELECT *, auroc AS a FROM ({auroc_sql(_TEST, 'label')}))
+@query("F14_power_table", f"""SELECT label, n_pos::BIGINT AS n_test, round(auroc, 6) AS auroc, round(2 * 1.96::DOUBLE * {_SE}, 6) AS width, leverage, n_train FROM (SELECT *, least(greatest(auroc, 0.000001::DOUBLE), 1 - 0.000001::DOUBLE) AS a FROM ({auroc_sql(_TEST, 'label')}))
     LEFT JOIN ({_LEV}) USING (label) LEFT JOIN (SELECT label, sum(y)::BIGINT AS n_train FROM {_ROWS} WHERE fold <= 8 GROUP BY label) USING (label)""")
 def power(spark, sf):
     return rounded(G.power_table(rows(spark, sf, test=True), rows(spark, sf).where("fold <= 8")))
