@@ -97,18 +97,19 @@ def walk(query: np.ndarray, books: Codebooks, counts: np.ndarray) -> Iterator[tu
     half = books.first.shape[1]
     a, b = books.first @ query[:half], books.second @ query[half:]
     ia, ib = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
-    heap = [(-(a[ia[0]] + b[ib[0]]), 0, 0)]
-    passed = np.full(len(ia), -1)
+    filled = counts[np.ix_(ia, ib)].astype(bool).tolist()
+    a, b, ia, ib = (-a[ia]).tolist(), (-b[ib]).tolist(), ia.tolist(), ib.tolist()
+    heap = [(a[0] + b[0], 0, 0)]
+    passed = [-1] * len(ia)
     while heap:
         _, i, j = heapq.heappop(heap)
         passed[i] = j
-        cell = (int(ia[i]), int(ib[j]))
-        if counts[cell]:
-            yield cell
+        if filled[i][j]:
+            yield ia[i], ib[j]
         if i + 1 < len(ia) and passed[i + 1] == j - 1:
-            heapq.heappush(heap, (-(a[ia[i + 1]] + b[ib[j]]), i + 1, j))
+            heapq.heappush(heap, (a[i + 1] + b[j], i + 1, j))
         if j + 1 < len(ib) and (i == 0 or passed[i - 1] >= j + 1):
-            heapq.heappush(heap, (-(a[ia[i]] + b[ib[j + 1]]), i, j + 1))
+            heapq.heappush(heap, (a[i] + b[j + 1], i, j + 1))
 
 
 def probe_order(query: np.ndarray, books: Codebooks, counts: np.ndarray, wanted: int) -> list[tuple[int, int]]:
@@ -184,6 +185,54 @@ def entries_needed(index: DataFrame, queries: DataFrame, books: Codebooks, count
     return int(np.quantile(reached, recall, method="higher")) if reached else int(counts.sum())
 
 
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    return vectors.combine_chunks().flatten().to_numpy().reshape(len(vectors), -1)
+
+
+def _nearest_of_cells(entries: pa.Table, queries: pa.Table, k: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query id, entry id, score: the k best entries in the opened cells of each query.
+
+    Of equal vectors only the k + 1 smallest ids can be among anyone's k
+    nearest, so the others are put aside first. A matrix product over some
+    queries at a time finds the entries near the k-th score; those few are
+    scored again one by one, so that equal vectors get equal scores.
+    """
+    if not entries.num_rows or not queries.num_rows:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    ids, c2, x = entries.column("id").to_numpy(), entries.column("c2").to_numpy(), _matrix(entries.column("vector"))
+    same = np.unique(x, axis=0, return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, same))
+    order = order[np.r_[True, (np.diff(ids[order]) != 0) | (np.diff(same[order]) != 0)]]
+    place = np.arange(len(order)) - np.searchsorted(same[order], same[order])
+    order = order[place <= k]
+    order = order[np.argsort(ids[order], kind="stable")]
+    ids, c2, x = ids[order], c2[order], x[order]
+    starts = np.flatnonzero(np.r_[True, np.diff(ids) != 0])
+    longest = np.sqrt((x**2).sum(1)).max()
+
+    asked, v = queries.column("query_id").to_numpy(), _matrix(queries.column("query"))
+    cells = queries.column("cells").combine_chunks()
+    opened = np.zeros((len(asked), width), bool)
+    opened[np.repeat(np.arange(len(asked)), cells.value_lengths().to_numpy()), cells.flatten().to_numpy()] = True
+
+    out, step = [], max(1, 1_000_000 // len(ids))
+    for at in range(0, len(asked), step):
+        q, some = v[at : at + step], asked[at : at + step]
+        s = np.where(opened[at : at + step][:, c2] & (some[:, None] != ids), q @ x.T, -np.inf)
+        per_id = s if len(starts) == len(ids) else np.maximum.reduceat(s, starts, axis=1)
+        least = np.partition(per_id, -k, axis=1)[:, -k] if per_id.shape[1] > k else np.full(len(q), -np.inf)
+        slack = 1e-12 * longest * np.sqrt((q**2).sum(1))
+        j, e = np.nonzero((s >= (least - slack)[:, None]) & (s > -np.inf))
+        score = (x[e] * q[j]).sum(1)
+        by = np.lexsort((ids[e], -score, j))
+        if len(starts) < len(ids):
+            pair = j[by] * len(ids) + np.searchsorted(ids, ids[e[by]])
+            by = by[np.sort(np.unique(pair, return_index=True)[1])]
+        by = by[np.arange(len(by)) - np.searchsorted(j[by], j[by]) < k]
+        out.append((some[j[by]], ids[e[by]], score[by]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def nearest_neighbours(
     vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.96, trials: int = 256, centroids: int = 128, sample: int = 20_000, staging: Staging | None = None
 ) -> DataFrame:
@@ -248,24 +297,8 @@ def nearest_neighbours(
     keys = lambda df, p: df.withColumn(f"{p}_task", F.xxhash64(F.col("c1").cast("long"), F.col("e").cast("long"), F.col("q").cast("long")))
 
     def rerank(entry_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
-        out = []
-        if entry_rows.num_rows and query_rows.num_rows:
-            ids, c2 = entry_rows.column("id").to_numpy(), entry_rows.column("c2").to_numpy()
-            order = np.lexsort((ids, c2))
-            ids, c2 = ids[order], c2[order]
-            unique = len(np.unique(ids)) == len(ids)
-            x = entry_rows.column("vector").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
-            for i, v, cells in zip(query_rows.column("query_id").to_pylist(), query_rows.column("query").to_pylist(), query_rows.column("cells").to_pylist(), strict=True):
-                cells = np.sort(cells)
-                at = np.concatenate([np.arange(a, b) for a, b in zip(np.searchsorted(c2, cells), np.searchsorted(c2, cells, "right"), strict=True)])
-                at = at[ids[at] != i]
-                if not len(at):
-                    continue
-                score = (x[at] * np.asarray(v)).sum(1)
-                best = _best(ids[at], score, k, unique)
-                out.append((np.full(len(best), i), ids[at][best], score[best]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+        asked, ids, score = _nearest_of_cells(entry_rows, query_rows, k, len(shared.value[0].second))
+        return pa.table({"query_id": pa.array(asked, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(score, pa.float64())})
 
     found = (
         keys(entries.select("id", "vector", "c1", "c2", "e", "q"), "e").groupBy("e_task")
