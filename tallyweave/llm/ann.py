@@ -266,6 +266,7 @@ def nearest_neighbours(
         counts[r["c1"], r["c2"]] = r["count"]
     asked = build_index(queries, books, id_col=id_col, vector_col=vector_col).groupBy("id").agg(F.min("vector").alias("vector"))
     asked = staging.save(asked, "queries")
+    walkers = max(1, -(-asked.count() // 256))
     wanted_entries = max(4 * k, entries_needed(index, asked, books, counts, k=k, recall=recall, trials=trials))
     shared = spark.sparkContext.broadcast((books, counts))
 
@@ -287,7 +288,7 @@ def nearest_neighbours(
                 names=["query_id", "query", "c1", "cells"],
             )
 
-    probes = staging.save(asked.mapInArrow(probe, "query_id long, query array<double>, c1 int, cells array<int>"), "probes")
+    probes = staging.save(asked.repartition(walkers, "id").mapInArrow(probe, "query_id long, query array<double>, c1 int, cells array<int>"), "probes")
     per_task = {r["c1"]: max(1, -(-r["count"] // 4_000)) for r in probes.groupBy("c1").count().collect()}
     pieces = {c: max(1, -(-int(n) // 20_000)) for c, n in enumerate(counts.sum(1)) if n}
     cuts = lambda of: F.create_map(*[F.lit(int(x)) for kv in (of or {0: 1}).items() for x in kv])[F.col("c1")]
