@@ -1,4 +1,4 @@
-"""Batch twins of the stream operators."""
+"""Batch twins of the stream operators."""
 
 from __future__ import annotations
 
@@ -31,8 +31,54 @@ def churn(spark, sf):
     return M.churn(V.stream_hops(spark, sf))
 
 
-@query("W08_request_metrics", """SELECT key, count(*) AS n, count(*) FILTER (NOT ok) AS errors, round(count(*) FILTER (NOT ok)::DOUBLE / count(*), 6) AS error_rate, round(quantile_cont(latency, 0.5), 6) AS p50, round(quantile_cont(latency, 0.95), 6) AS p95, round(quantile_cont(latency, 0.99), 6) AS p99,
-    round(avg(latency), 6) AS mean, max(latency) AS most FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, id DESC) AS k FROM (SELECT user_id % 10 AS key, ts, event_id AS id, event_type <> 'error' AS ok, value AS latency FROM events)) WHERE k <= 200 GROUP BY key""")
+@query("W08_request_metrics", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, id DESC) AS k FROM (SELECT user_id % 10 AS key, ts, event_id AS id, event_type <> 'error' AS ok, value AS latency FROM events))
+    SELECT key, count(*) AS n, count(*) FILTER (NOT ok) AS errors, round(count(*) FILTER (NOT ok)::DOUBLE / count(*), 6) AS error_rate, round(quantile_cont(latency, 0.5) FILTER (k <= 2000), 6) AS p50, round(quantile_cont(latency, 0.95) FILTER (k <= 2000), 6) AS p95,
+    round(quantile_cont(latency, 0.99) FILTER (k <= 2000), 6) AS p99, round(avg(latency) FILTER (k <= 2000), 6) AS mean, max(latency) FILTER (k <= 2000) AS most FROM r GROUP BY key""")
 def metrics(spark, sf):
     e = V.table(spark, sf, "events").select((F.col("user_id") % 10).alias("key"), "ts", F.col("event_id").alias("id"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("latency"))
-    return rounded(M.request_metrics(e, 200))
+    return rounded(M.request_metrics(e))
+
+
+def _states(by: str, source: str) -> str:
+    return f"""(WITH f AS ({source}), g AS (SELECT b.*, t.hop, coalesce(f.fired, false)::INT AS hit, coalesce(f.value, 0.0)::DOUBLE AS value FROM (SELECT {by}, code, min(hop) AS first FROM f WHERE fired GROUP BY ALL) b
+        JOIN (SELECT DISTINCT {by}, hop FROM f) t USING ({by}) LEFT JOIN f USING ({by}, code, hop) WHERE t.hop >= b.first),
+        h AS (SELECT *, sum(hit) OVER (PARTITION BY {by}, code ORDER BY hop ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS hits FROM g),
+        s AS (SELECT *, coalesce(last_value(CASE WHEN hits >= 3 THEN 1 WHEN hits = 0 THEN 0 END IGNORE NULLS) OVER (PARTITION BY {by}, code ORDER BY hop ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS state FROM h)
+        SELECT *, coalesce(lag(state) OVER (PARTITION BY {by}, code ORDER BY hop), 0) AS before FROM s)"""
+
+
+@query("W02_latest_due", "SELECT source, date_trunc('month', hop)::DATE AS chunk, max(hop) AS hop, count(DISTINCT hop) - 1 AS skipped FROM v_stream GROUP BY ALL")
+def due(spark, sf):
+    return M.latest_due(V.stream_hops(spark, sf).withColumn("chunk", F.trunc("hop", "month")))
+
+
+@query("W04_events", f"SELECT source, code, hop, CASE WHEN state = 1 THEN 'onset' ELSE 'offset' END AS event, round(value, 6) AS confidence FROM {_states('source', 'SELECT * FROM v_stream')} WHERE state <> before")
+def events(spark, sf):
+    return rounded(M.confirmation_events(V.stream_hops(spark, sf), 3, 5))
+
+
+_LISTED = "coalesce(list(code ORDER BY value DESC, code) FILTER ({}), [])"
+
+
+@query("W05_panel", f"""SELECT source, hop, {_LISTED.format("state = 1")} AS confirmed, {_LISTED.format("state = 0 AND hits > 0")} AS pending, {_LISTED.format("hit = 1")} AS fired,
+    {_LISTED.format("state = 1 AND hits < 3")} AS releasing, bool_or(state = 1 AND code = 'error') AS alarm FROM {_states("source", "SELECT * FROM v_stream")} GROUP BY source, hop""")
+def panel(spark, sf):
+    return M.panel(V.stream_hops(spark, sf), 3, 5, ["error"])
+
+
+@query("W06_resets", f"""SELECT source, epoch, code, hop, CASE WHEN state = 1 THEN 'onset' ELSE 'offset' END AS event
+    FROM {_states("source, epoch", "SELECT *, (dense_rank() OVER (PARTITION BY source ORDER BY date_trunc('month', hop)))::INT AS epoch FROM v_stream")} WHERE state <> before""")
+def resets(spark, sf):
+    hops = V.stream_hops(spark, sf)
+    starts = hops.groupBy("source", F.trunc("hop", "month").alias("month")).agg(F.min("hop").alias("hop"))
+    return M.confirmation_events(M.with_epochs(hops, starts), 3, 5, ("source", "epoch")).drop("confidence")
+
+
+@query("W09_rate_limits", """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS key, event_id AS id, floor(epoch(ts))::BIGINT AS t FROM events),
+    o AS MATERIALIZED (SELECT a.key, a.t, b.t AS following FROM (SELECT DISTINCT key, t FROM e) a ASOF JOIN (SELECT DISTINCT key, t FROM e) b ON a.key = b.key AND a.t + 86400 <= b.t),
+    s AS (SELECT key, min(t) AS start FROM e GROUP BY key UNION ALL SELECT s.key, o.following FROM s JOIN o ON o.key = s.key AND o.t = s.start),
+    w AS (SELECT e.key, e.id, e.t, s.start, row_number() OVER (PARTITION BY e.key, s.start ORDER BY e.t, e.id) AS n FROM e ASOF JOIN s ON e.key = s.key AND e.t >= s.start)
+    SELECT key, id, t::DOUBLE AS t, n <= 2 AS allowed, greatest(2 - n, 0) AS remaining, CASE WHEN n <= 2 THEN 0 ELSE greatest(start + 86400 - t, 0) END::DOUBLE AS retry_after FROM w""")
+def limits(spark, sf):
+    e = V.table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").cast("long").alias("t"), F.col("event_id").alias("id"))
+    return M.rate_limits(e, 2, 86400.0)
