@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -154,6 +156,52 @@ def label_temperatures(df: DataFrame, least: int = 10) -> DataFrame:
     return j.select("label", F.when(enough, F.col("t")).otherwise(F.col("all_t")).alias("t"), F.when(enough, F.col("nll")).alias("nll"))
 
 
+def _affine(z: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int = 60) -> tuple[float, float, float]:
+    """a, b and mean cross-entropy of the best sigmoid(a z + b) by damped Newton steps; 1e-3 <= a <= 100, |b| <= 100."""
+
+    def loss(w: np.ndarray) -> float:
+        x = w[0] * z + w[1]
+        return float((n * (np.logaddexp(0.0, x) - y * x)).sum() / n.sum())
+
+    at, low, high = np.array([1.0, 0.0]), np.array([1e-3, -100.0]), np.array([100.0, 100.0])
+    best, design = loss(at), np.stack([z, np.ones_like(z)])
+    for _ in range(rounds):
+        q = 1.0 / (1.0 + np.exp(-np.clip(at[0] * z + at[1], -500, 500)))
+        slope = design @ (n * (q - y)) / n.sum()
+        bend = (design * (n * q * (1 - q))) @ design.T / n.sum() + 1e-9 * np.eye(2)
+        move, size = np.linalg.solve(bend, slope), 1.0
+        while size > 1e-6 and loss(np.clip(at - size * move, low, high)) >= best:
+            size /= 2
+        new = np.clip(at - size * move, low, high)
+        if best - loss(new) < 1e-12:
+            break
+        at, best = new, loss(new)
+    return float(at[0]), float(at[1]), best
+
+
+def label_affine(df: DataFrame, least: int = 10) -> DataFrame:
+    """Label, a, b, nll of sigmoid(a z + b); a label of under ``least`` positives, or of positives alone, takes the fit over all labels (nll null).
+
+    Logits are rounded to three digits and counted first, so a fit meets a
+    histogram whose size the clipped scores bound, whatever the rows. The
+    optimum is found by Newton steps, so it is at or below one searched on a
+    grid of steps. Rows with a null z or y are left out.
+    """
+    hist = df.where("z is not null and y is not null").groupBy("label", F.round("z", 3).alias("z"), F.col("y").cast("double").alias("y")).agg(F.count("*").cast("double").alias("n"))
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b, nll = _affine(rows["z"].to_numpy(), rows["y"].to_numpy(), rows["n"].to_numpy())
+        return pd.DataFrame({"label": rows["label"].iloc[:1], "a": [a], "b": [b], "nll": [nll]})
+
+    out = "label string, a double, b double, nll double"
+    own = hist.groupBy("label").applyInPandas(fit, out)
+    whole = hist.groupBy("z", "y").agg(F.sum("n").alias("n")).withColumn("label", F.lit("")).groupBy("label").applyInPandas(fit, out)
+    counts = hist.groupBy("label").agg(F.sum(F.col("y") * F.col("n")).alias("pos"), F.sum("n").alias("n"))
+    j = own.join(F.broadcast(counts), "label").crossJoin(F.broadcast(whole.select(F.col("a").alias("all_a"), F.col("b").alias("all_b"))))
+    enough = (F.col("pos") >= least) & (F.col("pos") < F.col("n"))
+    return j.select("label", F.when(enough, F.col("a")).otherwise(F.col("all_a")).alias("a"), F.when(enough, F.col("b")).otherwise(F.col("all_b")).alias("b"), F.when(enough, F.col("nll")).alias("nll"))
+
+
 def apply_temperature(df: DataFrame, fitted: DataFrame, by: list[str] = ()) -> DataFrame:
     """Calibrated score p_cal from a table of temperatures; order within a label stays."""
     joined = df.join(F.broadcast(fitted.select(*by, "t")), list(by), "left") if by else df.crossJoin(F.broadcast(fitted.select("t")))

@@ -112,6 +112,11 @@ def label_temperatures(spark, sf):
     return S.label_temperatures(V.predictions(spark, sf)).select("label", r6(F.col("t")).alias("t"), r6(F.col("nll")).alias("nll"))
 
 
+@query("M13_label_affine")
+def label_affine(spark, sf):
+    return S.label_affine(V.predictions(spark, sf)).select("label", *[F.round(c, 5).alias(c) for c in ("a", "b", "nll")])
+
+
 @query("M14_apply_calibration", f"SELECT record_id, label, y, p, round(1 / (1 + exp(-z / t)), 5) AS p_cal FROM v_pred JOIN ({_LABEL_T}) USING (label)")
 def calibrated(spark, sf):
     p = V.predictions(spark, sf)
