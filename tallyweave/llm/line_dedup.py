@@ -23,12 +23,17 @@ _TOP = np.iinfo(np.uint64).max
 _SEEN = 500_000
 #: Candidate lines and links of up to so many rows are broadcast; beyond it they are joined by shuffle.
 _FEW = 1_000_000
-_PORTION = 1 << 18
+_PORTION = 1 << 17
+
+
+def _spaced(line: str) -> str:
+    """Runs of white space as one space, none at the ends; the space is the only printable white space."""
+    return line.strip(" ") if line.isprintable() and "  " not in line else " ".join(line.split())
 
 
 def normal_form(line: str) -> str:
     """Lower case, runs of white space as one space, none at the ends."""
-    return " ".join(line.lower().split())
+    return _spaced(line.lower())
 
 
 def _codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,10 +48,15 @@ def _shingles(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, chars: in
     """Hash of every shingle and the line it is from; a line shorter than a shingle is one shingle."""
     hashes = RangeHash(codes)
     last = np.maximum(ends - chars, starts)
-    count = last - starts + 1
-    line = np.repeat(np.arange(len(starts)), count)
-    at = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count) + starts[line]
-    return hashes.of(at, np.minimum(at + chars, ends[line])), line
+    every = np.zeros(len(codes) + 1, np.uint64)
+    whole = hashes.windows(chars)
+    every[: len(whole)] = whole
+    short = ends - starts < chars
+    every[starts[short]] = hashes.of(starts[short], ends[short])
+    step = np.zeros(len(codes) + 2, np.int8)
+    step[starts] += 1
+    step[last + 1] -= 1
+    return every[np.cumsum(step, dtype=np.int8)[:-1].view(bool)], np.repeat(np.arange(len(starts)), last - starts + 1)
 
 
 def shingle_sets(lines: list[str], chars: int) -> list[np.ndarray]:
@@ -71,17 +81,19 @@ def _band_keys(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, chars: i
     h, line = _shingles(codes, starts, ends, chars)
     count = np.bincount(line, minlength=len(starts))
     least = np.full((len(starts), _HASHES), _TOP)
-    many = count[line] >= 2 * _HASHES
-    values = h[many]
+    many = np.repeat(count >= 2 * _HASHES, count)
     big = np.flatnonzero(count >= 2 * _HASHES)
     if len(big):
-        # (line, bin) above 40 bits of the value: after one sort the first of each bin is its minimum
-        slot = np.repeat(np.arange(len(big), dtype=np.uint64), count[big]) * np.uint64(_HASHES) + values % np.uint64(_HASHES)
-        packed = np.sort(slot << np.uint64(40) | values // np.uint64(_HASHES) >> np.uint64(19))
-        slot = packed >> np.uint64(40)
+        # (line, value) in order; the top bits of a value choose its bin, so the first of each bin is its minimum
+        packed = np.repeat(np.arange(len(big), dtype=np.uint64) << np.uint64(44), count[big])
+        packed |= (h if many.all() else h[many]) >> np.uint64(20)
+        packed.sort()
+        slot = ((packed >> np.uint64(12) & np.uint64(0xFFFFFFFF)) * np.uint64(_HASHES) >> np.uint64(32)).astype(np.uint8)
         first = np.r_[True, slot[1:] != slot[:-1]]
+        first[np.cumsum(count[big])[:-1]] = True
+        first = np.flatnonzero(first)
         bins = np.full(len(big) * _HASHES, _TOP)
-        bins[slot[first].astype(np.int64)] = packed[first] & np.uint64((1 << 40) - 1)
+        bins[(packed[first] >> np.uint64(44)).astype(np.int64) * _HASHES + slot[first]] = packed[first] & np.uint64((1 << 44) - 1)
         least[big] = bins.reshape(-1, _HASHES)
     table = least[big]
     for step in range(1, _HASHES):
@@ -127,19 +139,25 @@ def line_table(docs: DataFrame, chars: int) -> DataFrame:
                         seen.clear()
                     seen.add(d)
                     new.append(k)
-            bands, texts = [None] * len(lines), [None] * len(lines)
+            signed, texts = np.zeros(len(lines), bool), [None] * len(lines)
+            signed[new] = True
+            keys = np.empty((0, _BANDS), np.int64)
             if new:
-                for k, b in zip(new, _band_keys(*_codes([lines[k] for k in new]), chars).tolist(), strict=True):
-                    bands[k], texts[k] = b, lines[k]
+                fresh = [lines[k] for k in new]
+                keys = _band_keys(*_codes(fresh), chars)
+                for k, x in zip(new, fresh, strict=True):
+                    texts[k] = x
+            ends = np.r_[0, np.cumsum(signed) * _BANDS].astype(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()), mask=pa.array(~signed))
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             cols = (owner, which, number, np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1]), bands, texts)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+            return pa.RecordBatch.from_arrays([c if c is bands else pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
         for batch in batches:
             held, size = ([], [], [], []), 0
             for doc_id, which, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "which", "text")), strict=True):
                 for k, raw in enumerate((text or "").lower().split("\n")):
-                    line = " ".join(raw.split())  # the normal form
+                    line = _spaced(raw)  # the normal form
                     if line:
                         for c, v in zip(held, (doc_id, which, k, line), strict=True):
                             c.append(v)

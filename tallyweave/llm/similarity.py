@@ -52,6 +52,11 @@ class RangeHash:
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self.sums[ends] - self.sums[starts]) * self._down[starts] + (ends - starts).astype(np.uint64))
 
+    def windows(self, width: int) -> np.ndarray:
+        """Hashes of all ranges of ``width`` in order, as ``of`` gives them."""
+        n = max(len(self.sums) - width, 0)
+        return mixed((self.sums[width : width + n] - self.sums[:n]) * self._down[:n] + np.uint64(width))
+
 
 def word_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, longest: int = 256) -> np.ndarray:
     """64-bit hashes of words in a byte array.
