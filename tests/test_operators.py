@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.operators import checks, labels, scoring, serial, subgroups
+from tallyweave.operators import checks, labels, retrieval, scoring, serial, subgroups
 
 
 def test_age_sentinel_and_bands(spark):
@@ -59,3 +59,16 @@ def test_gap_words(spark):
 def test_noise_cells(spark):
     df = spark.createDataFrame([("I, aVL",), ("alles",), ("",), (None,)], "c string")
     assert [r[0] for r in df.select(checks.parse_affected(F.col("c"))).collect()] == [["I", "AVL"], ["ALL"], [], []]
+
+
+def test_passages_of_findings_and_their_codes(spark):
+    findings = spark.createDataFrame([(1, 10), (1, 11), (2, 12)], "record_id long, query_id long")
+    results = spark.createDataFrame([(10, 7, 0.5), (11, 7, 0.9), (11, 8, 0.9), (11, 9, 0.1)], "query_id long, id long, score double")
+    passages = retrieval.finding_passages(findings, results, most=2)
+    assert sorted(map(tuple, passages.collect())) == [(1, 7, 0.9, 0), (1, 8, 0.9, 1)]
+    texts = spark.createDataFrame([(7, "Left bundle"), (8, "Branch block"), (9, "Fever")], "id long, text string")
+    vocabulary = spark.createDataFrame([("A", "bundle branch"), ("B", "fever"), ("C", "")], "code string, phrase string")
+    context = retrieval.context_codes(passages, texts, vocabulary)
+    assert context.collect() == [(1, "A")]
+    told = spark.createDataFrame([(1, "A"), (1, "A"), (2, "A"), (1, "B")], "record_id long, code string")
+    assert sorted(map(tuple, retrieval.attributed(told, context).collect())) == [("A", 2, 1), ("B", 1, 0)]

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyweave.sources import files
 from tallyweave.streaming import monitor
 
 
@@ -35,3 +36,17 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want and len(want) > 5
     with pytest.raises(ValueError):
         monitor.confirmations(long, 6, 5)
+
+
+def test_chunks_arrive_whole_and_in_order(spark, tmp_path):
+    schema = "source long, t_start double, samples array<double>"
+    rows = spark.createDataFrame([(1, float(t), [t + 0.5, t + 0.75]) for t in range(6)], schema)
+    src, seen = str(tmp_path / "chunks"), []
+    for t in range(0, 6, 2):
+        rows.where((F.col("t_start") >= t) & (F.col("t_start") < t + 2)).coalesce(1).write.mode("append").parquet(src)
+    keep = lambda df, k: seen.append((k, sorted((r.t_start, *r.samples) for r in df.collect())))
+    q = files.chunk_stream(spark, src, schema).writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert len(seen) == 3
+    assert [r for _, batch in sorted(seen) for r in batch] == [(float(t), t + 0.5, t + 0.75) for t in range(6)]
