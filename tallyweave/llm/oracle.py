@@ -27,4 +27,32 @@ q AS (SELECT *, (floor(u + rate * place) - floor(u + rate * (place - 1)))::BIGIN
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM q
 """
 
-ORACLE = {"op1_source_mix": OP1}
+OP13 = """
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         unnest(list_concat([NULL], regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))) AS item FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM d),
+kept AS (SELECT lang, item, count(*) AS total FROM d WHERE item IS NOT NULL GROUP BY lang, item HAVING count(DISTINCT id) >= 3),
+c AS (SELECT lang, source, item, count(*) AS n FROM d JOIN kept USING (lang, item) GROUP BY lang, source, item),
+v AS (SELECT lang, count(*) AS v, sum(total) AS lang_n FROM kept GROUP BY lang),
+s AS (SELECT groups.lang, groups.source, coalesce(v, 0) AS v, coalesce(lang_n, 0) AS lang_n, coalesce(sum(n), 0) AS n
+      FROM groups LEFT JOIN v ON v.lang = groups.lang LEFT JOIN c ON c.lang = groups.lang AND c.source = groups.source
+      GROUP BY groups.lang, groups.source, v, lang_n),
+p AS (SELECT s.lang, s.source, kept.item, coalesce(c.n, 0) AS n,
+        1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (s.n + s.v) AS p,
+        1 + 1000000000::HUGEINT * (kept.total + 1) // (s.lang_n + s.v) AS q
+      FROM s JOIN kept ON kept.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.item = kept.item),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.item = b.item AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+every AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+          FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source),
+terms AS (SELECT lang, source, item, (p - q) * (p - q) // q AS value FROM p WHERE n > 0 AND p > q),
+r AS (SELECT 'pair' AS part, *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM every
+      UNION ALL
+      SELECT 'term', *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLE = {"op1_source_mix": OP1, "op13_source_divergence": OP13}
