@@ -55,4 +55,32 @@ r AS (SELECT 'pair' AS part, *, row_number() OVER (PARTITION BY lang, source ORD
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 200
 """
 
-ORACLE = {"op1_source_mix": OP1, "op13_source_divergence": OP13}
+
+
+def _codes(rounds: int = 6) -> str:
+    """SQL of op12: an assignment and an update for each round, chained."""
+    near = "SELECT p.row, p.part, min(list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i])))::HUGEINT * 16 + c.entry) AS best FROM p JOIN c{0} c USING (part) GROUP BY p.row, p.part"
+    chain = "".join(
+        f""",
+a{r} AS MATERIALIZED ({near.format(r - 1)}),
+u{r} AS (SELECT part, entry, i, sum(v[i]) AS s, count(*) AS n FROM (
+  SELECT part, best % 16 AS entry, v, unnest(range(1, len(v) + 1)) AS i FROM p JOIN a{r} USING (row, part)) GROUP BY part, entry, i),
+n{r} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM u{r} GROUP BY part, entry),
+c{r} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(n.v, c.v)::BIGINT[] AS v FROM c{r - 1} c LEFT JOIN n{r} n ON n.part = c.part AND n.entry = c.entry)"""
+        for r in range(1, rounds + 1)
+    )
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT row, part, v[part * (len(v) // 8) + 1:(part + 1) * (len(v) // 8)] AS v FROM (SELECT row, v, unnest(range(8)) AS part FROM k)),
+c0 AS MATERIALIZED (SELECT part, row - 1 AS entry, v FROM p WHERE row <= 16){chain},
+f AS MATERIALIZED ({near.format(rounds)}),
+e AS (SELECT row, string_agg(format('{{:02x}}', (best % 16)::INTEGER), '' ORDER BY part) AS code, sum(best // 16)::BIGINT AS error FROM f GROUP BY row),
+h AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, i)) AS codebooks_sha256
+      FROM (SELECT part, entry, unnest(v) AS x, unnest(range(len(v))) AS i FROM c{rounds}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN e USING (row), h
+"""
+
+
+ORACLE = {"op1_source_mix": OP1, "op12_vector_codes": _codes(), "op13_source_divergence": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, divergence, language, line_dedup, mixing, near_dedup, ordering, quality, toxicity, warc
+from . import ann, bpe, divergence, language, line_dedup, mixing, near_dedup, ordering, quality, toxicity, vector_codes, warc
 from .common import Staging, in_fold, table
 
 
@@ -67,6 +67,10 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,6 @@ QUERIES = {
     for f in (
         op1_source_mix, op2_training_order, op3_line_dedup, op4_bpe_round_trip, op5_quality_rules, op6_toxicity,
         op7_near_duplicates, op8_language, op9_nearest_vectors, op10_warc_round_trip,
-        op13_source_divergence,
+        op12_vector_codes, op13_source_divergence,
     )
 }
