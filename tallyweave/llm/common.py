@@ -56,6 +56,19 @@ class Staging:
         df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
         return self.load(name, df)
 
+    def save_tidy(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+        """``save``, after which Spark removes the shuffle files of the write; what follows reads the table alone."""
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key, None)
+        self.spark.conf.set(key, "true")
+        try:
+            return self.save(df, name, compression)
+        finally:
+            if before is None:
+                self.spark.conf.unset(key)
+            else:
+                self.spark.conf.set(key, before)
+
     def load(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 

@@ -27,6 +27,19 @@ q AS (SELECT *, (floor(u + rate * place) - floor(u + rate * (place - 1)))::BIGIN
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM q
 """
 
+OP11 = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+s AS MATERIALIZED (SELECT row, doc_id, i, sha256(array_to_string(w[i:i + 12], ' ')) AS h FROM (
+  SELECT row, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+m AS (SELECT h, min(doc_id) AS first FROM s GROUP BY h HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT row, i + k AS i FROM (SELECT row, i, unnest(range(13)) AS k FROM s JOIN m USING (h) WHERE doc_id > first)),
+r AS (SELECT row, list(i) AS gone FROM g GROUP BY row),
+x AS (SELECT doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN r USING (row))
+SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN gone = [] THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
+FROM x
+"""
+
 OP13 = """
 WITH d AS (
   SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -83,4 +96,4 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 """
 
 
-ORACLE = {"op1_source_mix": OP1, "op12_vector_codes": _codes(), "op13_source_divergence": OP13}
+ORACLE = {"op1_source_mix": OP1, "op11_substring_dedup": OP11, "op12_vector_codes": _codes(), "op13_source_divergence": OP13}

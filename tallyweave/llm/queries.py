@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, divergence, language, line_dedup, mixing, near_dedup, ordering, quality, toxicity, vector_codes, warc
+from . import ann, bpe, divergence, language, line_dedup, mixing, near_dedup, ordering, quality, substring_dedup, toxicity, vector_codes, warc
 from .common import Staging, in_fold, table
 
 
@@ -67,6 +67,11 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeated_passages(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -80,6 +85,6 @@ QUERIES = {
     for f in (
         op1_source_mix, op2_training_order, op3_line_dedup, op4_bpe_round_trip, op5_quality_rules, op6_toxicity,
         op7_near_duplicates, op8_language, op9_nearest_vectors, op10_warc_round_trip,
-        op12_vector_codes, op13_source_divergence,
+        op11_substring_dedup, op12_vector_codes, op13_source_divergence,
     )
 }
