@@ -18,14 +18,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import Staging, partitions
+from .common import Staging
 
 _SCALE = 1_000_000_000
 #: Bytes as terms see them: A-Z lower-cased, other ASCII apart from a-z a separator, all bytes of longer characters kept.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: What a task holds at most before it passes its counts on: entries, and bytes of text.
 _ENTRIES, _BYTES = 400_000, 64 << 20
-_TILE, _CELLS = 256, 1 << 19
+_TILE, _CELLS = 256, 1 << 17
 
 
 def _pieces(raw: bytes, most: int = 1 << 20) -> Iterator[bytes]:
@@ -198,7 +198,7 @@ def source_divergence(docs: DataFrame, *, min_docs: int = 3, top: int = 200, dig
     groups = staging.save(groups, "groups")
 
     total, most = terms.agg(F.coalesce(F.sum(F.size("cells")), F.lit(0))).first()[0], groups.agg(F.max("place")).first()[0] or 0
-    blocks = max(partitions(spark), -(-total // _CELLS))
+    blocks = max(1, -(-total // _CELLS))
     tiles = F.explode(F.sequence(F.lit(0), F.lit(most // _TILE)))
     left = terms.select("lang", F.pmod(F.xxhash64("digest"), F.lit(blocks)).cast("int").alias("block"), tiles.alias("tile"), "cells")
     right = groups.select("lang", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "source", "n", "v", "place")
