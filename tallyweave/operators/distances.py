@@ -81,14 +81,20 @@ def taps(cut: float, half: int) -> list[float]:
     return [x / sum(raw) for x in raw]
 
 
-def low_pass(samples: DataFrame, cut: float = 0.2, half: int = 4) -> DataFrame:
-    """Zero-phase low-pass of (record_id, lead, t, value); the ends repeat."""
+def fir(samples: DataFrame, weights: list[float]) -> DataFrame:
+    """Signals (record_id, lead, t, value) under symmetric weights, so without a shift; the ends repeat."""
+    half = len(weights) // 2
     parts = samples.select("*", *[_around(F.col("value"), k).alias(f"_{k + half}") for k in range(-half, half + 1) if k])
     parts = parts.withColumn(f"_{half}", F.col("value"))
-    total = sum((F.lit(w) * F.col(f"_{k}") for k, w in enumerate(taps(cut, half))), F.lit(0.0))
+    total = sum((F.lit(w) * F.col(f"_{k}") for k, w in enumerate(weights)), F.lit(0.0))
     return parts.select("record_id", "lead", "t", total.alias("value"))
 
 
+def low_pass(samples: DataFrame, cut: float = 0.2, half: int = 4) -> DataFrame:
+    """Zero-phase low-pass of (record_id, lead, t, value)."""
+    return fir(samples, taps(cut, half))
+
+
 def resample(samples: DataFrame, size: int, new_size: int) -> DataFrame:
     """Signals of ``size`` samples on a grid of ``new_size``: a three-point average, then linear interpolation; unchanged if equal."""
     if size == new_size:
