@@ -101,7 +101,8 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
         first = _runs(h)
         low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
         shared = low < high
-        many = np.repeat(shared, np.diff(np.r_[first, len(h)]))
+        many = np.flatnonzero(np.repeat(shared, np.diff(np.r_[first, len(h)])))
+        many = many[doc[many].argsort(kind="stable")]  # rows of one document together compress better
         none = np.zeros(len(first), np.uint64)
         yield _rows(h[first][~shared], none[~shared], low[~shared], _ONE)
         yield _rows(h[first][shared], none[shared], low[shared], _SHARED)
@@ -162,6 +163,8 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
         rest = np.ones(len(one), bool)
         rest[first] = False
         yield _rows(one[first], other[first], doc[first], _ONE)
+        rest = np.flatnonzero(rest)
+        rest = rest[doc[rest].argsort(kind="stable")]  # rows of one document together compress better
         yield _rows(mixed(doc[rest].view(np.uint64)), one[rest], doc[rest], _FOUND)
 
     def run(batches):
@@ -174,7 +177,7 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
                 if len(words) < window:
                     continue
                 at = _near_anchors(words, known[k].values.to_numpy(zero_copy_only=False).view(np.uint64), window)
-                for into, x in zip(held, (RangeHash(words).windows(window)[at], RangeHash(mixed(words ^ _OTHER)).windows(window)[at], np.full(len(at), ids[k], np.int64)), strict=True):
+                for into, x in zip(held, (RangeHash(words).windows(window)[at], RangeHash(mixed(words ^ _OTHER)).windows(window)[at] >> np.uint64(32), np.full(len(at), ids[k], np.int64)), strict=True):
                     into.append(x)
                 size += len(at)
                 if size >= _BUFFER:
@@ -251,7 +254,7 @@ def remove_repeated_passages(docs: DataFrame, *, window: int = 13, staging: Stag
     with a smaller doc_id; windows are judged on the whole input, not on what
     is left. ``kept_text`` is the remaining words, joined by one space.
 
-    Windows are known by two 64-bit hashes of their words' 64-bit hashes.
+    Windows are known by 96 bits of two hashes of their words' 64-bit hashes.
     Anchors and windows are combined in each task before they are shuffled, so
     that a passage of any number of documents gives one row for each task, and
     the pairs of its documents are never formed.
