@@ -13,7 +13,7 @@ from collections.abc import Callable
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 _RAW: dict[str, str] = {}
-_MODULES = ("labels", "scoring", "subgroups", "checks", "serial", "populations", "feedback", "retrieval", "signals", "streams", "systems", "reports", "exports", "distances", "regions", "narratives", "changes", "beats")
+_MODULES = ("labels", "scoring", "subgroups", "checks", "serial", "populations", "feedback", "retrieval", "signals", "streams", "systems", "reports", "exports", "distances", "regions", "narratives", "changes", "beats", "documents")
 
 _U = "(('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 _PK = "(record_id::VARCHAR || ':' || code_idx::VARCHAR)"
