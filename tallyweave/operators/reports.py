@@ -7,19 +7,27 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 from .retrieval import bleu, rouge_n, tokens
 
-#: Header of a findings and of an impression section, with mark-up around it.
-SECTIONS = r"(?is)^\s*[*_]*findings[*_]*\s*:[*_]*\s*(.*?)\s*[*_]*impression[*_]*\s*:[*_]*\s*(.*)$"
-_END = re.compile(r"(?<=[.!?])\s+")
 
 
-def split_report(text: Column) -> tuple[Column, Column, Column]:
+def sections_pattern(findings: str, impression: str) -> str:
+    """Pattern of a report with two headers, with mark-up around them."""
+    return rf"(?is)^\s*[*_]*{findings}[*_]*\s*:[*_]*\s*(.*?)\s*[*_]*{impression}[*_]*\s*:[*_]*\s*(.*)$"
+
+
+SECTIONS = sections_pattern("findings", "impression")
+#: Headers with and without their accents.
+_SECTIONS = {"en": SECTIONS, "es": sections_pattern("hallazgos", "impresi[oóÓ]n")}
+
+
+def split_report(text: Column, lang: str = "en") -> tuple[Column, Column, Column]:
     """Findings, impression and whether the report is well formed; a malformed one is all impression."""
-    formed = F.coalesce(text.rlike(SECTIONS), F.lit(False))
-    part = lambda k: F.regexp_extract(text, SECTIONS, k)
+    pattern = _SECTIONS[lang]
+    formed = F.coalesce(text.rlike(pattern), F.lit(False))
+    part = lambda k: F.regexp_extract(text, pattern, k)
     return F.when(formed, part(1)).otherwise(F.lit("")), F.when(formed, part(2)).otherwise(F.coalesce(text, F.lit(""))), formed
 
 
@@ -96,36 +104,26 @@ def section_rows(df: DataFrame, dropped: tuple[str, ...] = ("references", "exter
     return g.select("id", "section_no", "section", text.alias("body")).where((F.col("body") != "") & ~F.lower("section").isin(*dropped))
 
 
-def chunks_of(text: str | None, most: int = 900, least: int = 120) -> list[str]:
-    """Paragraphs of at most ``most`` characters: longer ones are packed by sentences, and a short one joins the chunk before it if it fits."""
-    out: list[str] = []
-    for paragraph in re.split(r"\n\s*\n", text or ""):
-        paragraph = paragraph.strip()
-        parts = [paragraph] if len(paragraph) <= most else _END.split(paragraph)
-        packed: list[str] = []
-        for s in parts:
-            if packed and len(packed[-1]) + 1 + len(s) <= most:
-                packed[-1] += " " + s
-            elif s:
-                packed.append(s)
-        out += packed
-    merged: list[str] = []
-    for c in out:
-        if merged and len(c) < least and len(merged[-1]) + 1 + len(c) <= most:
-            merged[-1] += " " + c
-        else:
-            merged.append(c)
-    return merged
+def chunks(text: Column, most: int = 900, least: int = 120) -> Column:
+    """The paragraphs of a text as chunks of at most ``most`` characters.
+
+    Runs of space become one. A longer paragraph is packed from its sentences
+    (one that is longer still stays whole); a chunk of under ``least``
+    characters joins the one before it if both fit. Null and blank texts have none.
+    """
+    fold = lambda parts, joins: F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda done, s: F.when((F.size(done) > 0) & joins(F.element_at(done, -1), s), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(F.element_at(done, -1), F.lit(" "), s)))).otherwise(F.concat(done, F.array(s))),
+    )
+    fit = lambda a, b: F.length(a) + 1 + F.length(b) <= most
+    paragraphs = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n{2,}"), lambda p: F.trim(F.regexp_replace(p, r"(?U)\s+", " "))), lambda p: p != "")
+    packed = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(fold(F.split(p, r"(?<=[.!?])\s+"), fit))))
+    return fold(packed, lambda a, b: (F.length(b) < least) & fit(a, b))
 
 
 def chunk_rows(df: DataFrame, most: int = 900, least: int = 120) -> DataFrame:
     """(id, chunk_no, chunk) of (id, text)."""
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def cut(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: chunks_of(t, most, least))
-
-    return df.select("id", F.posexplode(cut("text")).alias("chunk_no", "chunk"))
+    return df.select("id", F.posexplode(chunks(F.col("text"), most, least)).alias("chunk_no", "chunk"))
 
 
 def character_weights(docs: DataFrame, least_df: int = 2) -> DataFrame:

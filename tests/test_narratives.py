@@ -60,3 +60,41 @@ def test_rate_limits(spark):
     hits = spark.createDataFrame([("k", t, i) for i, t in enumerate([0.0, 1.0, 2.0, 10.0, 11.0])] + [("j", 5.0, 9), (None, 1.0, 10)], "key string, t double, id long")
     got = sorted(tuple(r) for r in M.rate_limits(hits, 2, 10.0).collect())
     assert [r[3:] for r in got] == [(True, 1, 0.0), (True, 1, 0.0), (True, 0, 0.0), (False, 0, 8.0), (True, 1, 0.0), (True, 0, 0.0)]
+
+
+def test_plural_forms_and_accents_of_terms(spark):
+    assert N.inflected("auriculares") == ["auricular", "auriculare", "auriculars", "auriculares"] and N.inflected("does") == ["doe", "does"] and N.inflected("bus") == ["bus", "buss"] and N.inflected("en") == ["en", "ens"]
+    t = spark.createDataFrame([(1, "La EXTRASÍSTOLE  auricular, y extrasistoles auriculares"), (2, None)], "id long, text string")
+    row = N.term_coverage(t, {"a": ["Extrasístoles auriculares"], "b": ["nada"]}).where("code = 'a'").first()
+    assert (row.occurrences, row.first_id) == (2, 1) and "extrasistole auricular" in row.example
+
+
+def test_phrases_of_several_words_overlap_and_long_vocabularies(spark):
+    p = spark.createDataFrame([("P", "premature complexes"), ("A", "atrial premature complexes"), ("I", "injury, anteroseptal")] + [(f"c{k}", f"filler {k}") for k in range(20_000)], "code string, phrase string")
+    t = spark.createDataFrame([(1, "atrial premature complexes"), (2, "premature complexes; atrial premature complexes."), (3, "injury, anteroseptal"), (4, "injury anteroseptal"), (5, "filler 19999 filler")], "id long, text string")
+    assert {r.id: r.codes for r in N.asserted_findings(t, p).collect()} == {1: ["A"], 2: ["A", "P"], 3: ["I"], 4: [], 5: ["c19999"]}
+
+
+def test_gate_notices_injected_findings_in_every_language(spark):
+    rows = [(k, 60.0, "LAD", [(0, "A", "HEART", False, "I", 0.9)] + ([(1, "B", "HEART", False, "II", 0.9)] if k % 2 else [])) for k in range(1, 9)]
+    s = spark.createDataFrame(rows, "record_id long, rate double, axis string, findings array<struct<rank:int,code:string,`group`:string,rhythm:boolean,leads:string,confidence:double>>")
+    v = spark.createDataFrame([("en", "A", "Fibrillation"), ("en", "B", None), ("en", "C", "Block"), ("es", "A", "Fibrilación"), ("es", "B", "Isquemia"), ("es", "C", "Bloqueo")], "lang string, code string, phrase string")
+    got = {r.lang: r for r in N.gate_parity(s, v, "HEART", {"en": "Complete block.", "es": "BLOQUEO completo."}, F.col("record_id") == 8, code="C").collect()}
+    for lang in ("en", "es"):
+        r = got[lang]
+        assert (r.n, r.well_formed, r.detected, r.exact, r.unsupported, r.caught, r.informative, r.exact_informative_rate) == (8, 8, 8, 8, 0, 8, 7, 1.0)
+    lost = N.gate_parity(s, v, "HEART", {"en": "Nothing of the sort.", "es": "Bloqueos."}, F.lit(True), code="C").collect()
+    assert {r.lang: (r.caught, r.informative, r.exact_informative_rate) for r in lost} == {"en": (0, 0, None), "es": (0, 0, None)}
+
+
+def test_arms_are_paired_by_record(spark):
+    found = spark.createDataFrame([(1, "A"), (1, "B"), (2, "A"), (3, "A")], "record_id long, label string")
+    texts = [(1, "x", "Findings: f\nImpression: alpha and beta"), (1, "y", "alpha"), (2, "x", "alpha, gamma. Start therapy"), (2, "y", "Alpha"), (3, "x", None), (4, "x", "gamma"), (4, "y", "gamma")]
+    phrases = spark.createDataFrame([("A", "alpha"), ("B", "beta"), ("C", "Gamma")], "code string, phrase string")
+    scores = N.arm_scores(spark.createDataFrame(texts, "record_id long, arm string, text string"), found, phrases, ["therapy"])
+    got = {(r.record_id, r.arm): r for r in scores.collect()}
+    assert got[1, "x"].coverage == 1.0 and got[1, "y"].coverage == 0.5 and got[3, "x"].coverage == 0 and got[4, "x"].coverage is None
+    assert got[2, "x"].n_unsupported == 1 and got[2, "x"].treatment and not got[2, "y"].hallucinated and got[1, "x"].well_formed and not got[2, "x"].well_formed
+    assert {(r.record_id, r.a, r.b) for r in N.arm_pairs(scores, "x", "y").collect()} == {(1, False, False), (2, True, False), (4, True, True)}
+    summary = {r.arm: r for r in N.arm_summary(scores).collect()}
+    assert (summary["x"].n, summary["x"].hallucination_rate, summary["y"].consistency_rate) == (4, 0.5, round(2 / 3, 4))

@@ -40,12 +40,19 @@ def test_corpus_score_of_equal_texts(spark):
 
 
 def test_chunks(spark):
-    long = ". ".join(f"Sentence number {k} of this text" for k in range(90)) + "."
-    text = f"Short.\n\n{long}\n\n\n{'x' * 1000}\n\ntail"
-    got = [r.chunk for r in R.chunk_rows(spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string")).orderBy("chunk_no").collect()]
-    assert got == R.chunks_of(text) and all(len(c) <= 900 or " " not in c for c in got)
-    assert "".join("".join(got).split()) == "".join(text.split())
-    assert len(got[-1]) == 1000 or got[-1].endswith("tail")
+    long = ". ".join(f"Sentence number {k}\n of this text" for k in range(90)) + "."
+    text = f"Short.\n\n{long}\n\n\n{'x' * 1000}\n\n tail \n\n" + "y" * 850 + "\n\n" + "z" * 60
+    got = [r.chunk for r in R.chunk_rows(spark.createDataFrame([(1, text), (2, None), (3, ""), (4, " \n\n ")], "id long, text string")).orderBy("chunk_no").collect()]
+    assert all(len(c) <= 900 or " " not in c for c in got) and all("\n" not in c for c in got)
+    assert " ".join(" ".join(got).split()) == " ".join(text.split())
+    # as many sentences as fit stand together, "tail" follows a chunk that is too long to take it, and so does "z"
+    assert got[0].startswith("Short.") is True and got[-4:] == ["x" * 1000, "tail", "y" * 850, "z" * 60]
+    packed = got[1:-4] if got[0] == "Short." else got[:-4]
+    for a, b in zip(packed, packed[1:]):
+        first = b.split(". ")[0] + "."
+        assert len(a) + 1 + len(first) > 900
+    few = [r.chunk for r in R.chunk_rows(spark.createDataFrame([(1, "a b.\n\nc d.\n\n" + "e" * 30)], "id long, text string"), most=20, least=9).collect()]
+    assert few == ["a b. c d.", "e" * 30]
 
 
 def test_beta_bounds_at_known_quantiles(spark):
