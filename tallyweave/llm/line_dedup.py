@@ -240,24 +240,23 @@ def repeated_lines(
 
 
 def _with_gone(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with ``_gone``, the numbers of a row's repeated lines (null for none)."""
+    """row (all columns of ``docs``), text and gone, the numbers of a row's repeated lines (null for none)."""
     gone = repeated_lines(docs.select("doc_id", "text"), **options)
-    gone = gone.groupBy(F.col("doc_id").alias("_owner"), F.col("which").alias("_which")).agg(F.array_sort(F.collect_set("line_no")).alias("_gone"))
-    same = (docs["doc_id"].cast("long") == F.col("_owner")) & (F.xxhash64(docs["text"]) == F.col("_which"))
-    return docs.join(gone, same, "left").drop("_owner", "_which")
+    gone = gone.groupBy(F.col("doc_id").alias("owner"), "which").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("owner"), F.xxhash64("text").alias("which"), "text")
+    return rows.join(gone, ["owner", "which"], "left").select("row", "text", "gone")
 
 
 def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with repeated lines cut from the texts; all rows and columns stay, a text may become empty, a null one stays null."""
-    kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(_gone, i)), '\\n')")
-    joined = _with_gone(docs, **options)
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with repeated lines cut from the texts; all rows and columns stay, whatever their names, a text may become empty, a null one stays null."""
+    kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(gone, i)), '\\n')")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
+    return _with_gone(docs, **options).select(*[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def line_decisions(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (line numbers from 0) for every row."""
     joined = _with_gone(docs.select("doc_id", "text"), **options)
-    removed = F.coalesce("_gone", F.array().cast("array<int>"))
+    removed = F.coalesce("gone", F.array().cast("array<int>"))
     n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
-    return joined.select("doc_id", F.greatest(n_lines, F.lit(0)).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    return joined.select("row.doc_id", F.greatest(n_lines, F.lit(0)).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staging
+from .common import Staging, join_counted
 from .components import connected_components
 from .similarity import crowded_pairs, crowded_rows, mixed, neighbour_pairs, portions, verified_links, word_hashes
 
@@ -84,7 +84,7 @@ def _tree_keys(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """node, n (set size), d1, d2 (digest of the set), sig, keys, deeps for (doc_id, text); nulls where the set is empty."""
+    """doc, mark (of the text), n (set size), d1, d2 (digest of the set), sig, keys, deeps for (doc_id, text); nulls where the set is empty."""
 
     def run(batches):
         for batch in batches:
@@ -102,16 +102,16 @@ def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), pa.array(size, pa.int64()),
+                        part.column("doc_id"), part.column("mark"), pa.array(size, pa.int64()),
                         pa.array([None if d is None else int(d[0]) for d in digest], pa.int64()),
                         pa.array([None if d is None else int(d[1]) for d in digest], pa.int64()),
                         pa.array([None if e else s.tobytes() for s, e in zip(sig, empty, strict=True)], pa.binary()), *lists,
                     ],
-                    names=["node", "n", "d1", "d2", "sig", "keys", "deeps"],
+                    names=["doc", "mark", "n", "d1", "d2", "sig", "keys", "deeps"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "node long, n long, d1 long, d2 long, sig binary, keys array<long>, deeps array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")).mapInArrow(
+        run, "doc long, mark long, n long, d1 long, d2 long, sig binary, keys array<long>, deeps array<long>"
     )
 
 
@@ -139,23 +139,39 @@ def near_duplicates(
     Texts with fewer words than a shingle count as one shingle; null, empty
     and blank texts have none and are linked with nothing. A row with a null
     doc_id is linked with nothing, has a null component and is kept. Rows that
-    repeat a doc_id are one document. No rows give no rows; further columns of
-    ``docs`` are not looked at.
+    repeat a doc_id are documents of their own: each gets the component of its
+    own set. No rows give no rows; further columns of ``docs`` are not looked at.
+    """
+    return _decided(docs, shingle_words, num, den, window, staging).drop("mark")
+
+
+def _decided(docs: DataFrame, shingle_words: int, num: int, den: int, window: int, staging: Staging | None) -> DataFrame:
+    """``near_duplicates`` with ``mark``, the hash of a row's text.
+
+    Sets are nodes, named by the smallest doc_id that has them; sets that would
+    share a name, as rows repeat a doc_id, are named by their digests.
     """
     spark = docs.sparkSession
     staging = staging or Staging(spark, "near")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = staging.save(signatures(docs, shingle_words), "signed")
-    equal = staging.save(
-        signed.where("node is not null and d1 is not null").groupBy("d1", "d2").agg(F.min("node").alias("rep")), "equal"
-    )
-    reps = signed.join(equal.select(F.col("rep").alias("node"), "d1", "d2"), ["node", "d1", "d2"], "left_semi")
+    known = signed.where("doc is not null and d1 is not null").groupBy("d1", "d2").agg(F.min("doc").alias("rep"))
+    known = staging.save(known, "known")
+    twice = staging.save(known.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("rep", F.lit(True).alias("twice")), "twice")
+    repeated = not twice.isEmpty()
+    node = F.when(F.col("twice"), F.col("d1")).otherwise(F.col("rep")) if repeated else F.col("rep")
+    equal = known.join(twice, "rep", "left").select("d1", "d2", "rep", node.alias("node")) if repeated else known.withColumn("node", node)
+    equal = staging.save(equal, "equal") if repeated else equal
+    first = equal.select(F.col("rep").alias("doc"), "d1", "d2", "node")
+    reps = signed.join(first, ["doc", "d1", "d2"])
     regions = reps.select("node", F.explode("keys").alias("key"))
     shared = regions.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     near = regions.join(shared, "key", "left_semi").select("node").distinct()
-    active = staging.save(reps.select("node", "sig", "keys", "deeps").dropDuplicates(["node"]).join(near, "node", "left_semi"), "active")
+    active = staging.save(reps.select("node", "doc", "mark", "sig", "keys", "deeps").dropDuplicates(["node"]).join(near, "node", "left_semi"), "active")
 
-    bodies = staging.save(active.select("node").join(docs, F.col("node") == F.col("doc_id")).select("node", "text"), "bodies")
+    marked = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("mark"), "text")
+    bodies = staging.save(active.select("node", "doc", "mark").join(marked, ["doc", "mark"]).select("node", "text").dropDuplicates(["node"]), "bodies")
+    active = active.drop("doc", "mark")
     links, parts, todo, keep, k = None, None, active, 2, 0
     while True:
         rows = todo.select("node", "sig", *(["part"] if parts is not None else []), F.posexplode(F.arrays_zip("keys", "deeps")).alias("tree", "z"))
@@ -176,21 +192,27 @@ def near_duplicates(
             break
         k, keep = k + 1, keep * 8
         todo = active.join(more, "node", "left_semi").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    parts = parts.withColumn("least", F.col("component"))
+    if repeated:  # a component's smallest node need not be its smallest doc_id
+        linked = staging.save(parts.drop("least").join(equal.select("node", "rep"), "node"), "linked")
+        least = staging.save(linked.groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("of")), "least")
+        parts = join_counted(linked.drop("rep"), least, "component", "of")
     return (
-        signed.select("node", "n", "d1", "d2")
+        signed.select("doc", "mark", "n", "d1", "d2")
         .join(equal, ["d1", "d2"], "left")
-        .join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        .join(parts.select("node", "least"), "node", "left")
         .select(
-            F.col("node").alias("doc_id"),
+            F.col("doc").alias("doc_id"),
+            "mark",
             F.col("n").alias("n_shingles"),
-            F.when(F.col("node").isNotNull(), F.coalesce("component", "rep", "node")).alias("component_id"),
+            F.when(F.col("doc").isNotNull(), F.coalesce("least", "rep", "doc")).alias("component_id"),
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
-def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
-    found = near_duplicates(docs.select("doc_id", "text"), **options)
-    gone = found.where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+def keep_one_of_each(docs: DataFrame, *, shingle_words: int = 5, num: int = 80, den: int = 100, window: int = 64, staging: Staging | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns, whatever their names."""
+    gone = _decided(docs.select("doc_id", "text"), shingle_words, num, den, window, staging).where("not kept").select(F.col("doc_id").alias("doc"), "mark").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("mark"))
+    return rows.join(gone, ["doc", "mark"], "left_anti").select("row.*")

@@ -73,6 +73,31 @@ def test_near_edge_cases(spark):
     assert near_dedup.keep_one_of_each(docs).columns and near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_a_doc_id_are_documents_of_their_own(spark):
+    rnd = random.Random(31)
+    texts = [" ".join(rnd.choice("abcdefghijklmnop") + str(rnd.randrange(99)) for _ in range(60)) for _ in range(8)]
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    rows = [(5, texts[0]), (5, texts[1]), (7, near(texts[0])), (9, near(texts[1])), (5, texts[1]), (3, near(texts[1]) + " more"), (20, texts[2]), (20, near(texts[2])), (21, texts[3]), (22, texts[3]), (21, texts[4])]
+    sets = [shingles(t, 3) for _, t in rows]
+    part = components(range(len(rows)), lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]))
+    least = {}
+    for k, p in part.items():
+        least[p] = min(least.get(p, 1 << 60), rows[k][0])
+    want = sorted((rows[k][0], len(sets[k]), least[p], rows[k][0] == least[p]) for k, p in part.items())
+    for parts in (1, 2, 3, 29):
+        docs = documents(spark, rows).repartition(parts)
+        assert sorted(tuple(r) for r in near_dedup.near_duplicates(docs, shingle_words=3, num=85, den=100).collect()) == want
+    kept = near_dedup.keep_one_of_each(documents(spark, rows).withColumnRenamed("size", "row"), shingle_words=3, num=85, den=100)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted(rows[k] for k, p in part.items() if rows[k][0] == least[p])
+
+
+def test_line_dedup_with_clashing_columns(spark):
+    rows = [(1, "a line that is long enough\nother words stand here"), (2, "a line that is long enough!"), (3, None)]
+    docs = documents(spark, rows).withColumnsRenamed({"size": "_gone", "node": "gone", "lang": "owner", "source": "which", "n_chars": "row"})
+    cut = line_dedup.drop_repeated_lines(docs)
+    assert cut.columns == docs.columns and {(r.doc_id, r.text, r._gone, r.gone) for r in cut.collect()} == {(1, rows[0][1], "x", "y"), (2, "", "x", "y"), (3, None, "x", "y")}
+
+
 def brute_lines(rows):
     places = {}
     for d, t in rows:
