@@ -10,17 +10,27 @@ from pyspark.sql import functions as F
 from ..functions.portable import r6, ratio
 
 
+def score_range(score: Column) -> Column:
+    """The number of a score's range: rises with the score, whatever its scale; some thousands between the usual smallest and largest."""
+    x = score.cast("double")
+    return F.floor(F.signum(x) * F.log2(1 + F.abs(x) * 1024) * 256).cast("int")
+
+
 def auroc(df: DataFrame, by: list[str], score: str = "p", y: str = "y", weight: Column | None = None) -> DataFrame:
     """Rank statistic by group, tied scores at mid-rank; null with one class only.
 
-    Rows collapse to one per distinct score first, so the ordered window runs
-    over scores and not over records.
+    Rows collapse to one per distinct score. Ranks come from two levels of
+    prefix sums: within a range of scores of a group, and over the sums of the
+    group's ranges, of which there are some thousands at most. So no task
+    sorts all scores of a label.
     """
     w = F.lit(1) if weight is None else weight
-    tied = df.groupBy(*by, score).agg(F.sum(w * F.col(y)).alias("pos"), F.sum(w * (1 - F.col(y))).alias("neg"))
-    below = W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-    won = F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + 0.5 * F.col("neg"))
-    g = tied.withColumn("won", won).groupBy(*by).agg(F.sum("won").alias("won"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    tied = df.withColumn("_range", score_range(F.col(score))).groupBy(*by, "_range", score).agg(F.sum(w * F.col(y)).alias("pos"), F.sum(w * (1 - F.col(y))).alias("neg"))
+    before = lambda c, order, *part: F.coalesce(F.sum(c).over(W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    won = F.col("pos") * (before("neg", score, *by, "_range") + 0.5 * F.col("neg"))
+    ranges = tied.withColumn("won", won).groupBy(*by, "_range").agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    ranges = ranges.withColumn("won", F.col("won") + F.col("pos") * before("neg", "_range", *by))
+    g = ranges.groupBy(*by).agg(F.sum("won").alias("won"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return g.select(*by, "n_pos", "n_neg", ratio(F.col("won"), F.col("n_pos") * F.col("n_neg")).alias("auroc"))
 
 
