@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import views as V
 from ..streaming import monitor as M
+from ..streaming import state as S
 from .registry import query
 from .subgroups_queries import rounded
 
@@ -82,3 +83,32 @@ def resets(spark, sf):
 def limits(spark, sf):
     e = V.table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").cast("long").alias("t"), F.col("event_id").alias("id"))
     return M.rate_limits(e, 2, 86400.0)
+
+
+_CHUNKS = """(SELECT user_id AS source, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CASE WHEN event_id % 17 <> 0 THEN floor(value)::BIGINT % 90 END AS n, CASE WHEN value >= 40 THEN [event_type] ELSE [] END AS codes FROM events)"""
+
+
+def chunk_rows(spark, sf):
+    order = S.W.partitionBy("user_id").orderBy("ts", "event_id")
+    e = V.table(spark, sf, "events")
+    n = F.when(F.col("event_id") % 17 != 0, F.floor("value").cast("long") % 90)
+    codes = F.when(F.col("value") >= 40, F.array("event_type")).otherwise(F.array().cast("array<string>"))
+    return e.select(F.col("user_id").alias("source"), F.row_number().over(order).cast("long").alias("seq"), n.alias("n"), codes.alias("codes"))
+
+
+_DUE = "CASE WHEN {0} >= 100 THEN ({0} - 100) // 40 + 1 ELSE 0 END"
+_ANALYSED = f"""(SELECT source, epoch, seq, total, new - 1 AS skipped, codes FROM (SELECT *, {_DUE.format("total")} - {_DUE.format("(total - n)")} AS new FROM (SELECT *, (sum(n) OVER (PARTITION BY source, epoch ORDER BY seq))::BIGINT AS total FROM (
+    SELECT *, sum((n IS NULL)::INT) OVER (PARTITION BY source ORDER BY seq) AS epoch FROM {_CHUNKS}) WHERE n IS NOT NULL)) WHERE new > 0)"""
+
+
+@query("W02_due_analyses", f"SELECT source, seq, total, skipped FROM {_ANALYSED}")
+def analyses(spark, sf):
+    return S.due_analyses(chunk_rows(spark, sf), 100, 40)
+
+
+@query("W06_monitor_events", f"""WITH a AS MATERIALIZED {_ANALYSED}, f AS (SELECT source, epoch, seq AS hop, unnest(codes) AS code, true AS fired, NULL::DOUBLE AS value FROM a UNION ALL SELECT source, epoch, seq, NULL, false, NULL FROM a WHERE len(codes) = 0)
+    SELECT source, seq, 'analysis' AS event, NULL AS code, total, skipped FROM a UNION ALL SELECT source, seq, 'reset', NULL, 0, 0 FROM {_CHUNKS} WHERE n IS NULL
+    UNION ALL SELECT s.source, hop, CASE WHEN state = 1 THEN 'onset' ELSE 'offset' END, code, a.total, 0 FROM {_states("source, epoch", "SELECT * FROM f")} s JOIN a ON a.source = s.source AND a.seq = s.hop WHERE state <> before""")
+def monitored(spark, sf):
+    """Batch twin of the stream monitor; tests hold the stream against it over a restart and resets."""
+    return S.monitor_events(chunk_rows(spark, sf), window=100, hop=40, k=3, m=5)
