@@ -129,8 +129,8 @@ def near_duplicates(
     all pairs of a region are compared by their share of equal values (of
     192): in the sorted order where it has at most ``window`` + 1 documents,
     in blocks where it has more. Candidates are those whose share a pair at
-    the threshold falls short of with a probability below 1e-5. A document first gives its 2 likeliest
-    candidates of an order, and one with more takes part in further rounds,
+    the threshold falls short of with a probability below 1e-5. A document first gives the likeliest
+    candidate of an order, and one with more takes part in further rounds,
     against other components only, until none has more. All links are
     confirmed on the full sets. A pair at 0.85 shares a region of some order
     with a probability of 1 - 1e-6 (at 0.8: 1 - 1e-4). Equal sets are one node from the start, so
@@ -172,7 +172,7 @@ def _decided(docs: DataFrame, shingle_words: int, num: int, den: int, window: in
     marked = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("mark"), "text")
     bodies = staging.save(active.select("node", "doc", "mark").join(marked, ["doc", "mark"]).select("node", "text").dropDuplicates(["node"]), "bodies")
     active = active.drop("doc", "mark")
-    links, parts, todo, keep, k = None, None, active, 2, 0
+    links, parts, todo, keep, k = None, None, active, 1, 0
     while True:
         rows = todo.select("node", "sig", *(["part"] if parts is not None else []), F.posexplode(F.arrays_zip("keys", "deeps")).alias("tree", "z"))
         rows = rows.select("*", F.col("z.keys").alias("key"), F.col("z.deeps").alias("deep")).drop("z")
