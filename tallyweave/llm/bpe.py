@@ -26,7 +26,7 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: A tokenizer file above this size is refused: it is broadcast to every executor.
 MAX_FILE_BYTES = 64 << 20
 #: Most pieces, and most words, that a Python worker remembers; later ones are encoded anew each time.
-_CACHE = 600_000
+_CACHE = 200_000
 
 
 def byte_symbols() -> dict[str, int]:
