@@ -114,3 +114,65 @@ def augment(samples: DataFrame, size: int, seed: int = 0) -> DataFrame:
     moved = (F.col("t") + F.floor(u("shift") * (size // 4)).cast("int")) % size
     kept = F.when(u("drop", F.col("lead")) < 0.1, 0.0).otherwise(1.0)
     return samples.select("record_id", "lead", moved.cast("int").alias("t"), (F.col("value") * (0.8 + 0.4 * u("gain")) * kept).alias("value"))
+
+
+# Probabilities and ranges of the changes that a recording session may bring.
+CHANCES = {"gain": 0.5, "warp": 0.3, "shift": 0.5, "drift": 0.5, "mains": 0.2, "noise": 0.5, "drop": 0.15}
+GAIN, WARP, SHIFT_S, DRIFT, DRIFT_HZ, MAINS, MAINS_HZ, NOISE = (0.85, 1.15), 0.05, 0.25, 0.10, (0.05, 0.5), 0.03, 50.0, 0.02
+_KNOTS = 8
+
+
+def augment_recordings(samples: DataFrame, size: int, fs: float, seed: int = 0, copies: int = 1) -> DataFrame:
+    """``copies`` changed versions (copy, record_id, lead, t, value) of every record of ``size`` samples.
+
+    Each of these happens by its chance, in this order: gain; a smooth time
+    warp that keeps the duration; circular shift of up to a quarter second;
+    drift (0.05 to 0.5 Hz, of another size on each lead); mains hum; noise;
+    one lead set to zero. All draws hang on seed, copy, record and step (noise
+    also on lead and sample), so reruns and partitions do not matter. Normal
+    numbers are sums of twelve uniform ones less six.
+
+    The warp moves sample i to a place w(i) that rises with i; the value at a
+    whole place comes from the two samples whose places enclose it. A record
+    stays in one task: its rows are dealt once.
+    """
+    rows = samples.select("record_id", "lead", "t", "value").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).repartition("copy", "record_id")
+    key = lambda step, *more: F.concat_ws(":", F.lit(f"{seed}:{step}"), F.col("copy").cast("string"), F.col("record_id").cast("string"), *more)
+    u = lambda step, *more: uniform(key(step, *more))
+    happens = lambda step: u(f"{step}?") < CHANCES[step]
+    within = lambda step, low, high: F.lit(low) + F.lit(high - low) * u(step)
+    normal = lambda step, *more: sum((u(step, F.lit(str(k)), *more) for k in range(1, 12)), u(step, F.lit("0"), *more)) - 6.0
+    scaled = rows.withColumn("value", F.col("value") * F.when(happens("gain"), within("gain", *GAIN)).otherwise(1.0))
+
+    # places of the warp, once for each copy and record, from slopes at eight knots
+    records = scaled.select("copy", "record_id").distinct()
+    records = records.withColumn("knots", F.when(happens("warp"), F.array(*[F.lit(WARP) * normal("warp", F.lit(f"k{k}")) for k in range(_KNOTS)])))
+    x = f"(i * {_KNOTS - 1} / {size - 1}D)"
+    slope = f"(1 + knots[int(floor({x}))] + ({x} - floor({x})) * (knots[least({_KNOTS - 1}, int(floor({x})) + 1)] - knots[int(floor({x}))]))"
+    places = records.where("knots is not null").select("copy", "record_id", F.posexplode(F.expr(f"transform(sequence(0, {size - 1}), i -> {slope})")).alias("t", "step"))
+    own = W.partitionBy("copy", "record_id")
+    ahead = own.orderBy("t")
+    places = places.withColumn("sum", F.sum("step").over(ahead)).withColumn("start", F.first("sum").over(ahead)).withColumn("end", F.max("sum").over(own))
+    places = places.select("copy", "record_id", "t", ((F.col("sum") - F.col("start")) / (F.col("end") - F.col("start")) * (size - 1)).alias("place"))
+    by_lead = W.partitionBy("copy", "record_id", "lead").orderBy("t")
+    met = scaled.join(places, ["copy", "record_id", "t"], "left")
+    met = met.withColumn("next", F.lead("place").over(by_lead)).withColumn("after", F.lead("value").over(by_lead))
+    # the whole places from this sample's to before the next one's
+    low, high = F.ceil(F.col("place") - 1e-12), F.when(F.col("next").isNull(), F.lit(size - 1)).otherwise(F.ceil(F.col("next") - 1e-12) - 1)
+    taken = F.when(F.col("place").isNull(), F.array(F.col("t").cast("int"))).when(high >= low, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
+    share = (F.col("i") - F.col("place")) / (F.col("next") - F.col("place"))
+    value = F.when(F.col("place").isNull() | F.col("next").isNull() | (F.col("i") <= F.col("place")), F.col("value")).otherwise(F.col("value") + share * (F.col("after") - F.col("value")))
+    warped = met.withColumn("i", F.explode(taken)).select("copy", "record_id", "lead", F.col("i").alias("t"), value.alias("value"))
+
+    most = int(SHIFT_S * fs)
+    by = F.when(happens("shift"), F.floor(F.lit(2.0 * most) * u("shift")).cast("int") - most).otherwise(0)
+    turn = lambda hz, phase: F.sin(2 * math.pi * hz * F.col("t") / fs + 2 * math.pi * phase)
+    drift = F.lit(DRIFT) * within("drift size", 0.4, 1.0) * turn(within("drift hz", *DRIFT_HZ), u("drift phase")) * (0.5 + 0.5 * u("drift lead", F.col("lead")))
+    mains = F.lit(MAINS) * turn(F.lit(MAINS_HZ), u("mains phase"))
+    noise = F.lit(NOISE) * normal("noise", F.col("lead"), F.col("t").cast("string"))
+    added = sum((F.when(happens(n), v).otherwise(0.0) for n, v in (("mains", mains), ("noise", noise))), F.when(happens("drift"), drift).otherwise(0.0))
+    moved = warped.withColumn("t", F.pmod(F.col("t") + by, F.lit(size)).cast("int")).withColumn("value", F.col("value") + added)
+    # the lead that drops is the one whose draw is smallest
+    draw = moved.withColumn("draw", u("drop", F.col("lead"))).withColumn("least", F.min("draw").over(own))
+    lost = happens("drop") & (F.col("draw") == F.col("least"))
+    return draw.select("copy", "record_id", "lead", "t", F.when(lost, 0.0).otherwise(F.col("value")).alias("value"))

@@ -59,3 +59,9 @@ def resampled(spark, sf):
     round(value * (0.8::DOUBLE + 0.4::DOUBLE * {_U.format("'0:gain:' || record_id::VARCHAR")}) * CASE WHEN {_U.format("'0:drop:' || record_id::VARCHAR || ':' || lead")} < 0.1 THEN 0.0 ELSE 1.0 END, 6) AS value FROM v_samples""")
 def augmented(spark, sf):
     return rounded(D.augment(V.samples(spark, sf), 64))
+
+
+@query("G21_recordings")
+def recordings(spark, sf):
+    """Two copies of every record; held against numpy in tests."""
+    return rounded(D.augment_recordings(V.samples(spark, sf), 64, 32, copies=2))
