@@ -44,6 +44,14 @@ def breakdown(df: DataFrame, group: str, least: int = 50) -> DataFrame:
     return n.join(out, group, "left").withColumn("reliable", F.col("n") >= least)
 
 
+def breakdown_intervals(df: DataFrame, group: str, least: int = 50, replicates: int = 200) -> DataFrame:
+    """``breakdown`` with low and high, the interval of a group's macro AUROC over resamples of its records."""
+    rows = df.where(F.col(group).isNotNull())
+    common = F.broadcast(common_labels(df, group))
+    ci = bootstrap_macro(rows.join(common, "label", "left_semi"), [group], replicates).select(group, "low", "high")
+    return breakdown(df, group, least).join(ci, group, "left")
+
+
 def poisson_weight(key: Column) -> Column:
     """A Poisson(1) count from the hash of a key, by table."""
     u = uniform(key)
@@ -86,11 +94,13 @@ def label_gaps(df: DataFrame, group: str, a, b, replicates: int = 400, least: in
     per = auroc(replicate(rows, replicates), [group, "rep", "label"], weight=F.col("w"))
     gaps = per.groupBy("label", "rep").agg((side("auroc", a) - side("auroc", b)).alias("gap")).where("gap is not null")
     below = F.avg((F.col("gap") <= 0).cast("int"))
-    g = gaps.groupBy("label").agg(F.least(F.lit(1.0), 2 * F.least(below, 1 - below)).alias("p_value"), F.count("*").alias("usable"))
+    g = gaps.groupBy("label").agg(F.least(F.lit(1.0), 2 * F.least(below, 1 - below)).alias("p_value"), F.count("*").alias("usable"), F.percentile("gap", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     point = auroc(rows, [group, "label"]).groupBy("label").agg(
         (side("auroc", a) - side("auroc", b)).alias("gap"), (F.least(side("n_pos", a), side("n_pos", b)) >= least_positives).alias("powered")
     )
-    return point.join(g, "label", "left").withColumn("p_value", F.when(F.col("usable") >= least, F.col("p_value")))
+    enough = F.col("usable") >= least
+    joined = point.join(g, "label", "left").withColumn("p_value", F.when(enough, F.col("p_value")))
+    return joined.withColumn("low", F.when(enough, F.col("q")[0])).withColumn("high", F.when(enough, F.col("q")[1])).drop("q")
 
 
 def step_up(df: DataFrame, p: str = "p_value") -> DataFrame:
@@ -148,13 +158,23 @@ def leverage(df: DataFrame) -> DataFrame:
     return s.select("label", F.when((F.col("np") >= 2) & (F.col("nn") > 0), F.greatest(without("lo"), without("hi"))).alias("leverage"))
 
 
-def power_table(df: DataFrame, train: DataFrame) -> DataFrame:
-    """training and test positives, AUROC, analytic interval width and leverage by label."""
+def power_table(df: DataFrame, train: DataFrame, replicates: int = 200) -> DataFrame:
+    """training and test positives, AUROC, analytic and resampled interval width, and leverage by label."""
     a = auroc(df, ["label"])
     se = auroc_error(F.col("auroc"), F.col("n_pos"), F.col("n_neg"))
     n = train.groupBy("label").agg(F.sum("y").alias("n_train"))
     out = a.select("label", F.col("n_pos").alias("n_test"), "auroc", (2 * 1.96 * se).alias("width"))
-    return out.join(leverage(df), "label", "left").join(n, "label", "left")
+    per = auroc(replicate(df, replicates), ["rep", "label"], weight=F.col("w"))
+    boot = interval(per, "auroc", ["label"]).select("label", (F.col("high") - F.col("low")).alias("boot_width"))
+    return out.join(leverage(df), "label", "left").join(boot, "label", "left").join(n, "label", "left")
+
+
+def power_medians(table: DataFrame, targets: list[str], rare: int) -> DataFrame:
+    """medians of the widths and the leverage of ``power_table`` over rare labels (under ``rare`` training positives), the targets, and all labels; one row per label comes in."""
+    sets = {"rare": F.col("n_train") < rare, "target": F.col("label").isin(*targets), "all": F.lit(True)}
+    kinds = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in sets.items()]))
+    t = table.withColumn("kind", F.explode(kinds))
+    return t.groupBy("kind").agg(F.count("*").alias("n_labels"), *[F.percentile(c, F.lit(0.5)).alias(c) for c in ("width", "boot_width", "leverage")])
 
 
 def paired_delta(df: DataFrame, replicates: int = 200) -> DataFrame:

@@ -65,6 +65,12 @@ def breakdown(spark, sf):
     return rounded(G.breakdown(rows(spark, sf, test=True), "band"))
 
 
+@query("F04_breakdown_intervals", f"""SELECT b.*, low, high FROM ({_BREAK}) b LEFT JOIN (SELECT band, round(quantile_cont(macro, 0.025), 6) AS low, round(quantile_cont(macro, 0.975), 6) AS high FROM (
+    SELECT band, rep, avg(auroc) AS macro FROM ({_weighted('band, rep, label')}) WHERE band IS NOT NULL AND label IN ({_COMMON.format(g='band', t=_TEST)}) GROUP BY band, rep) GROUP BY band) USING (band)""")
+def breakdown_intervals(spark, sf):
+    return rounded(G.breakdown_intervals(rows(spark, sf, test=True), "band"))
+
+
 @query("F05_bootstrap_interval", f"SELECT {_CI.format('macro')} FROM (SELECT rep, avg(auroc) AS macro FROM ({_weighted('rep, label')}) GROUP BY rep)")
 def boot(spark, sf):
     return rounded(G.bootstrap_macro(rows(spark, sf, test=True)))
@@ -75,15 +81,15 @@ def gap(spark, sf):
     return rounded(G.bootstrap_gap(rows(spark, sf, test=True), "sex", 0, 1))
 
 
-_GAPS = f"""SELECT label, round(gap, 6) AS gap, powered, CASE WHEN usable >= 20 THEN round(p_value, 6) END AS p_value, usable FROM (
+_GAPS = f"""SELECT label, round(gap, 6) AS gap, powered, CASE WHEN usable >= 20 THEN round(p_value, 6) END AS p_value, CASE WHEN usable >= 20 THEN round(low, 6) END AS low, CASE WHEN usable >= 20 THEN round(high, 6) END AS high, usable FROM (
     SELECT label, max(auroc) FILTER (sex = 0) - max(auroc) FILTER (sex = 1) AS gap, least(max(n_pos) FILTER (sex = 0), max(n_pos) FILTER (sex = 1)) >= 10 AS powered FROM ({auroc_sql(_TEST, 'sex, label')}) GROUP BY label)
-    LEFT JOIN (SELECT label, least(1.0, 2 * least(avg((g <= 0)::INT), 1 - avg((g <= 0)::INT))) AS p_value, count(*) AS usable FROM (
+    LEFT JOIN (SELECT label, least(1.0, 2 * least(avg((g <= 0)::INT), 1 - avg((g <= 0)::INT))) AS p_value, count(*) AS usable, quantile_cont(g, 0.025) AS low, quantile_cont(g, 0.975) AS high FROM (
       SELECT label, rep, max(auroc) FILTER (sex = 0) - max(auroc) FILTER (sex = 1) AS g FROM ({_weighted('sex, rep, label', n=400)}) GROUP BY label, rep) WHERE g IS NOT NULL GROUP BY label) USING (label)"""
 
 
 @query("F07_label_gaps", _GAPS)
 def gaps(spark, sf):
-    return rounded(G.label_gaps(rows(spark, sf, test=True), "sex", 0, 1)).select("label", "gap", "powered", "p_value", "usable")
+    return rounded(G.label_gaps(rows(spark, sf, test=True), "sex", 0, 1)).select("label", "gap", "powered", "p_value", "low", "high", "usable")
 
 
 @query("F08_false_discovery", f"""WITH g AS (SELECT label, p_value FROM ({_GAPS})), k AS (SELECT label, p_value, p_value * count(*) OVER () / row_number() OVER (ORDER BY p_value, label) AS raw FROM g WHERE p_value IS NOT NULL)
@@ -129,12 +135,24 @@ def lever(spark, sf):
     return rounded(G.leverage(rows(spark, sf, test=True)))
 
 
-@query("F14_power_table", f"""SELECT label, n_pos::BIGINT AS n_test, round(auroc, 6) AS auroc, round(2 * 1.96::DOUBLE * {_SE}, 6) AS width, leverage, n_train FROM (SELECT *, least(greatest(auroc, 0.000001::DOUBLE), 1 - 0.000001::DOUBLE) AS a FROM ({auroc_sql(_TEST, 'label')}))
-    LEFT JOIN ({_LEV}) USING (label) LEFT JOIN (SELECT label, sum(y)::BIGINT AS n_train FROM {_ROWS} WHERE fold <= 8 GROUP BY label) USING (label)""")
+_POWER = f"""SELECT label, n_pos::BIGINT AS n_test, round(auroc, 6) AS auroc, round(2 * 1.96::DOUBLE * {_SE}, 6) AS width, leverage, boot_width, n_train FROM (SELECT *, least(greatest(auroc, 0.000001::DOUBLE), 1 - 0.000001::DOUBLE) AS a FROM ({auroc_sql(_TEST, 'label')}))
+    LEFT JOIN ({_LEV}) USING (label) LEFT JOIN (SELECT label, sum(y)::BIGINT AS n_train FROM {_ROWS} WHERE fold <= 8 GROUP BY label) USING (label) LEFT JOIN (SELECT label, round(quantile_cont(auroc, 0.975) - quantile_cont(auroc, 0.025), 6) AS boot_width FROM ({_weighted('rep, label')}) GROUP BY label) USING (label)"""
+
+
+@query("F14_power_table", _POWER)
 def power(spark, sf):
     return rounded(G.power_table(rows(spark, sf, test=True), rows(spark, sf).where("fold <= 8")))
 
 
+_KINDS = {"rare": "n_train < 400", "target": "label IN ('NATION_1', 'NATION_3')", "all": "true"}
+
+
+@query("F14_power_medians", f"WITH t AS MATERIALIZED ({_POWER}) " + " UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) AS n_labels, round(median(width), 5) AS width, round(median(boot_width), 5) AS boot_width, round(median(leverage), 5) AS leverage FROM t WHERE {test} GROUP BY ALL" for k, test in _KINDS.items()))
+def power_medians(spark, sf):
+    m = G.power_medians(power(spark, sf), ["NATION_1", "NATION_3"], 400)
+    return m.select("kind", "n_labels", *[F.round(c, 5).alias(c) for c in ("width", "boot_width", "leverage")])
+
+
 @query("F15_paired_delta", f"""SELECT {_CI.format('delta')} FROM (SELECT b - a AS delta FROM (SELECT rep, avg(auroc) AS a FROM ({_weighted('rep, label')}) GROUP BY rep) JOIN (SELECT rep, avg(auroc) AS b FROM ({_weighted('rep, label', 'p2')}) GROUP BY rep) USING (rep))""")
 def delta(spark, sf):
     return rounded(G.paired_delta(rows(spark, sf, test=True)))
