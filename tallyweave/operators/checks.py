@@ -70,6 +70,13 @@ def only_superclass(supers: DataFrame, name: str) -> DataFrame:
     return supers.where(F.col("superclasses") == F.array(F.lit(name))).select("record_id")
 
 
+def over_flag_rate(cohort: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Records of a cohort, those with a false positive, and their share (null for an empty cohort)."""
+    j = cohort.select("record_id").join(outcomes.select("record_id", "false_positives"), "record_id")
+    flagged = F.count_if(F.size("false_positives") > 0)
+    return j.agg(F.count("*").alias("n"), flagged.alias("over_flagged"), F.round(ratio(flagged, F.count("*")), 4).alias("rate"))
+
+
 def cohort_metrics(outcomes: DataFrame, present: DataFrame, cohorts: DataFrame) -> DataFrame:
     """Metrics of each (cohort, record_id) cohort; a record may be in several. Rates are null without a present label."""
     n = present.where("y = 1").groupBy("record_id").agg(F.count("*").alias("n_present"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .retrieval import bleu, rouge_n, tokens
+from .retrieval import text_scores, tokens
 
 
 
@@ -56,7 +56,7 @@ def rouge_l(df: DataFrame) -> DataFrame:
 
 def corpus_score(df: DataFrame) -> DataFrame:
     """Means of the four scores, each rounded to four digits first."""
-    j = bleu(df).join(rouge_n(df, 1), "id").join(rouge_n(df, 2), "id").join(rouge_l(df), "id")
+    j = text_scores(df).join(rouge_l(df), "id")
     return j.agg(*[F.avg(F.round(c, 4)).alias(c) for c in ("bleu", "rouge_1", "rouge_2", "rouge_l")], F.count("*").alias("n"))
 
 
@@ -71,10 +71,20 @@ def cue_tags(df: DataFrame, cues: dict[str, list[str]], truth: str) -> DataFrame
 
 
 def recovered_scores(df: DataFrame, labels: list[str]) -> DataFrame:
-    """For (id, reply) a score from 0 to 1 for each label that has a number by its name (0 to 10, clipped), and the share of labels with one."""
-    number = lambda c: F.regexp_extract("reply", rf"(?i)\b{c}\s*[:=]\s*(\d+(?:\.\d+)?)", 1)
+    """For (id, reply) a score from 0 to 1 for each label, the share of labels with one, and the interpretation.
+
+    A label's number (0 to 10, clipped) follows its name, which may be set in
+    bold, after a colon, an equals sign, a dash or a long dash. The
+    interpretation is the rest of the line after that word, else the longest
+    line that gives no score (the first of equals), else empty.
+    """
+    number = lambda c: F.regexp_extract("reply", rf"(?i)\b{c}[*\s]*[:=—-]\s*(\d+(?:\.\d+)?)", 1)
     score = lambda c: F.least(F.greatest(F.expr("0.0D"), F.nullif(number(c), F.lit("")).cast("double")), F.lit(10.0)) / 10
-    found = df.select("id", *[F.when(number(c) != "", score(c)).alias(c) for c in labels])
+    said = F.trim(F.regexp_extract("reply", r"(?i)interpretation\s*[:—-]\s*([^\n]+)", 1))
+    scored = rf"(?i)^[*\s-]*(?:{'|'.join(labels)})[*\s]*[:=—-]"
+    lines = F.filter(F.transform(F.split(F.coalesce("reply", F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(scored))
+    longest = F.array_max(F.transform(lines, lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("i"), x.alias("line"))))["line"]
+    found = df.select("id", *[F.when(number(c) != "", score(c)).alias(c) for c in labels], F.coalesce(F.nullif(said, F.lit("")), longest, F.lit("")).alias("interpretation"))
     answered = sum((F.col(c).isNotNull().cast("int") for c in labels), F.lit(0))
     return found.withColumn("compliance", answered / len(labels))
 

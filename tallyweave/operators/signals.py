@@ -98,3 +98,22 @@ def fidelity(df: DataFrame, other: DataFrame, lags: int = 4) -> DataFrame:
     moved = other.withColumn("lag", F.explode(F.sequence(F.lit(-lags), F.lit(lags)))).select(*KEY, (F.col("t") + F.col("lag")).alias("t"), "lag", F.col("value").alias("other"))
     c = df.join(moved, [*KEY, "t"]).groupBy(*KEY, "lag").agg(F.round(F.corr("value", "other"), 6).alias("corr"))
     return c.groupBy(*KEY).agg(F.max("corr").alias("corr"), F.max_by("lag", F.struct("corr", -F.abs("lag"), "lag")).alias("lag"))
+
+
+def pair_fidelity(df: DataFrame, other: DataFrame, size: int, lags: int = 4, margin: int = 6) -> DataFrame:
+    """record_id, corr, error: means over leads of the best correlation over circular lags and of the relative error at that lag.
+
+    The correlation leaves out ``margin`` samples at either end and is 0 for a
+    flat signal; the smallest of equally good lags counts. The error is the
+    root mean square difference of all samples over the deviation of ``df``
+    (over 1 where that is 0).
+    """
+    moved = other.withColumn("lag", F.explode(F.sequence(F.lit(-lags), F.lit(lags)))).select(*KEY, F.pmod(F.col("t") + F.col("lag"), F.lit(size)).alias("t"), "lag", F.col("value").alias("other"))
+    inside = F.col("t").between(margin, size - margin - 1)
+    d = F.col("value") - F.col("other")
+    c = df.join(moved, [*KEY, "t"]).groupBy(*KEY, "lag").agg(
+        F.round(F.coalesce(F.nanvl(F.corr(F.when(inside, F.col("value")), F.when(inside, F.col("other"))), F.lit(0.0)), F.lit(0.0)), 9).alias("corr"),
+        (F.sqrt(F.avg(d * d)) / F.coalesce(F.nullif(F.stddev_pop("value"), F.lit(0.0)), F.lit(1.0))).alias("error"),
+    )
+    best = c.groupBy(*KEY).agg(F.max_by(F.struct("corr", "error"), F.struct("corr", -F.col("lag"))).alias("b"))
+    return best.groupBy("record_id").agg(F.avg("b.corr").alias("corr"), F.avg("b.error").alias("error"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import checks as C
 from ..operators import labels as L
 from ..operators import views as V
-from .registry import query
+from .registry import oracle_text, query
 
 URGENT = ["NATION_3", "NATION_7", "NATION_17"]
 _URGENT = "('NATION_3', 'NATION_7', 'NATION_17')"
@@ -90,6 +90,11 @@ def only(spark, sf):
     return C.only_superclass(L.superclasses(V.codes(spark, sf), V.dictionary(spark, sf)), "ASIA")
 
 
+@query("C08_over_flags", f"""WITH o AS ({_OUT}), c AS ({oracle_text("C08_only_superclass")}) SELECT count(*) AS n, count(*) FILTER (len(false_positives) > 0) AS over_flagged, round(count(*) FILTER (len(false_positives) > 0)::DOUBLE / nullif(count(*), 0), 4) AS rate FROM c JOIN o USING (record_id)""")
+def over_flags(spark, sf):
+    return C.over_flag_rate(only(spark, sf), C.record_outcomes(V.predictions(spark, sf), URGENT))
+
+
 @query("C09_cohort_metrics", f"""WITH o AS ({_OUT}), c AS (SELECT 'all' AS cohort, record_id FROM v_records UNION ALL SELECT 'borderline', record_id FROM ({_BORDER}) UNION ALL SELECT 'multi', record_id FROM ({_MULTI})),
     n AS (SELECT record_id, count(*) AS np FROM v_pred WHERE y = 1 GROUP BY record_id)
     SELECT cohort, count(*) AS n, round(1 - sum(len(misses))::DOUBLE / nullif(sum(coalesce(np, 0)), 0), 4) AS label_recall, round(sum(len(false_positives))::DOUBLE / count(*), 4) AS over_flags,

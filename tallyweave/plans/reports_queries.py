@@ -51,13 +51,16 @@ def cues(spark, sf):
     return rounded(R.cue_tags(_docs(spark, sf).withColumn("truth", truth), _CUES, "truth"))
 
 
-_REPLY = " || ".join(f"CASE WHEN (o_orderkey + {k}) % 5 = 0 THEN '' ELSE '{c}: ' || ((o_orderkey * 7 + {k}) % 13)::VARCHAR || '.5' || chr(10) END" for k, c in enumerate(_LABELS))
 _SCORE = ", ".join(f"""CASE WHEN (o_orderkey + {k}) % 5 <> 0 THEN round(least((o_orderkey * 7 + {k}) % 13 + 0.5::DOUBLE, 10.0) / 10, 6) END::DOUBLE AS "{c}" """ for k, c in enumerate(_LABELS))
 
 
-@query("T15_recovered_scores", f"SELECT o_orderkey AS id, {_SCORE}, 0.8::DOUBLE AS compliance FROM orders")
+@query("T15_recovered_scores", f"SELECT o_orderkey AS id, {_SCORE}, 0.8::DOUBLE AS compliance, CASE o_orderkey % 3 WHEN 0 THEN 'reads ' || o_orderkey::VARCHAR WHEN 1 THEN 'the longest line' ELSE '' END AS interpretation FROM orders")
 def recovered(spark, sf):
-    reply = F.concat(*[F.when((F.col("o_orderkey") + k) % 5 == 0, "").otherwise(F.concat(F.lit(f"{c}: "), ((F.col("o_orderkey") * 7 + k) % 13).cast("string"), F.lit(".5\n"))) for k, c in enumerate(_LABELS)])
+    key = F.col("o_orderkey")
+    named = lambda c, k: (f"{c}: ", f"**{c}**: ", f"- {c} — ", f"{c} = ")[k % 4]
+    scores = [F.when((key + k) % 5 == 0, "").otherwise(F.concat(F.lit(named(c, k)), ((key * 7 + k) % 13).cast("string"), F.lit(".5/10\n"))) for k, c in enumerate(_LABELS)]
+    prose = F.when(key % 3 == 0, F.concat(F.lit("Interpretation — reads "), key.cast("string"), F.lit("\nand a much longer line than that"))).when(key % 3 == 1, "short one\nthe longest line").otherwise("")
+    reply = F.concat(*scores, prose)
     return rounded(R.recovered_scores(V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), reply.alias("reply")), _LABELS))
 
 

@@ -87,3 +87,12 @@ def intervals(spark, sf):
 def fidelity(spark, sf):
     s = V.samples(spark, sf).where("lead = 'I'")
     return G.fidelity(s, s.select("record_id", "lead", (F.col("t") - 2).alias("t"), (F.col("value") + (F.col("t") % 3) / 100.0).alias("value")))
+
+
+@query("G20_pair_fidelity", """WITH o AS (SELECT record_id, lead, (t + 62) % 64 AS t, value + (t % 3) / 100.0::DOUBLE AS value FROM v_samples),
+    c AS (SELECT record_id, lead, lag, round(coalesce(CASE WHEN isnan(r) THEN 0 ELSE r END, 0), 9) AS corr, e AS error FROM (SELECT s.record_id, s.lead, lag, corr(s.value, o.value) FILTER (s.t BETWEEN 6 AND 57) AS r,
+      sqrt(avg((s.value - o.value) * (s.value - o.value))) / coalesce(nullif(stddev_pop(s.value), 0), 1) AS e FROM (SELECT unnest(range(-4, 5)) AS lag) CROSS JOIN o JOIN v_samples s ON s.record_id = o.record_id AND s.lead = o.lead AND s.t = (o.t + lag + 64) % 64 GROUP BY ALL))
+    SELECT record_id, round(avg(corr), 6) AS corr, round(avg(error), 6) AS error FROM (SELECT record_id, lead, max(corr) AS corr, arg_max(error, [corr, -lag]) AS error FROM c GROUP BY ALL) GROUP BY record_id""")
+def pair_fidelity(spark, sf):
+    s = V.samples(spark, sf)
+    return rounded(G.pair_fidelity(s, s.select("record_id", "lead", ((F.col("t") + 62) % 64).alias("t"), (F.col("value") + (F.col("t") % 3) / 100.0).alias("value")), 64))
