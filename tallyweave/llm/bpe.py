@@ -220,9 +220,11 @@ def _slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(k, rows)
 
 
-def encode_documents(df: DataFrame, tokenizer_path: str, *, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
+def encode_documents(df: DataFrame, tokenizer_path: str, *, text_col: str = "text", ids_col: str = "token_ids", keep_text: bool = True) -> DataFrame:
     """Add ``ids_col`` (array<int>): the token ids of every whole text, no special tokens added.
 
+    Without ``keep_text`` the texts themselves are not sent back from Python.
+
     Null text encodes like the empty text, to an empty array. Texts of any
     length are encoded whole, in time linear in their length. Row order and
     repeated rows stay; an empty table gives an empty table. An input column
@@ -231,7 +233,8 @@ def encode_documents(df: DataFrame, tokenizer_path: str, *, text_col: str = "tex
     """
     shared = broadcast_tokenizer(df.sparkSession, tokenizer_path)
     df = df.drop(ids_col)
-    schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
+    kept = [f for f in df.schema.fields if keep_text or f.name != text_col]
+    schema = T.StructType([*kept, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches):
         bpe = _loaded(shared)
@@ -242,7 +245,8 @@ def encode_documents(df: DataFrame, tokenizer_path: str, *, text_col: str = "tex
                 ends = np.cumsum([0, *map(len, found)], dtype=np.int64) // 4
                 values = np.frombuffer(b"".join(found), np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, ids_col])
+                names = [f.name for f in kept]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids], names=[*names, ids_col])
 
     return df.mapInArrow(run, schema)
 
@@ -272,7 +276,7 @@ def decode_documents(df: DataFrame, tokenizer_path: str, *, ids_col: str = "toke
 def token_digests(df: DataFrame, tokenizer_path: str) -> DataFrame:
     """Per document: number of tokens, SHA-256 of the decimal ids, SHA-256 of the decoded text."""
     docs = df.select("doc_id", "text")
-    coded = decode_documents(encode_documents(docs, tokenizer_path).drop("text"), tokenizer_path)
+    coded = decode_documents(encode_documents(docs, tokenizer_path, keep_text=False), tokenizer_path)
     return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
