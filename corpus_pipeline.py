@@ -15,8 +15,16 @@ from tallyweave.llm.common import Staging, table
 from tallyweave.llm.queries import tokenizer_file
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """At most 1,000 rows in an Arrow batch of this session: whole texts travel in them, in both directions."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= 1_000:
+        spark.conf.set(key, "1000")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go; labels come from ``labels``, their texts from ``docs``."""
+    _small_batches(spark)
     index = toxicity.fit_toxicity(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     scored = toxicity.score_toxicity(docs, index)
     return scored.where("toxic_predicted = 0").select(*docs.columns)
@@ -24,12 +32,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of lines alike (character shingles, 0.8) the first stays; ``n_chars`` follows the text."""
+    _small_batches(spark)
     cut = line_dedup.drop_repeated_lines(docs)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents alike (five-word shingles, 0.8) the one with the smallest doc_id stays."""
+    _small_batches(spark)
     return near_dedup.keep_one_of_each(docs).select(*docs.columns)
 
 
@@ -40,7 +50,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text that the mix holds."""
-    return bpe.encode_documents(docs.select("doc_id", "source", "text"), tokenizer_file("byte_bpe_50k.json")).drop("text")
+    _small_batches(spark)
+    return bpe.encode_documents(docs.select("doc_id", "source", "text"), tokenizer_file("byte_bpe_50k.json"), keep_text=False)
 
 
 STAGES = [
