@@ -75,7 +75,7 @@ def nested_bundles(records: DataFrame, findings: DataFrame, measures: DataFrame,
     """
     subject = F.coalesce("subject", _urn(F.col("record_id"), "patient"))
     head = records.select("record_id", F.lit(0).alias("part"), F.lit("").alias("key"), F.struct("subject", "effective", "issuer_version", "review", "conclusion").alias("head"))
-    named = findings.join(F.broadcast(mapping.where("target is not null").select("code", F.col("target"), F.col("display").alias("mapped"), (F.col("tier") != "definitional").alias("later"))), "code", "left")
+    named = findings.join(mapping.where("target is not null").select("code", F.col("target"), F.col("display").alias("mapped"), (F.col("tier") != "definitional").alias("later")), "code", "left")
     rows = named.select(
         "record_id", F.lit(1).alias("part"), F.col("code").alias("key"),
         F.struct(F.col("display"), F.col("confidence").cast("double").alias("confidence"), "needs_review", "leads", "target", "mapped", "later").alias("finding"),
@@ -169,7 +169,7 @@ def one_line_impressions(records: DataFrame, findings: DataFrame, vocabulary: Da
     too long sheds findings from its end, most consequential last.
     """
     place = F.coalesce(*[F.when(F.col("group") == g, F.lit(k)) for k, g in enumerate(CONSEQUENCE)], F.lit(len(CONSEQUENCE)))
-    known = findings.select("record_id", "code").distinct().join(F.broadcast(vocabulary), "code", "left")
+    known = findings.select("record_id", "code").distinct().join(vocabulary, "code", "left")
     no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     group = F.coalesce("group", F.lit("technical")).alias("group")
     rows = known.select("record_id", "code", group, F.coalesce("phrase", "code").alias("phrase"), F.coalesce("entity", "code").alias("entity"), *map(no, ("localized", "urgent", "normal", "benign")))

@@ -92,10 +92,31 @@ def reliability(df: DataFrame, n: int = 15, by: list[str] = ()) -> DataFrame:
     return g.agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("y").alias("mean_y"))
 
 
+def exact_quantiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """One row with ``quantiles``, the exact quantiles of a column, between neighbours by distance; an array of nulls for no rows.
+
+    Counts by range of values say in which ranges the wanted places lie; only
+    the rows of these are then counted by value. So no task sorts all values.
+    """
+    known = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")).withColumn("range", score_range(F.col("v")))
+    below = lambda c, *by: F.coalesce(F.sum(c).over(W.partitionBy(*by).orderBy("v" if by else "range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = known.groupBy("range").agg(F.count("*").alias("n")).withColumn("before", below("n")).withColumn("total", F.sum("n").over(W.partitionBy()))
+    at = lambda q: (F.col("total") - 1) * F.lit(float(q))
+    places = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(up).alias("up"), (F.ceil(at(q)) if up else F.floor(at(q))).alias("place"), (at(q) - F.floor(at(q))).alias("part")) for k, q in enumerate(shares) for up in (0, 1)])
+    wanted = ranges.select("range", "n", "before", F.explode(places).alias("w")).where("w.place >= before and w.place < before + n").select("range", "before", "w.*")
+    few = known.join(F.broadcast(wanted.select("range").distinct()), "range", "left_semi")  # at most two ranges for each share
+    values = few.groupBy("range", "v").agg(F.count("*").alias("c")).withColumn("local", below("c", "range"))
+    met = values.join(F.broadcast(wanted), "range").where("place >= before + local and place < before + local + c")
+    each = met.groupBy("k").agg(F.max(F.when(F.col("up") == 0, F.col("v"))).alias("low"), F.max(F.when(F.col("up") == 1, F.col("v"))).alias("high"), F.max("part").alias("part"))
+    found = each.agg(F.collect_list(F.struct("k", (F.col("low") + F.col("part") * (F.col("high") - F.col("low"))).alias("q"))).alias("all"))
+    pick = lambda k: F.get(F.filter("all", lambda x: x["k"] == k), F.lit(0))["q"]
+    return found.select(F.array(*[pick(k) for k in range(len(shares))]).alias("quantiles"))
+
+
 def quantile_reliability(df: DataFrame, n: int = 10) -> DataFrame:
     """Bins of equal counts; edges are the distinct quantiles with the ends at 0 and 1."""
-    inner = F.percentile("p", F.array(*[F.lit(k / n) for k in range(1, n)]))
-    edges = df.agg(F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0)), inner))).alias("edges"))
+    inner = exact_quantiles(df, "p", [k / n for k in range(1, n)])
+    edges = inner.select(F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0)), "quantiles"))).alias("edges"))
     placed = df.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("p"))) - 1)
     return placed.groupBy("bin").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("y").alias("mean_y"))
 
@@ -252,10 +273,17 @@ def agreement(df: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def leaderboard(runs: DataFrame, published: DataFrame) -> DataFrame:
-    """Runs and published rows (name, test, val) ranked by test score, by validation score without one."""
+    """Runs and published rows (name, test, val) ranked by test score, by validation score without one; rows without either come last.
+
+    Places count distinct scores by range first, then within a range, so no
+    task ranks all rows.
+    """
     every = runs.select("name", "test", "val", F.lit(False).alias("published")).unionByName(published.select("name", "test", "val", F.lit(True).alias("published")))
-    score = F.coalesce("test", "val")
-    return every.withColumn("score", score).withColumn("place", F.dense_rank().over(W.orderBy(F.desc_nulls_last("score"))))
+    scored = every.withColumn("score", F.coalesce("test", "val")).withColumn("range", F.coalesce(-score_range(F.col("score")), F.lit(2**31 - 1)))
+    ranges = scored.groupBy("range").agg(F.count_distinct(F.coalesce(F.col("score").cast("double"), F.lit(0.0))).alias("n"))
+    ranges = ranges.select("range", F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("above"))
+    place = F.dense_rank().over(W.partitionBy("range").orderBy(F.desc_nulls_last("score")))
+    return scored.withColumn("place", place).join(ranges, "range").select("name", "test", "val", "published", "score", (F.col("above") + F.col("place")).alias("place"))
 
 
 def target_gate(metrics: DataFrame, targets: DataFrame) -> DataFrame:

@@ -61,3 +61,18 @@ def test_ranges_rise_with_scores_and_no_label_is_one_window(spark):
     plan = S.auroc(spark.createDataFrame([("a", 1, 0.5)], "label string, y int, p double"), ["label"])._jdf.queryExecution().optimizedPlan().toString()
     windows = [x for x in plan.split("\n") if "Window [" in x]
     assert len(windows) == 2 and "[label" in windows[0] and any("_range" in x.split("],")[1] for x in windows)
+
+
+def test_exact_quantiles_and_places_over_ranges(spark):
+    import numpy as np
+
+    rnd = random.Random(8)
+    values = [rnd.choice([0.0, 0.25, -3.5, rnd.random(), rnd.gauss(0, 500)]) for _ in range(400)]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "p double").repartition(7)
+    shares = [0.0, 0.1, 0.333, 0.5, 0.75, 1.0]
+    assert S.exact_quantiles(df, "p", shares).first().quantiles == pytest.approx(np.quantile(values, shares).tolist())
+    assert S.exact_quantiles(df.where("p is null"), "p", [0.5]).first().quantiles == [None]
+    runs = spark.createDataFrame([(str(k), rnd.choice([None, 1.0, round(rnd.gauss(0, 3), 1)]), rnd.choice([None, 0.5])) for k in range(120)], "name string, test double, val double")
+    got = S.leaderboard(runs, runs.limit(0)).collect()
+    known = sorted({r.score for r in got if r.score is not None}, reverse=True)
+    assert all(r.place == (known.index(r.score) + 1 if r.score is not None else len(known) + 1) for r in got) and len(got) == 120
