@@ -129,8 +129,7 @@ def consistency(spark, sf):
     return C.consistency_rate(asserted(spark, sf), found(spark, sf), V.records(spark, sf))
 
 
-@query("R02_hallucinations", f"""SELECT a.record_id, a.label, f.label IS NULL AS unsupported, f.label IS NOT NULL AND g.label IS NULL AS ungrounded FROM {_ASSERTED} a LEFT JOIN {_FOUND} f USING (record_id, label)
-    LEFT JOIN (SELECT record_id, label FROM v_two WHERE p2 >= 0.5) g ON g.record_id = a.record_id AND g.label = a.label""")
+@query("R02_hallucinations", "SELECT c.record_id, c.code AS label, t.p < 0.5 AS unsupported, t.p >= 0.5 AND t.p2 < 0.5 AS ungrounded FROM v_codes c JOIN v_two t ON t.record_id = c.record_id AND t.label = c.code")
 def hallucinations(spark, sf):
     grounded = V.predictions(spark, sf, two=True).where("p2 >= 0.5").select("record_id", "label")
     return C.hallucinations(asserted(spark, sf), found(spark, sf), grounded)
@@ -141,7 +140,7 @@ def low(spark, sf):
     return C.low_confidence(found(spark, sf))
 
 
-@query("R04_exclusive_pairs", f"SELECT * FROM {_PAIRS}")
+@query("R04_exclusive_pairs", f"""SELECT record_id, a, b FROM (SELECT record_id, list(label) AS labels FROM {_FOUND} GROUP BY record_id) CROSS JOIN {_RULES} WHERE list_contains(labels, a) AND list_contains(labels, b)""")
 def exclusive(spark, sf):
     return C.exclusive_pairs(found(spark, sf), rules(spark, sf))
 

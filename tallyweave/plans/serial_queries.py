@@ -104,7 +104,8 @@ _CHANGES = """(SELECT prior_id, current_id, a.label, CASE WHEN a.p < 0.5 AND b.p
 _TRUE = f"(SELECT prior_id, current_id, unnest(new) AS label, 'new' AS change FROM {_CODED} UNION ALL SELECT prior_id, current_id, unnest(resolved), 'resolved' FROM {_CODED})"
 
 
-@query("P13_finding_changes", f"SELECT * FROM {_CHANGES}")
+@query("P13_finding_changes", """SELECT prior_id, current_id, label, CASE WHEN a < 0.5 THEN 'new' ELSE 'resolved' END AS change FROM (SELECT prior_id, current_id, label, max(p) FILTER (side = 0) AS a, max(p) FILTER (side = 1) AS b FROM (
+    SELECT prior_id, current_id, unnest([0, 1]) AS side, unnest([prior_id, current_id]) AS record_id FROM v_pairs) JOIN v_pred USING (record_id) GROUP BY ALL) WHERE abs(b - a) > 0.25 AND (a < 0.5) <> (b < 0.5)""")
 def finding_changes(spark, sf):
     return P.finding_changes(V.pairs(spark, sf), V.predictions(spark, sf))
 
