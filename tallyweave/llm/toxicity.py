@@ -227,13 +227,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 2_500,
         for batch in batches:
             words = [terms_of(t) for t in batch.column("text").to_pylist()]
             uses = [sorted(Counter(zip(w, ["", *w], strict=False)).items()) for w in words]
-            after = [np.array([zlib.crc32(b.encode("utf-8", "surrogatepass")) for (_, b), _ in u], np.int64) for u in uses]
+            after = [np.array([zlib.crc32(b.encode("utf-8", "surrogatepass")) for (_, b), _ in u], np.uint32).view(np.int32) for u in uses]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic"), pa.array([[t for (t, _), _ in u] for u in uses], pa.list_(pa.string())), pa.array(after, pa.list_(pa.int64())), pa.array([[n for _, n in u] for u in uses], pa.list_(pa.int64()))],
+                [batch.column("doc_id"), batch.column("toxic"), pa.array([[t for (t, _), _ in u] for u in uses], pa.list_(pa.string())), pa.array(after, pa.list_(pa.int32())), pa.array([[n for _, n in u] for u in uses], pa.list_(pa.int32()))],
                 names=["doc_id", "toxic", "terms", "after", "n"],
             )
 
-    found = rows.mapInArrow(run, "doc_id long, toxic int, terms array<string>, after array<long>, n array<long>").toArrow().combine_chunks()
+    found = rows.mapInArrow(run, "doc_id long, toxic int, terms array<string>, after array<int>, n array<int>").toArrow()
     found = found.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     ids, labels_of = found.column("doc_id").to_numpy(), found.column("toxic").to_numpy().astype(np.int64)
     if len(set(labels_of.tolist())) < 2:
@@ -245,14 +245,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 2_500,
     entries = coded.indices.to_numpy().astype(np.int64)
     after, times = (found.column(c).combine_chunks().flatten().to_numpy() for c in ("after", "n"))
     terms = {t: k for k, t in enumerate(coded.dictionary.to_pylist())}
+    del coded, lists, found
+    pa.default_memory_pool().release_unused()
     idf, unknown = _idf(docs, terms)
     idf = idf * telling_factor(entries, after, labels_of[owner], owner, len(terms), strength)
-    del after, coded, lists, found
+    del after
 
     # one weight for each (example, term); examples stand by their heaviest frequent term, so that a block's bounds are tight
     held, place = np.unique(owner * len(terms) + entries, return_inverse=True)
     who, term = held // len(terms), held % len(terms)
     weight = (1 + np.log(np.bincount(place, times))) * idf[term]
+    del owner, entries, held, place, times
     weight /= np.sqrt(np.bincount(who, weight**2, minlength=len(ids)))[who]
     uses = np.bincount(term, minlength=len(terms))
     column = np.full(len(terms), -1)
