@@ -35,18 +35,36 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_signals(spark: SparkSession, path: str, leads: int = 12) -> tuple[DataFrame, DataFrame]:
-    """(path, fs, signal) of the JSON files below ``path`` ({"fs": ..., "signal": [[...], ...]}), and the rejected (path, reason).
-
-    The axis of length ``leads`` is the lead axis; a signal that stands the
-    other way is turned.
+    """(path, fs, signal) of the signal files below ``path``, and the rejected (path, reason).
+
+    JSON is an object with ``signal`` (rows of numbers) and ``fs`` or
+    ``sampling_rate``, which must be positive, or the rows alone. Files that
+    end in csv or txt hold a row of numbers a line, parted by commas if the
+    first line has one, else by space; text after # is left out. Rows alone
+    and delimited files have a null rate. The axis of length ``leads`` is the
+    lead axis; a signal that stands the other way is turned. Other endings,
+    values that are no numbers, rows of unequal length and signals without a
+    lead axis are rejected; one bad file stops no other.
     """
-    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.from_json("value", "fs double, signal array<array<double>>").alias("x"))
-    s = raw.select("path", F.col("x.fs").alias("fs"), F.col("x.signal").alias("signal"))
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    raw = raw.withColumn("ending", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)))
+    whole = F.from_json("value", "fs double, sampling_rate double, signal array<array<double>>")
+    alone = F.from_json("value", "array<array<double>>")
+    lines = F.filter(F.transform(F.split(F.col("value"), r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, "#.*", ""))), lambda x: x != "")
+    by = F.when(F.get(lines, F.lit(0)).contains(","), F.lit(r"\s*,\s*")).otherwise(F.lit(r"\s+"))
+    table = F.transform(lines, lambda x: F.transform(F.split(x, by), lambda v: v.try_cast("double")))
+    text = F.col("ending").isin("csv", "txt")
+    s = raw.select("path", "ending", whole.alias("x"), alone.alias("y"), F.when(text, table).alias("z"))
+    s = s.select("path", "ending", F.coalesce("x.fs", "x.sampling_rate").alias("fs"), F.col("x.signal").isNotNull().alias("object"), F.coalesce("x.signal", "y", "z").alias("signal"))
     lengths = F.array_distinct(F.transform("signal", F.size))
     even = F.coalesce(F.size(lengths) == 1, F.lit(False))
-    first = F.when(even, lengths[0])
+    first = F.when(even, F.get(lengths, F.lit(0)))
     turned = F.transform(F.sequence(F.lit(0), first - 1), lambda i: F.transform("signal", lambda row: F.get(row, i)))
-    reason = F.when(F.col("signal").isNull(), "no signal").when(~even, "ragged").when((F.size("signal") != leads) & (first != leads), "no lead axis").when(~(F.coalesce("fs", F.lit(0.0)) > 0), "no rate")
+    broken = F.exists("signal", lambda row: row.isNull() | F.exists(row, lambda v: v.isNull()))
+    reason = (
+        F.when(~F.col("ending").isin("json", "csv", "txt"), "unknown ending").when(F.col("signal").isNull() | (F.size("signal") == 0), "no signal").when(broken, "no number").when(~even, "ragged")
+        .when((F.size("signal") != leads) & (first != leads), "no lead axis").when(F.col("object") & ~(F.coalesce("fs", F.lit(0.0)) > 0), "no rate")
+    )
     good = s.where(reason.isNull()).select("path", "fs", F.when(F.size("signal") == leads, F.col("signal")).otherwise(turned).alias("signal"))
     return good, s.where(reason.isNotNull()).select("path", reason.alias("reason"))
 
