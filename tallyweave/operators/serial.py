@@ -108,8 +108,11 @@ def gated_changes(diffs: DataFrame, floors: DataFrame, measures: DataFrame) -> D
     return j.withColumn("direction", F.when(F.col("significant"), F.when(F.col("diff") > 0, "longer").otherwise("shorter")))
 
 
-def finding_changes(pairs: DataFrame, scores: DataFrame, threshold: float = 0.5, least: float = 0.25) -> DataFrame:
-    """New and resolved findings: the threshold is crossed and the score moves by more than ``least``."""
+def finding_changes(pairs: DataFrame, scores: DataFrame, threshold: float = 0.5, least: float = 0.25, persistent: bool = False) -> DataFrame:
+    """New and resolved findings: the threshold is crossed and the score moves by more than ``least``.
+
+    With ``persistent`` also those that are over the threshold in both records.
+    """
     side = lambda s: scores.select(F.col("record_id").alias(f"{s}_id"), "label", F.col("p").alias(f"{s}_p"))
     a = pairs.select("prior_id", "current_id").join(side("prior"), "prior_id")
     b = pairs.select("prior_id", "current_id").join(side("current"), "current_id")
@@ -117,6 +120,7 @@ def finding_changes(pairs: DataFrame, scores: DataFrame, threshold: float = 0.5,
     p, c = F.coalesce("prior_p", F.lit(0.0)), F.coalesce("current_p", F.lit(0.0))
     moved = F.abs(c - p) > least
     state = F.when((p < threshold) & (c >= threshold) & moved, "new").when((p >= threshold) & (c < threshold) & moved, "resolved")
+    state = state.when((p >= threshold) & (c >= threshold), "persistent") if persistent else state
     return j.withColumn("change", state).where("change is not null").select("prior_id", "current_id", "label", "change")
 
 

@@ -110,6 +110,12 @@ def finding_changes(spark, sf):
     return P.finding_changes(V.pairs(spark, sf), V.predictions(spark, sf))
 
 
+@query("P13_finding_states", """SELECT prior_id, current_id, label, CASE WHEN a >= 0.5 AND b >= 0.5 THEN 'persistent' WHEN a < 0.5 THEN 'new' ELSE 'resolved' END AS change FROM (SELECT prior_id, current_id, label, max(p) FILTER (side = 0) AS a, max(p) FILTER (side = 1) AS b FROM (
+    SELECT prior_id, current_id, unnest([0, 1]) AS side, unnest([prior_id, current_id]) AS record_id FROM v_pairs) JOIN v_pred USING (record_id) GROUP BY ALL) WHERE a >= 0.5 AND b >= 0.5 OR abs(b - a) > 0.25 AND (a < 0.5) <> (b < 0.5)""")
+def finding_states(spark, sf):
+    return P.finding_changes(V.pairs(spark, sf), V.predictions(spark, sf), persistent=True)
+
+
 @query("P15_range_labels", """SELECT record_id, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a::VARCHAR || '-' || b::VARCHAR END, ',' ORDER BY a) AS runs FROM (SELECT record_id, min(n) AS a, max(n) AS b FROM (
     SELECT record_id, n, n - row_number() OVER (PARTITION BY record_id ORDER BY n) AS i FROM (SELECT DISTINCT record_id, code_idx AS n FROM v_codes JOIN v_dict USING (code))) GROUP BY record_id, i) GROUP BY record_id""")
 def ranges(spark, sf):
