@@ -170,6 +170,10 @@ class ByteBPE:
         except _SpaceRun:  # longer runs of white space are cut with what surrounds them in view
             return self._plain(text)
 
+    def forget(self) -> None:
+        """Let go of remembered pieces and words: a worker lives on into stages that need its memory."""
+        self.words = _Recent()
+
     def encode(self, text: str) -> bytes:
         """Token ids (native int32) of a whole text; the strings of added tokens become those tokens."""
         if self.cut is None or not any(s in text for s in self.special):
@@ -247,6 +251,7 @@ def encode_documents(df: DataFrame, tokenizer_path: str, *, text_col: str = "tex
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
                 names = [f.name for f in kept]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids], names=[*names, ids_col])
+        bpe.forget()
 
     return df.mapInArrow(run, schema)
 
