@@ -72,3 +72,13 @@ def test_passages_of_findings_and_their_codes(spark):
     assert context.collect() == [(1, "A")]
     told = spark.createDataFrame([(1, "A"), (1, "A"), (2, "A"), (1, "B")], "record_id long, code string")
     assert sorted(map(tuple, retrieval.attributed(told, context).collect())) == [("A", 2, 1), ("B", 1, 0)]
+
+
+def test_power_medians_keep_a_row_for_an_empty_set(spark):
+    rows = [("a", 500, 0.1, 0.2, 0.3), ("b", 900, 0.3, 0.4, None)]
+    table = spark.createDataFrame(rows, "label string, n_train long, width double, boot_width double, leverage double")
+    got = {r.kind: tuple(r)[1:] for r in subgroups.power_medians(table, ["c"], 400).collect()}
+    assert got["rare"] == got["target"] == (0, None, None, None)
+    assert got["all"] == (2, pytest.approx(0.2), pytest.approx(0.3), pytest.approx(0.3))
+    none = {r.kind: r.n_labels for r in subgroups.power_medians(table.limit(0), ["c"], 400).collect()}
+    assert none == {"rare": 0, "target": 0, "all": 0}
