@@ -161,3 +161,32 @@ def test_kneser_ney_sums_to_one_and_equals_plain_code(spark):
     for context in ("   ", "ant", "zzz", "zq "):
         keys = np.array([sum(symbol[x] << 6 * (3 - k) for k, x in enumerate(context)) + s for s in range(64)], np.uint32)
         assert math.isclose(np.exp(model._look_up(keys, 4)).sum(), 1, rel_tol=1e-4)
+
+
+def test_characters_beyond_the_alphabet_keep_their_own_probability(spark):
+    rnd = random.Random(12)
+    common = "".join(chr(0x61 + k) for k in range(26)) + "".join(chr(0x3B1 + k) for k in range(17)) + "".join(chr(0x430 + k) for k in range(32))
+    han = [chr(0x4E00 + k) for k in range(200)] + ["\U00020000", "\U0001F600"]
+    texts = ["".join(rnd.choices(common, k=3000)) for _ in range(8)] + ["".join(rnd.choices(han, range(202, 0, -1), k=600)), None, ""]
+    model = quality.fit_kneser_ney(documents(spark, list(enumerate(texts))))
+    n = Counter("".join(filter(None, texts)))
+    others = sorted(n, key=lambda c: (-n[c], c))[62:]
+    assert set(han) & set(n) <= set(others) and {int(model.table[ord(c)]) for c in others} == {63}
+    total = sum(n[c] + 1 for c in others) + 1
+    assert all(math.isclose(model.within[ord(c)], math.log((n[c] + 1) / total), rel_tol=1e-5) for c in others)
+    assert math.isclose(model.within[0x9FFF], -math.log(total), rel_tol=1e-5) and model.within[ord(" ")] == 0
+    usual, rare = max(others, key=n.get), min(others, key=n.get)
+    a, b = model.mean_log([usual * 40, rare * 40])
+    assert math.isclose(b - a, math.log((n[usual] + 1) / (n[rare] + 1)), rel_tol=1e-4)
+
+
+def test_prose_of_a_script_beyond_the_alphabet_is_kept(spark):
+    rnd = random.Random(13)
+    pool = [chr(0x4E00 + 3 * k) for k in range(60)]
+    script = lambda signs, n: " ".join("".join(rnd.choices(signs, range(len(signs), 0, -1), k=2)) for _ in range(n))
+    wide = "".join(chr(0x430 + k) for k in range(32)) + "".join(chr(0x3B1 + k) for k in range(17)) + "abcdefghijklmnopqrs"
+    rows = [(i, " ".join("".join(rnd.choices(wide, k=5)) for _ in range(400)), "aa") for i in range(40)]
+    rows += [(100 + i, script(pool, 200), "hh") for i in range(12)]
+    rows += [(200, script([chr(0x8000 + 7 * k) for k in range(400)], 200), "hh")]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(documents(spark, rows).withColumnRenamed("node", "lower")).collect()}
+    assert all(got[100 + i] for i in range(12)) and not got[200]
