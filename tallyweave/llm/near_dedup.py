@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import Staging, join_counted
 from .components import connected_components
-from .similarity import crowded_pairs, crowded_rows, mixed, neighbour_pairs, portions, verified_links, word_hashes
+from .similarity import crowded_rows, mixed, neighbour_pairs, portions, region_links, verified_links, word_hashes
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -130,9 +130,10 @@ def near_duplicates(
     192): in the sorted order where it has at most ``window`` + 1 documents,
     in blocks where it has more. Candidates are those whose share a pair at
     the threshold falls short of with a probability below 1e-5. A document first gives the likeliest
-    candidate of an order, and one with more takes part in further rounds,
-    against other components only, until none has more. All links are
-    confirmed on the full sets. A pair at 0.85 shares a region of some order
+    candidate of an order within the window, and one with more in a short region gives all of them in a second round,
+    against other components only. The rows of a long region that are outside
+    its largest component then meet all its rows, and links are confirmed
+    where they meet. All links are confirmed on the full sets. A pair at 0.85 shares a region of some order
     with a probability of 1 - 1e-6 (at 0.8: 1 - 1e-4). Equal sets are one node from the start, so
     that copies cost nothing.
 
@@ -167,31 +168,34 @@ def _decided(docs: DataFrame, shingle_words: int, num: int, den: int, window: in
     regions = reps.select("node", F.explode("keys").alias("key"))
     shared = regions.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     near = regions.join(shared, "key", "left_semi").select("node").distinct()
-    active = staging.save(reps.select("node", "doc", "mark", "sig", "keys", "deeps").dropDuplicates(["node"]).join(near, "node", "left_semi"), "active")
+    active = staging.save(reps.select("node", "doc", "mark", "n", "sig", "keys", "deeps").dropDuplicates(["node"]).join(near, "node", "left_semi"), "active")
 
     marked = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("mark"), "text")
     bodies = staging.save(active.select("node", "doc", "mark").join(marked, ["doc", "mark"]).select("node", "text").dropDuplicates(["node"]), "bodies")
     active = active.drop("doc", "mark")
-    links, parts, todo, keep, k = None, None, active, 1, 0
-    while True:
-        rows = todo.select("node", "sig", *(["part"] if parts is not None else []), F.posexplode(F.arrays_zip("keys", "deeps")).alias("tree", "z"))
+    to_sets = lambda t: list(shingle_sets(t, shingle_words))
+    least = estimate_floor(num / den)
+    links, parts, todo, crowded, searched = None, None, active, None, None
+    for k, keep in enumerate((1, 2 * window * _TREES)):  # a node of short regions has fewer pairs than the second
+        rows = todo.select("node", "n", "sig", *(["part"] if k else []), F.posexplode(F.arrays_zip("keys", "deeps")).alias("tree", "z"))
         rows = rows.select("*", F.col("z.keys").alias("key"), F.col("z.deeps").alias("deep")).drop("z")
-        least = estimate_floor(num / den)
+        rows = rows.join(searched, "key", "left_anti") if k else rows
         near = staging.save(neighbour_pairs(rows, window=window, keep=keep, least=least, orders=_ORDERS), f"near-{k}")
-        crowded = crowded_rows(rows.drop("deep", "tree"), near, staging, f"crowded-{k}")
-        found = near.where("b is not null").unionByName(crowded_pairs(crowded, keep=keep, least=least)).distinct()
-        found = staging.save(found, f"found-{k}")
-        staging.drop(f"near-{k}", f"near-{k}-keys", f"crowded-{k}", f"crowded-{k}-keys")
-        new = verified_links(
-            found.where("a <> b"), bodies, lambda t: list(shingle_sets(t, shingle_words)), staging, f"verify-{k}", num=num, den=den
-        )
-        links = new if links is None else links.unionByName(new)
+        new = verified_links(near.where("a <> b"), bodies, to_sets, staging, f"verify-{k}", num=num, den=den)
+        links = links.unionByName(new) if k else new
         parts = connected_components(links, staging, f"parts-{k}")
-        more = found.where("a = b").select(F.col("a").alias("node"))
+        now = crowded_rows(rows.select("key", "node", "n", "sig", "tree"), near, staging, f"crowded-{k}")
+        crowded = crowded.unionByName(now) if k else now
+        more = near.where("a = b").select(F.col("a").alias("node"))
         if more.isEmpty():
             break
-        k, keep = k + 1, keep * 8
+        searched = near.where("b is null").select(F.col("a").alias("key"))
         todo = active.join(more, "node", "left_semi").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    crowded = crowded.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    new = staging.save(region_links(crowded, bodies, to_sets, staging, "regions", num=num, den=den, least=least, orders=_ORDERS), "regions")
+    staging.drop("near-0", "near-1", "crowded-0", "crowded-1", "crowded-0-keys", "crowded-1-keys", "regions-needed")
+    if not new.isEmpty():
+        parts = connected_components(links.unionByName(new), staging, "joined")
     parts = parts.withColumn("least", F.col("component"))
     if repeated:  # a component's smallest node need not be its smallest doc_id
         linked = staging.save(parts.drop("least").join(equal.select("node", "rep"), "node"), "linked")

@@ -241,3 +241,26 @@ def test_component_of_a_hub_beyond_the_broadcast_bound(spark):
     edges = [(7, 100 + i) for i in range(12_000)] + [(100 + i, 100_000 + i) for i in range(500)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(9), Staging(spark, "t"), "hub").collect()}
     assert len(got) == 12_501 and set(got.values()) == {7}
+
+
+def test_candidates_of_a_crowded_region_grow_with_its_rows(spark, monkeypatch):
+    rnd = random.Random(14)
+    base = [f"b{k}" for k in range(300)]
+    rows = []
+    for i in range(700):  # any two alike by signature, few linked
+        w = list(base)
+        for k in rnd.sample(range(300), 8 if i % 10 else 1):
+            w[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(w)))
+    listed, verified = [], near_dedup.verified_links
+
+    def counted(pairs, *args, **options):
+        listed.append(pairs.count())
+        return verified(pairs, *args, **options)
+
+    monkeypatch.setattr(near_dedup, "verified_links", counted)
+    got = near_dedup.near_duplicates(documents(spark, rows), shingle_words=3, num=85, den=100, window=8).collect()
+    sets = {d: shingles(t, 3) for d, t in rows}
+    want = components(sets, lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]))
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert sum(listed) <= 24 * len(rows)
