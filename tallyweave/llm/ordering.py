@@ -145,7 +145,7 @@ def training_order(
     """
     spark = docs.sparkSession
     staging = staging or Staging(spark, "order")
-    rows = staging.save(packed_sequences(docs, ranks_path, length), "sequences", compression="zstd")
+    rows = staging.save(packed_sequences(docs, ranks_path, length), "sequences", compression="zstd", level=5)
     group = ["file", "start", "part"]
     counts = staging.save(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")), "counts")
     before = F.sum("n").over(W.orderBy(*group).rowsBetween(W.unboundedPreceding, -1))  # a row per input split
@@ -164,15 +164,22 @@ def training_order(
     shared = spark.sparkContext.broadcast(common)
     pieces = "array<struct<doc_id:long,piece_no:int,at:int,n_tokens:int>>"
 
+    def places(batches):
+        for batch in batches:
+            slot = feistel_slots(batch.column("index").to_numpy(), n, key)
+            yield pa.RecordBatch.from_arrays([batch.column("pieces"), pa.array(slot)], names=["pieces", "slot"])
+
     def slots(batches):
-        packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(shared.value))
+        packer = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(shared.value))
         for batch in batches:
             slot = feistel_slots(batch.column("index").to_numpy(), n, key)
             tokens = [packer.compress(t) for t in batch.column("tokens").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), batch.column("pieces"), pa.array(slot)], names=["tokens", "pieces", "slot"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(slot)], names=["tokens", "slot"])
 
-    numbered = rows.join(firsts, group).select("tokens", "pieces", (F.col("first") + F.col("local")).alias("index"))
-    placed = numbered.mapInArrow(slots, f"tokens binary, pieces {pieces}, slot long")
+    numbered = rows.join(firsts, group).withColumn("index", F.col("first") + F.col("local"))
+    # pieces stay where they are: only tokens are shuffled
+    found = staging.save(numbered.select("pieces", "index").mapInArrow(places, f"pieces {pieces}, slot long"), "placed", compression="zstd")
+    placed = numbered.select("tokens", "index").mapInArrow(slots, "tokens binary, slot long")
     # slots are a permutation, so equal ranges of shards are equal shares; no sampling is needed
     dealt = placed.repartitionById(tasks, F.expr(f"cast((slot div {shard_sequences}) * {tasks} div {shards} as int)")).sortWithinPartitions("slot")
     stride = 2 * length
@@ -199,13 +206,15 @@ def training_order(
                     open_shard, out = shard, store.open_output_stream(f"{base}/shard-{shard:08d}.bin.part-{attempt}")
                 tokens = opener.decompress(packed)
                 out.write(tokens + filler * ((stride - len(tokens)) // 2))
-            yield pa.RecordBatch.from_arrays([batch.column("pieces"), batch.column("slot")], names=["pieces", "slot"])
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
         if out is not None:
             close()
 
-    written = staging.save(dealt.mapInArrow(write, f"pieces {pieces}, slot long"), "written")
+    written = dealt.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if written != n:
+        raise RuntimeError(f"{written} of {n} sequences were written")
     staging.drop("sequences", "counts")
-    found = written.select("slot", F.explode("pieces").alias("p"))
+    found = found.select("slot", F.explode("pieces").alias("p"))
     offset = (F.col("slot") % shard_sequences) * stride + 2 * F.col("p.at")
     shard = F.expr(f"slot div {shard_sequences}")
     return found.select("p.doc_id", "p.piece_no", "slot", shard.alias("shard"), offset.cast("long").alias("byte_offset"), "p.n_tokens")

@@ -77,3 +77,16 @@ def test_shards_hold_every_sequence_at_its_slot(spark, tmp_path):
     other = {(r.doc_id, r.piece_no, r.slot) for r in ordering.training_order(docs, path, f"{out}2", length=16, shard_sequences=10).collect()}
     assert other == {(r.doc_id, r.piece_no, r.slot) for r in got}
     assert ordering.training_order(docs.limit(0), path, f"{out}3").count() == 0
+
+
+def test_only_tokens_and_slots_are_shuffled(spark, tmp_path, monkeypatch):
+    docs = documents(spark, [(i, f"text number {i} " * (i % 9)) for i in range(40)])
+    dealt, deal = [], type(docs).repartitionById
+
+    def noted(df, *args):
+        dealt.append(df.columns)
+        return deal(df, *args)
+
+    monkeypatch.setattr(type(docs), "repartitionById", noted)
+    got = ordering.training_order(docs, tokenizer_file("byte_bpe_50k.tiktoken"), f"file://{tmp_path}/shards", length=16, shard_sequences=10)
+    assert got.count() and dealt == [["tokens", "slot"]]
