@@ -1,4 +1,4 @@
-"""Connected components of an edge table: union-find within partitions, then star contraction between them."""
+"""Connected components of an edge table: union-find within partitions, then one bounded task, or star contraction between them."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from .common import Staging
 
+#: What is left of the edges after each partition's union-find is finished by one task up to so many; beyond it rounds of stars run.
+_FEW = 500_000
+
 
 class UnionFind(dict):
     """Roots by node; the smaller node is the root."""
@@ -56,22 +59,38 @@ def _with_least(edges: DataFrame, total: int) -> DataFrame:
 
 
 def _mark(edges: DataFrame) -> tuple:
-    """Number and fingerprint of distinct edges."""
+    """Number and fingerprint of edges."""
     return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("hi", "lo")), F.lit(0))).first())
 
 
-def connected_components(edges: DataFrame, staging: Staging, name: str) -> DataFrame:
+def _solved(batches):
+    """(node, component) of all nodes of the edges."""
+    known = UnionFind()
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            known.join(a, b)
+    nodes = list(known.keys() | known.values())
+    roots = [known.find(x) for x in nodes]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], names=["node", "component"])
+
+
+def connected_components(edges: DataFrame, staging: Staging, name: str, *, few: int = _FEW) -> DataFrame:
     """(node, component) for every node of ``edges`` (a long, b long); the component is its smallest node.
 
-    Each partition is first reduced to a spanning forest. Rounds of large and
-    small stars then link every node to the smallest node it can see, until
-    no round changes anything. Minima are summed by partial aggregation and
-    those of hubs are broadcast, so no task holds a whole component. Every
-    round is written to the shared checkpoint folder. Null ends and loops are
-    ignored; no edges give no rows.
+    Each partition is first reduced to a spanning forest. Up to ``few`` edges
+    that this leaves are joined by one task, which so holds a bounded number
+    of nodes. More take rounds of large and small stars, which link every node
+    to the smallest node it can see, until no round changes anything. Minima
+    are summed by partial aggregation and those of hubs are broadcast, so no
+    task holds a whole component. Every round is written to the shared
+    checkpoint folder. Null ends and loops are ignored; no edges give no rows.
     """
     pairs = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-    stars = staging.save(pairs.mapInArrow(_forest, "hi long, lo long").distinct(), f"{name}-0")
+    stars = staging.save(pairs.mapInArrow(_forest, "hi long, lo long"), f"{name}-0")
+    if 0 < stars.count() <= few:
+        solved = staging.save(stars.coalesce(1).mapInArrow(_solved, "node long, component long"), f"{name}-solved")
+        staging.drop(f"{name}-0")
+        return solved
     k, mark = 0, _mark(stars)
     while mark[0]:
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(stars.select(F.col("lo").alias("u"), F.col("hi").alias("v")))

@@ -243,6 +243,22 @@ def test_component_of_a_hub_beyond_the_broadcast_bound(spark):
     assert len(got) == 12_501 and set(got.values()) == {7}
 
 
+def test_few_edges_take_three_jobs_and_many_the_same_rounds(spark):
+    rnd = random.Random(15)
+    edges = [(rnd.randrange(900), rnd.randrange(900)) for _ in range(500)] + [(1000, 1000 + i) for i in range(9_000)] + [(None, 3), (5, 5)]
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(9).checkpoint()
+    sc, got = spark.sparkContext, {}
+    for few in (0, 500_000):
+        sc.setJobGroup(group := f"components-{few}", "")
+        got[few] = sorted(map(tuple, connected_components(frame, Staging(spark, "t"), "few", few=few).collect()))
+        jobs = len(sc.statusTracker().getJobIdsForGroup(group))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got[0] == got[500_000] and len(got[0]) == len({n for n, _ in got[0]})
+    up = components({n: n for e in edges[:500] for n in e if e[0] != e[1]}, lambda a, b: (a, b) in held or (b, a) in held) if (held := set(edges[:500])) else {}
+    assert {n: c for n, c in got[0] if n < 1000} == up
+    assert jobs <= 6  # forest, count, last task and the reading here; one round alone took more
+
+
 def test_candidates_of_a_crowded_region_grow_with_its_rows(spark, monkeypatch):
     rnd = random.Random(14)
     base = [f"b{k}" for k in range(300)]
