@@ -19,8 +19,9 @@ from .common import hash32, in_fold
 
 _TERM = re.compile(r"\w+")
 _BLOCK = 64
-#: Texts scored together.
+#: Texts scored together, and postings that are summed at once: they bound a task's memory, not results.
 _TEXTS = 256
+_POSTS = 1 << 18
 
 
 def terms_of(text: str | None) -> list[str]:
@@ -90,10 +91,18 @@ class LabelledIndex:
         often = column >= 0
         query = np.zeros((n, self.dense.shape[1]), np.float32)
         query[doc[often], column[often]] = w[often]
+        owner, held = doc[~often], w[~often]
         first, last = self.post_at[term[~often]], self.post_at[term[~often] + 1]
-        posts = _ranges(first, last)
-        key = np.repeat(doc[~often], last - first) * len(self.dense) + self.places[posts]
-        score = np.bincount(key, self.weights[posts] * np.repeat(w[~often], last - first), minlength=n * len(self.dense)).astype(float).reshape(n, -1)
+        score, of_doc = np.zeros((n, len(self.dense))), np.searchsorted(owner, np.arange(n + 1))
+        upto = np.r_[0, np.cumsum(last - first)][of_doc]
+        a = 0
+        while a < n:  # texts of some _POSTS postings together, or one text
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] + _POSTS, "right")) - 1)
+            at = slice(of_doc[a], of_doc[b])
+            size, posts = last[at] - first[at], _ranges(first[at], last[at])
+            key = np.repeat(owner[at] - a, size) * len(self.dense) + self.places[posts]
+            score[a:b] = np.bincount(key, self.weights[posts] * np.repeat(held[at], size), minlength=(b - a) * len(self.dense)).reshape(b - a, -1)
+            a = b
         bound = score.reshape(n, blocks, _BLOCK).max(2) + query @ self.peaks
         exact, k = np.zeros_like(score), self.neighbours + (leave_out is not None)
         few = min(blocks, 2 + k // _BLOCK)
@@ -152,6 +161,7 @@ def _idf(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, float]:
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[rows, total[at]])], names=["term", "n"])
 
     counts = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     at, found = counts.column("term").to_numpy(), counts.column("n").to_numpy()
     n, df = int(found[at < 0].sum()), np.zeros(len(terms))
     df[at[at >= 0]] = found[at >= 0]
@@ -172,11 +182,25 @@ def telling_factor(entries: np.ndarray, after: np.ndarray, toxic: np.ndarray, ow
     each use, ``after`` a hash of the word before it, ``toxic`` its example's
     label, ``owner`` its example.
     """
+    if not len(entries):
+        return np.ones(size)
     ratios = []
     for key in (owner, after):
-        kinds, kind = np.unique(key, return_inverse=True)
-        uses = np.unique((entries * len(kinds) + kind) * 2 + toxic)
-        term = uses // (2 * len(kinds))
+        kind = key.astype(np.int64) - int(key.min())
+        kinds = int(kind.max()) + 1
+        if size * kinds >= 1 << 62:
+            kind = np.unique(kind, return_inverse=True)[1]
+            kinds = int(kind.max()) + 1
+        # in place, as the driver holds a use of every term here
+        uses = entries.astype(np.int64)
+        uses *= kinds
+        uses += kind
+        del kind
+        uses *= 2
+        uses += toxic
+        uses.sort()
+        uses = uses[np.r_[True, uses[1:] != uses[:-1]]]
+        term = uses // (2 * kinds)
         own, other = (np.bincount(term[uses % 2 == y], minlength=size).astype(float) for y in (1, 0))
         totals = [len(np.unique(owner[toxic == y])) for y in (1, 0)] if key is owner else [int((uses % 2 == y).sum()) for y in (1, 0)]
         ratios.append(_ratio(own, other, *totals))
@@ -240,22 +264,32 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 2_500,
         none, real = np.zeros(0, np.int64), np.zeros(0)
         return LabelledIndex({}, real, 1.0, none, real, real, np.zeros(1, np.int64), none, real, none, np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), neighbours, prior)
     lists = found.column("terms").combine_chunks()
-    owner = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
     coded = lists.flatten().dictionary_encode()
-    entries = coded.indices.to_numpy().astype(np.int64)
+    entries = coded.indices.to_numpy().copy()
     after, times = (found.column(c).combine_chunks().flatten().to_numpy() for c in ("after", "n"))
     terms = {t: k for k, t in enumerate(coded.dictionary.to_pylist())}
     del coded, lists, found
     pa.default_memory_pool().release_unused()
     idf, unknown = _idf(docs, terms)
-    idf = idf * telling_factor(entries, after, labels_of[owner], owner, len(terms), strength)
+    idf = idf * telling_factor(entries, after, labels_of.astype(np.int8)[owner], owner, len(terms), strength)
     del after
 
     # one weight for each (example, term); examples stand by their heaviest frequent term, so that a block's bounds are tight
-    held, place = np.unique(owner * len(terms) + entries, return_inverse=True)
-    who, term = held // len(terms), held % len(terms)
-    weight = (1 + np.log(np.bincount(place, times))) * idf[term]
-    del owner, entries, held, place, times
+    held = owner.astype(np.int64)
+    held *= len(terms)
+    held += entries
+    del owner, entries
+    place = np.argsort(held, kind="stable")
+    held, times = held[place], times[place]
+    del place
+    fresh = np.ones(len(held), bool)
+    fresh[1:] = held[1:] != held[:-1]
+    uses = np.add.reduceat(times, np.flatnonzero(fresh), dtype=np.int64) if len(held) else times
+    held = held[fresh]
+    who, term = held // max(1, len(terms)), held % max(1, len(terms))
+    weight = (1 + np.log(uses)) * idf[term]
+    del held, times, fresh, uses
     weight /= np.sqrt(np.bincount(who, weight**2, minlength=len(ids)))[who]
     uses = np.bincount(term, minlength=len(terms))
     column = np.full(len(terms), -1)
@@ -295,7 +329,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 2_500,
     fit = fit.sort_by([("doc_id", "ascending"), ("z", "ascending")])
     y = fit.column("toxic").to_numpy()
     index.slope, index.shift = _calibrate(fit.column("z").to_numpy(), y.astype(float), np.array([1 / share[k] for k in y.tolist()]))
-    shared.unpersist()
+    shared.destroy()
+    where.destroy()
     return index
 
 

@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -94,6 +95,50 @@ def test_nearest_examples_equal_brute_force(spark):
         assert np.allclose(s[at], want, atol=1e-5)
 
 
+def peak_of(run):
+    tracemalloc.start()
+    out = run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_telling_factor_holds_few_copies_of_the_uses():
+    rng, n, size = np.random.default_rng(7), 400_000, 3_000
+    owner = np.sort(rng.integers(0, 900, n)).astype(np.int32)
+    entries, after = rng.integers(0, size, n).astype(np.int32), rng.integers(-(1 << 31), 1 << 31, n).astype(np.int32) >> 20
+    toxic = (owner % 3 == 0).astype(np.int8)
+    got, peak = peak_of(lambda: toxicity.telling_factor(entries, after, toxic, owner, size, 10.0))
+    ratios = []
+    for key, totals in ((owner, [len({*owner[toxic == y].tolist()}) for y in (1, 0)]), (after, None)):
+        uses = {*zip(entries.tolist(), key.tolist(), toxic.tolist(), strict=True)}
+        own, other = (np.bincount([t for t, _, z in uses if z == y], minlength=size).astype(float) for y in (1, 0))
+        ratios.append(toxicity._ratio(own, other, *(totals or [sum(z == y for *_, z in uses) for y in (1, 0)])))
+    assert np.allclose(got, 1 + np.minimum(*ratios) / 10.0)
+    assert peak < 45 * n  # bytes; it was 56 a use
+    assert len(toxicity.telling_factor(entries[:0], after[:0], toxic[:0], owner[:0], 0, 10.0)) == 0
+
+
+def test_scoring_many_postings_takes_bounded_memory():
+    rng, n, terms, each = np.random.default_rng(8), 1_024, 400, 256
+    post_at = np.arange(terms + 1) * each
+    places = np.concatenate([np.sort(rng.choice(n, each, replace=False)) for _ in range(terms)]).astype(np.int32)
+    index = toxicity.LabelledIndex(
+        {str(t): t for t in range(terms)}, np.ones(terms), 1.0, np.arange(n), np.zeros(n), np.ones(n), post_at, places,
+        rng.random(terms * each).astype(np.float32), np.full(terms, -1), np.zeros((n, 1), np.float32), np.zeros((1, n // 64), np.float32), 5, 0.1,
+    )
+    texts = [{str(t): 1 for t in rng.choice(terms, 200, replace=False).tolist()} for _ in range(64)]
+    found, peak = peak_of(lambda: index.nearest(texts))
+    for text, (at, cosine) in zip(texts, found, strict=True):
+        score = np.zeros(n)
+        for t in map(int, text):
+            own = slice(post_at[t], post_at[t + 1])
+            score[places[own]] += index.weights[own].astype(float) / math.sqrt(200)
+        best = np.argsort(-score, kind="stable")[:5]
+        assert at.tolist() == best.tolist() and np.allclose(cosine, np.minimum(score[best], 1))
+    assert peak < 40e6  # 3.3 million postings; it was 93 MB
+
+
 def base_measures(text):
     w = words(text)
     windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
