@@ -216,7 +216,7 @@ def repeated_lines(
     """
     staging = staging or Staging(docs.sparkSession, "lines")
     few = lambda df: F.broadcast(df) if df.count() <= _FEW else df
-    lines = staging.save(line_table(docs.where("doc_id is not null").select("doc_id", "text"), chars), "lines", compression="zstd")
+    lines = staging.save(line_table(docs.where("doc_id is not null").select("doc_id", "text"), chars), "lines", compression="zstd", level=1)
     lines = _settled(lines, staging)
     signed = lines.where("bands is not null")
     rows = signed.select(F.explode("bands").alias("key"), F.col("line").alias("node"))
