@@ -39,12 +39,13 @@ def byte_symbols() -> dict[str, int]:
 class _Recent:
     """A bounded memory of two generations: what is asked for again outlives the change."""
 
-    def __init__(self):
+    def __init__(self, most: int):
+        self.most = most
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
     def put(self, key: str, value: bytes) -> bytes:
-        if len(self.now) >= _CACHE // 2:
+        if len(self.now) >= self.most // 2:
             self.before = dict(self.now)
             self.now.clear()
         self.now[key] = value
@@ -56,9 +57,10 @@ class _Recent:
 
 
 class ByteBPE:
-    """Encoder and decoder for one tokenizer file (the JSON text of a byte-level BPE)."""
+    """Encoder and decoder for one tokenizer file (the JSON text of a byte-level BPE) that remembers at most ``most`` pieces and as many words."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, most: int | None = None):
+        self.most = most or _CACHE
         spec = json.loads(text)
         model, symbols = spec["model"], byte_symbols()
         to_bytes = lambda s: bytes(symbols[c] for c in s)
@@ -87,7 +89,7 @@ class ByteBPE:
         self.suffixes.make_automaton()
         self.may_follow: dict[int, bool] = {}
         self.table = [self.bytes.get(i, b"") for i in range(max(self.bytes) + 1)]
-        self.known, self.words = _Recent(), _Recent()
+        self.known, self.words = _Recent(self.most), _Recent(self.most)
         self.pieces = regex.compile(PIECES).findall
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
@@ -122,7 +124,7 @@ class ByteBPE:
         pair = before << 24 | token
         ok = self.may_follow.get(pair)
         if ok is None:
-            if len(self.may_follow) >= 2 * _CACHE:
+            if len(self.may_follow) >= 2 * self.most:
                 self.may_follow.clear()
             ok = self.may_follow[pair] = self._boundary_holds(before, token, 1 << 62)
         return ok
@@ -172,7 +174,7 @@ class ByteBPE:
 
     def forget(self) -> None:
         """Let go of remembered pieces and words: a worker lives on into stages that need its memory."""
-        self.known, self.words = _Recent(), _Recent()
+        self.known, self.words = _Recent(self.most), _Recent(self.most)
 
     def encode(self, text: str) -> bytes:
         """Token ids (native int32) of a whole text; the strings of added tokens become those tokens."""
@@ -203,11 +205,11 @@ class _SpaceRun(Exception):
 _LOADED: dict[int, ByteBPE] = {}
 
 
-def _loaded(shared) -> ByteBPE:
+def _loaded(shared, most: int | None = None) -> ByteBPE:
     """One encoder per Python worker; the file's text comes by broadcast."""
     if shared.value[0] not in _LOADED:
         _LOADED.clear()
-        _LOADED[shared.value[0]] = ByteBPE(shared.value[1])
+        _LOADED[shared.value[0]] = ByteBPE(shared.value[1], most)
     return _LOADED[shared.value[0]]
 
 
@@ -224,10 +226,32 @@ def _slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(k, rows)
 
 
-def encode_documents(df: DataFrame, tokenizer_path: str, *, text_col: str = "text", ids_col: str = "token_ids", keep_text: bool = True) -> DataFrame:
+def _encoded(batches, shared, text_col: str, names: list[str], ids_col: str, lean: bool) -> Iterator[pa.RecordBatch]:
+    """The columns ``names`` and token ids of every batch."""
+    bpe = _loaded(shared, _CACHE // 4 if lean else None)
+    try:
+        for whole in batches:
+            for batch in _slices(whole):
+                texts = batch.column(text_col).to_pylist()
+                found = [bpe.encode(t) if t else b"" for t in texts]
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int64) // 4
+                values = np.frombuffer(b"".join(found), np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids], names=[*names, ids_col])
+    finally:
+        bpe.forget()
+        if lean:
+            _LOADED.clear()
+
+
+def encode_documents(
+    df: DataFrame, tokenizer_path: str, *, text_col: str = "text", ids_col: str = "token_ids", keep_text: bool = True, lean: bool = False
+) -> DataFrame:
     """Add ``ids_col`` (array<int>): the token ids of every whole text, no special tokens added.
 
     Without ``keep_text`` the texts themselves are not sent back from Python.
+    With ``lean`` a worker remembers a quarter of the pieces and words and lets
+    go of the encoder after each task, for sessions that run other stages too.
 
     Null text encodes like the empty text, to an empty array. Texts of any
     length are encoded whole, in time linear in their length. Row order and
@@ -240,20 +264,8 @@ def encode_documents(df: DataFrame, tokenizer_path: str, *, text_col: str = "tex
     kept = [f for f in df.schema.fields if keep_text or f.name != text_col]
     schema = T.StructType([*kept, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
 
-    def run(batches):
-        bpe = _loaded(shared)
-        for whole in batches:
-            for batch in _slices(whole):
-                texts = batch.column(text_col).to_pylist()
-                found = [bpe.encode(t) if t else b"" for t in texts]
-                ends = np.cumsum([0, *map(len, found)], dtype=np.int64) // 4
-                values = np.frombuffer(b"".join(found), np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
-                names = [f.name for f in kept]
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids], names=[*names, ids_col])
-        bpe.forget()
-
-    return df.mapInArrow(run, schema)
+    names = [f.name for f in kept]
+    return df.mapInArrow(lambda batches: _encoded(batches, shared, text_col, names, ids_col, lean), schema)
 
 
 def decode_documents(df: DataFrame, tokenizer_path: str, *, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:

@@ -229,10 +229,11 @@ def repeated_lines(
     to_sets = lambda t: shingle_sets(t, chars)
     links = linked_pairs(found, bodies, to_sets, num=num, den=den)
     links = links.unionByName(crowded_links(crowded, bodies, to_sets, num=num, den=den))
+    links = staging.save(links, "links")  # else one task feeds two Python workers, and all of them live on
     parts = connected_components(links, staging, "parts").withColumnRenamed("node", "line")
     grouped = lines.select("doc_id", "which", "line_no", "line").join(few(parts), "line", "left")
     grouped = staging.save(grouped.select("doc_id", "which", "line_no", F.coalesce("component", "line").alias("group")), "grouped")
-    staging.drop("lines", "settled-0", "found", "nodes", "bodies", "crowded")
+    staging.drop("lines", "settled-0", "found", "nodes", "bodies", "crowded", "links")
     place = F.struct("doc_id", "which", "line_no")
     leaders = grouped.groupBy("group").agg(F.min(place).alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     leaders = staging.save(leaders, "leaders")

@@ -1,9 +1,12 @@
 import hashlib
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tallyweave.llm import bpe
 from tallyweave.llm.queries import tokenizer_file
 
@@ -50,3 +53,23 @@ def test_round_trip_of_rows(spark):
     assert digests[1]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     assert digests[2]["n_tokens"] == 0 and digests[2]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
     assert bpe.encode_documents(docs.limit(0), PATH).count() == 0
+
+
+def test_a_lean_task_lets_go_of_the_encoder(monkeypatch):
+    made, shared = [], SimpleNamespace(value=(1, open(PATH).read()))
+    monkeypatch.setattr(bpe, "ByteBPE", lambda *a, own=bpe.ByteBPE: made.append(own(*a)) or made[-1])
+    texts = ["Hello  world\n", None, "", "x y " * 900]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(texts)], names=["doc_id", "text"])
+    plain, lean = ([b.to_pylist() for b in bpe._encoded([batch], shared, "text", ["doc_id"], "ids", k)] for k in (False, True))
+    assert plain == lean
+    assert not bpe._LOADED
+    bpe._LOADED.clear()
+    [*bpe._encoded([batch], shared, "text", ["doc_id"], "ids", True)]
+    assert not bpe._LOADED and made[-1].known.most == bpe._CACHE // 4
+
+
+def test_the_pipeline_encodes_lean(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(corpus_pipeline.bpe, "encode_documents", lambda df, path, **options: asked.update(options) or df)
+    corpus_pipeline.encode(spark, documents(spark, [(1, "a")]), "")
+    assert asked["lean"]

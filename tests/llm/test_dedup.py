@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 
 import corpus_pipeline
 from tallyweave.llm import line_dedup, near_dedup, similarity
@@ -280,3 +281,22 @@ def test_candidates_of_a_crowded_region_grow_with_its_rows(spark, monkeypatch):
     want = components(sets, lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]))
     assert {r.doc_id: r.component_id for r in got} == want
     assert sum(listed) <= 24 * len(rows)
+
+
+def test_no_task_of_line_dedup_feeds_two_python_workers(spark, monkeypatch):
+    plans, own = [], line_dedup.connected_components
+    monkeypatch.setattr(line_dedup, "connected_components", lambda links, *a: plans.append(links._jdf.queryExecution().toString()) or own(links, *a))
+    docs = documents(spark, [(1, "a line that is long enough"), (2, "a line that is long enough!"), (3, "a line of its own")])
+    assert {r.doc_id: r.n_removed for r in line_dedup.line_decisions(docs).collect()} == {1: 0, 2: 1, 3: 0}
+    assert plans and not any("MapInArrow" in p for p in plans)
+
+
+def test_a_portion_of_shingles_takes_bounded_memory():
+    rnd = random.Random(21)
+    texts = [" ".join(f"w{rnd.randrange(5000)}" for _ in range(400)) for _ in range(1000)]
+    tracemalloc.start()
+    sets = [len(x) for x in near_dedup.shingle_sets(texts, 5)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sets == [len(shingles(t, 5)) for t in texts]
+    assert peak < 24 << 20
