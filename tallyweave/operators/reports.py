@@ -152,7 +152,11 @@ def character_weights(docs: DataFrame, least_df: int = 2) -> DataFrame:
 
 
 def context_block(df: DataFrame, most: int = 700) -> DataFrame:
-    """(id, context): the passages (id, rank, title, text) of an id, numbered and titled, cut at ``most`` characters on a word boundary."""
-    cut = F.when(F.length("text") <= most, F.col("text")).otherwise(F.concat(F.regexp_replace(F.substring("text", 1, most), r"\s+\S*$", ""), F.lit(" ...")))
+    """(id, context): the passages (id, rank, title, text) of an id, numbered and titled, cut at ``most`` characters on a word boundary.
+
+    The cut is made at the last space of the part, be it its last character. Null for an id none of whose passages has a line.
+    """
+    cut = F.when(F.length("text") <= most, F.col("text")).otherwise(F.concat(F.regexp_replace(F.substring("text", 1, most), r"[\t\n\f\r ]+[^\t\n\f\r ]*\z", ""), F.lit(" ...")))
     item = F.struct("rank", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "title", F.lit(": "), cut).alias("line"))
-    return df.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["line"]), "\n").alias("context"))
+    lines = F.array_compact(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["line"]))
+    return df.groupBy("id").agg(F.when(F.size(lines) > 0, F.array_join(lines, "\n")).alias("context"))

@@ -125,3 +125,9 @@ def test_manifests_lines_cache_and_reviews(spark, tmp_path):
         files.write_review(review.unionByName(spark.createDataFrame([("h", "maybe")], review.schema)), f"file://{tmp_path}/r")
     files.write_review(review, f"file://{tmp_path}/r")
     assert spark.read.parquet(f"file://{tmp_path}/r").count() == 4
+
+
+def test_context_is_cut_at_a_space_that_ends_the_part(spark):
+    rows = [(1, 0, "u", "ab cd\nef"), (1, 1, "v", "ab cd ef"), (1, 2, "w", "ab\x0bcd ef"), (1, 3, "x", "ab"), (2, None, "y", "z")]
+    got = {r.id: r.context for r in R.context_block(spark.createDataFrame(rows, "id long, rank int, title string, text string"), most=6).collect()}
+    assert got == {1: "[0] u: ab cd ...\n[1] v: ab cd ...\n[2] w: ab\x0bcd ...\n[3] x: ab", 2: None}
