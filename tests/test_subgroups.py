@@ -1,8 +1,10 @@
 """Prediction rows of chosen records, resamples and paired tests against plain counting."""
 
 import hashlib
+import math
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -49,3 +51,18 @@ def test_resampled_auroc_equals_rows_taken_once_for_each_replicate(spark, monkey
     for score in ("p", "p2"):
         want = scoring.auroc(subgroups.replicate(df, 12), ["sex", "label", "rep"], score, weight=F.col("w"))
         assert plain(want.collect()) == plain(got.where(F.col("of") == score).select(*want.columns).collect())
+
+
+def test_paired_test_of_large_counts_takes_time_in_proportion(spark):
+    def found(b, c, block=65_536):
+        rows = spark.range(b + c).select((F.col("id") < b).alias("x"))
+        return tuple(subgroups.mcnemar(rows, F.col("x"), ~F.col("x"), block).first())
+
+    for b, c in ((0, 0), (0, 1), (3, 3), (1, 9), (40, 17), (500, 431), (431, 500)):
+        tail = sum(math.comb(b + c, i) for i in range(min(b, c) + 1)) / 2 ** (b + c)
+        assert found(b, c, 7) == (b, c, pytest.approx(min(1.0, 2 * tail), rel=1e-12))
+    b, c = 101_000, 100_000
+    z = (c + 0.5 - (b + c) / 2) / math.sqrt((b + c) / 4)
+    start = time.monotonic()
+    assert found(b, c) == (b, c, pytest.approx(math.erfc(-z / math.sqrt(2)), rel=1e-5))
+    assert time.monotonic() - start < 60  # terms that each count to their place again would take hours
