@@ -76,12 +76,18 @@ def cohort_summary(pairs: DataFrame) -> DataFrame:
     )
 
 
-def paired_differences(pairs: DataFrame, measures: DataFrame, names: list[str]) -> DataFrame:
-    """Current minus prior of each measure that both records have, in long form."""
-    long = measures.unpivot(["record_id"], names, "measure", "value").where("value is not null")
-    side = lambda s: long.select(F.col("record_id").alias(f"{s}_id"), "measure", F.col("value").alias(f"{s}_value"))
-    j = pairs.join(side("prior"), "prior_id").join(side("current"), ["current_id", "measure"])
-    return j.withColumn("diff", F.col("current_value") - F.col("prior_value"))
+def paired_differences(pairs: DataFrame, measures: DataFrame, names: list[str], keep: dict[str, str] | None = None) -> DataFrame:
+    """Current minus prior of each measure that both records have, in long form.
+
+    Pairs meet whole records, and their rows become long where they are.
+    ``keep`` names columns of both records to take along: {"p": "p_detected"} gives prior_p and current_p.
+    """
+    keep = keep or {}
+    side = lambda s: measures.select(F.col("record_id").alias(f"{s}_id"), F.struct(*names).alias(f"_{s}"), *[F.col(c).alias(f"{s}_{k}") for k, c in keep.items()])
+    j = pairs.join(side("prior"), "prior_id").join(side("current"), "current_id")
+    item = lambda n: F.struct(F.lit(n).alias("measure"), F.col(f"_prior.{n}").cast("double").alias("prior_value"), F.col(f"_current.{n}").cast("double").alias("current_value"))
+    long = j.withColumn("_m", F.explode(F.array(*map(item, names)))).select(*[c for c in j.columns if c not in ("_prior", "_current")], "_m.*")
+    return long.where("prior_value is not null and current_value is not null").withColumn("diff", F.col("current_value") - F.col("prior_value"))
 
 
 def repeatability(diffs: DataFrame, z: float = 1.96, least: int = 20) -> DataFrame:
@@ -98,10 +104,12 @@ def noise_floors(rc: DataFrame, step: float = 5.0, default: float = 20.0) -> Dat
     return rc.select("measure", F.coalesce(F.ceil(F.round(F.col("rc") / step, 9)) * F.lit(step), F.lit(default)).alias("floor"))
 
 
-def gated_changes(diffs: DataFrame, floors: DataFrame, measures: DataFrame) -> DataFrame:
-    """Changes beyond the floor (strict); a PR change counts only where P is seen in both records."""
-    seen = lambda s: measures.select(F.col("record_id").alias(f"{s}_id"), F.col("p_detected").alias(f"{s}_p"))
-    j = diffs.join(F.broadcast(floors), "measure").join(seen("prior"), "prior_id", "left").join(seen("current"), "current_id", "left")
+def gated_changes(diffs: DataFrame, floors: DataFrame, measures: DataFrame | None = None) -> DataFrame:
+    """Changes beyond the floor (strict); a PR change counts only where P is seen in both records: by ``measures``, or by prior_p and current_p of ``diffs``."""
+    j = diffs.join(F.broadcast(floors), "measure")
+    if measures is not None:
+        seen = lambda s: measures.select(F.col("record_id").alias(f"{s}_id"), F.col("p_detected").alias(f"{s}_p"))
+        j = j.join(seen("prior"), "prior_id", "left").join(seen("current"), "current_id", "left")
     why = F.when((F.col("measure") == "pr") & ~(F.coalesce("prior_p", F.lit(False)) & F.coalesce("current_p", F.lit(False))), F.lit("no P wave"))
     big = F.abs("diff") > F.col("floor")
     j = j.withColumn("suppressed", why).withColumn("significant", big & F.col("suppressed").isNull())
@@ -116,7 +124,11 @@ def finding_changes(pairs: DataFrame, scores: DataFrame, threshold: float = 0.5,
     side = lambda s: scores.select(F.col("record_id").alias(f"{s}_id"), "label", F.col("p").alias(f"{s}_p"))
     a = pairs.select("prior_id", "current_id").join(side("prior"), "prior_id")
     b = pairs.select("prior_id", "current_id").join(side("current"), "current_id")
-    j = a.join(b, ["prior_id", "current_id", "label"], "full")
+    return moved_findings(a.join(b, ["prior_id", "current_id", "label"], "full"), threshold, least, persistent)
+
+
+def moved_findings(j: DataFrame, threshold: float = 0.5, least: float = 0.25, persistent: bool = False) -> DataFrame:
+    """``finding_changes`` of rows that have the scores of both records: prior_id, current_id, label, prior_p, current_p."""
     p, c = F.coalesce("prior_p", F.lit(0.0)), F.coalesce("current_p", F.lit(0.0))
     moved = F.abs(c - p) > least
     state = F.when((p < threshold) & (c >= threshold) & moved, "new").when((p >= threshold) & (c < threshold) & moved, "resolved")

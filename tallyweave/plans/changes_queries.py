@@ -68,13 +68,14 @@ _REPORT = f"""(WITH d AS MATERIALIZED {_DELTAS},
 def levels(spark, sf):
     level = (F.max(F.round(F.col("l_discount") * 100).cast("long")) - 5) / F.lit(20.0)
     lead = F.concat(F.lit("L"), F.col("l_linenumber").cast("string")).alias("lead")
-    return V.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("record_id"), lead).agg(level.alias("level"))
+    lines = V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("record_id"), "l_linenumber", "l_discount").repartition("record_id")
+    return lines.groupBy("record_id", lead).agg(level.alias("level"))
 
 
 def deltas(spark, sf):
     pairs, obs = V.pairs(spark, sf), V.observations(spark, sf)
     rhythm = F.broadcast(V.dictionary(spark, sf).select(F.col("code").alias("label"), "rhythm"))
-    spans = S.P.gated_changes(S.diffs(spark, sf), S.floors(spark, sf), obs)
+    spans = S.P.gated_changes(S.seen_diffs(spark, sf), S.floors(spark, sf))
     studies = obs.select("record_id", ((F.col("qrs") - 60) / 10).cast("long").alias("beats"), F.when(F.col("hr") < 50, "noisy").otherwise("ok").alias("quality"))
     return C.delta_rows(pairs, spans, C.lead_changes(pairs, levels(spark, sf)), S.finding_changes(spark, sf).join(rhythm, "label"), studies)
 
@@ -107,7 +108,6 @@ _FALSE = f"""(SELECT prior_id, current_id, c, CASE current_id % 3 WHEN 0 THEN re
     || list_filter(list_transform(list_filter(c, lambda x: x.kind = 'interval'), lambda x: CASE WHEN {_WORD} = '' THEN NULL WHEN NOT coalesce(x.significant, false) THEN 'interval:' || x.name
        WHEN ({_WORD} = 'longer' AND x.diff < 0) OR ({_WORD} = 'shorter' AND x.diff > 0) THEN 'direction:' || x.name END), {_SOME})) AS unsupported FROM {_FALSE})""")
 def audit(spark, sf):
-    d = deltas(spark, sf)
     k, text = F.col("current_id") % 3, F.col("report")
     told = F.when(k == 0, F.replace(text, F.lit("longer from"), F.lit("shorter from"))).when(k == 1, F.replace(text, F.lit("No longer present"), F.lit("New since the prior study"))).otherwise(text)
-    return C.audit_claims(C.change_narrative(d, "NATION_4").withColumn("report", told), d)
+    return C.audit_claims(C.change_narrative(deltas(spark, sf), "NATION_4", ["changes"]).withColumn("report", told))

@@ -32,6 +32,11 @@ def diffs(spark, sf):
     return P.paired_differences(coded(spark, sf), V.observations(spark, sf), MEASURES)
 
 
+def seen_diffs(spark, sf):
+    """Differences with what gates them, of pairs without their codes."""
+    return P.paired_differences(V.pairs(spark, sf).select("prior_id", "current_id"), V.observations(spark, sf), MEASURES, {"p": "p_detected"})
+
+
 @query("P01_repeat_records", "SELECT record_id, patient_id FROM v_records WHERE patient_id IN (SELECT patient_id FROM v_records GROUP BY 1 HAVING count(*) >= 2)")
 def repeats(spark, sf):
     return P.repeat_records(V.records(spark, sf)).select("record_id", "patient_id")
@@ -88,14 +93,14 @@ def repeatability(spark, sf):
 
 @query("P10_noise_floors", f"SELECT * FROM {_FLOOR}")
 def floors(spark, sf):
-    return P.noise_floors(P.repeatability(diffs(spark, sf)))
+    return P.noise_floors(P.repeatability(seen_diffs(spark, sf)))
 
 
 @query("P11_gated_changes", f"""SELECT prior_id, current_id, measure, suppressed, significant, CASE WHEN significant THEN CASE WHEN diff > 0 THEN 'longer' ELSE 'shorter' END END AS direction FROM (SELECT d.prior_id, d.current_id, measure, diff,
     CASE WHEN measure = 'pr' AND NOT (a.p_detected AND b.p_detected) THEN 'no P wave' END AS suppressed, abs(diff) > floor AND NOT (measure = 'pr' AND NOT (a.p_detected AND b.p_detected)) AS significant
     FROM {_DIFF} d JOIN {_FLOOR} USING (measure) JOIN v_obs a ON a.record_id = prior_id JOIN v_obs b ON b.record_id = current_id)""")
 def gated(spark, sf):
-    g = P.gated_changes(diffs(spark, sf), floors(spark, sf), V.observations(spark, sf))
+    g = P.gated_changes(seen_diffs(spark, sf), floors(spark, sf))
     return g.select("prior_id", "current_id", "measure", "suppressed", "significant", "direction")
 
 
@@ -107,13 +112,13 @@ _TRUE = f"(SELECT prior_id, current_id, unnest(new) AS label, 'new' AS change FR
 @query("P13_finding_changes", """SELECT prior_id, current_id, label, CASE WHEN a < 0.5 THEN 'new' ELSE 'resolved' END AS change FROM (SELECT prior_id, current_id, label, max(p) FILTER (side = 0) AS a, max(p) FILTER (side = 1) AS b FROM (
     SELECT prior_id, current_id, unnest([0, 1]) AS side, unnest([prior_id, current_id]) AS record_id FROM v_pairs) JOIN v_pred USING (record_id) GROUP BY ALL) WHERE abs(b - a) > 0.25 AND (a < 0.5) <> (b < 0.5)""")
 def finding_changes(spark, sf):
-    return P.finding_changes(V.pairs(spark, sf), V.predictions(spark, sf))
+    return P.moved_findings(V.paired_predictions(spark, sf))
 
 
 @query("P13_finding_states", """SELECT prior_id, current_id, label, CASE WHEN a >= 0.5 AND b >= 0.5 THEN 'persistent' WHEN a < 0.5 THEN 'new' ELSE 'resolved' END AS change FROM (SELECT prior_id, current_id, label, max(p) FILTER (side = 0) AS a, max(p) FILTER (side = 1) AS b FROM (
     SELECT prior_id, current_id, unnest([0, 1]) AS side, unnest([prior_id, current_id]) AS record_id FROM v_pairs) JOIN v_pred USING (record_id) GROUP BY ALL) WHERE a >= 0.5 AND b >= 0.5 OR abs(b - a) > 0.25 AND (a < 0.5) <> (b < 0.5)""")
 def finding_states(spark, sf):
-    return P.finding_changes(V.pairs(spark, sf), V.predictions(spark, sf), persistent=True)
+    return P.moved_findings(V.paired_predictions(spark, sf), persistent=True)
 
 
 @query("P15_range_labels", """SELECT record_id, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a::VARCHAR || '-' || b::VARCHAR END, ',' ORDER BY a) AS runs FROM (SELECT record_id, min(n) AS a, max(n) AS b FROM (

@@ -1,10 +1,17 @@
 """Changes between two records: gates, empty pairs, texts and tampered claims."""
 
+import os
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.operators import changes as C
+from tallyweave.operators import views as V
+from tallyweave.plans import changes_queries as Q
+from tallyweave.plans import serial_queries as S
+
+SF = "/root/testdata/sf0.001"
 
 _SPAN = "prior_id long, current_id long, measure string, prior_value double, current_value double, diff double, significant boolean, direction string, suppressed string"
 
@@ -44,3 +51,16 @@ def test_audit_of_true_tampered_and_null_texts(spark):
     false = F.replace(F.replace("report", F.lit("longer"), F.lit("shorter")), F.lit("study: LVH"), F.lit("study: LVH and MI"))
     assert audit(F.concat(false, F.lit(" The pr is longer. No longer present: SR.")))[1] == ["direction:qt", "interval:pr", "new:MI", "resolved:SR"]
     assert audit(F.lit(None).cast("string")) == {1: [], 3: []}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_pairs_meet_whole_records_and_not_their_rows(spark):
+    got = Q.deltas(spark, SF)
+    joins = [line for line in got._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join [" in line]
+    assert joins and not [line for line in joins if "lead#" in line or "record_id#" in line]
+    assert sum("label#" in line for line in joins) <= 1 and sum("measure#" in line for line in joins) <= 2  # rhythm by code and floors by measure
+    pairs = V.pairs(spark, SF)
+    want = S.P.finding_changes(pairs, V.predictions(spark, SF))
+    assert {tuple(r) for r in want.collect()} == {tuple(r) for r in S.finding_changes(spark, SF).select(*want.columns).collect()}
+    told = C.change_narrative(got, "NATION_4", ["changes"])
+    assert sorted(map(str, C.audit_claims(told).collect())) == sorted(map(str, C.audit_claims(told.drop("changes"), got).collect()))
