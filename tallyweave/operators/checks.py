@@ -96,10 +96,10 @@ def low_confidence(found: DataFrame) -> DataFrame:
 
 
 def exclusive_pairs(found: DataFrame, rules: DataFrame) -> DataFrame:
-    """Surfaced pairs (a < b) of one record that a rule (a, b) excludes."""
-    a = found.select("record_id", F.col("label").alias("a"))
-    b = found.select("record_id", F.col("label").alias("b"))
-    return a.join(F.broadcast(rules), "a").join(b, ["record_id", "b"]).select("record_id", "a", "b")
+    """Surfaced pairs (a < b) of one record that a rule (a, b) excludes; a record's labels are listed once and meet the rules there."""
+    sets = found.groupBy("record_id").agg(F.collect_set("label").alias("labels"))
+    a = sets.select("record_id", "labels", F.explode("labels").alias("a"))
+    return a.join(F.broadcast(rules), "a").where(F.array_contains("labels", F.col("b"))).select("record_id", "a", "b")
 
 
 def routed(found: DataFrame, rules: DataFrame, n_records: int) -> DataFrame:

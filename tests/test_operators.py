@@ -82,3 +82,11 @@ def test_power_medians_keep_a_row_for_an_empty_set(spark):
     assert got["all"] == (2, pytest.approx(0.2), pytest.approx(0.3), pytest.approx(0.3))
     none = {r.kind: r.n_labels for r in subgroups.power_medians(table.limit(0), ["c"], 400).collect()}
     assert none == {"rare": 0, "target": 0, "all": 0}
+
+
+def test_excluded_pairs_come_from_one_listing_of_a_record(spark):
+    found = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "b"), (2, "d"), (3, "a")], "record_id long, label string")
+    rules = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "d")], "a string, b string")
+    got = checks.exclusive_pairs(found, rules)
+    assert sorted(map(tuple, got.collect())) == [(1, "a", "b"), (1, "b", "c")]
+    assert not [line for line in got._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join [" in line and "record_id" in line]
